@@ -36,7 +36,7 @@ from seatpool.session import new_folder
 # Options of one user kept in one nested row. Users above it are split.
 OPTIONS_PER_ROW = 50_000
 # Rounds computed from one written state.
-ROUNDS_PER_WRITE = 3
+ROUNDS_PER_WRITE = 4
 # Driver-known row counts up to which a side is broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -49,16 +49,6 @@ class Shape(NamedTuple):
     value: str
 
 
-class Layout(NamedTuple):
-    """How the open rows of a user are kept and what a round does to them."""
-
-    shape: Shape
-    rows: Callable[..., DataFrame]
-    hits: Callable[[Sequence[dict]], Column]
-    close: Callable[[DataFrame], DataFrame]
-    is_open: Column
-
-
 class Bookings(NamedTuple):
     """Result of a run. All members are lazy but the events, which are known."""
 
@@ -117,65 +107,66 @@ def best_group(
 
 def _leaders(totals: DataFrame, shape: Shape) -> DataFrame:
     """Groups that come first on both of their axes."""
-    order = F.struct((-F.col("bids_total")).alias("rank"), *shape.group)
-    counted = F.struct(order.alias("order"), "bids_total", "num_tickets")
-
-    def first_per(axis: str) -> DataFrame:
-        # a partial minimum per task, so an axis value with many groups is no hot spot
-        return totals.groupBy(F.col(axis).alias("axis")).agg(F.min(counted).alias("first"))
-
-    first, second = (first_per(axis).select("first.*") for axis in shape.axes)
-    return first.join(second.select("order"), "order", "left_semi").select(
-        *[F.col(f"order.{name}").alias(name) for name in shape.group],
-        "bids_total",
-        "num_tickets",
-    )
+    group = ", ".join(shape.group)
+    ranked = f"struct(-bids_total AS rank, {group}, bids_total, num_tickets)"
+
+    # a partial minimum per task, so an axis value with many groups is no hot spot
+    first, second = (totals.groupBy(axis).agg(F.expr(f"min({ranked}) AS g")) for axis in shape.axes)
+    both = first.select("g").join(second.select("g"), "g", "left_semi")
+    return both.selectExpr(*[f"g.{name}" for name in shape.group], "g.bids_total", "g.num_tickets")
 
 
 # ---------------------------------------------------------------- layouts
 
 
-def _mapping(winners: Sequence[dict], key: str, value: Callable[[dict], Column]) -> Column:
+class Layout(NamedTuple):
+    """How the open rows of a user are kept, and what a round does to them.
+
+    ``rows`` expands nested users to flat rows. ``hits`` lists the rows that
+    ``won``, a map of this round's winners, books; ``close`` takes from every
+    array what those bookings close. They are SQL over the columns of a state.
+    """
+
+    shape: Shape
+    rows: Callable[..., DataFrame]
+    won: Callable[[Sequence[dict]], Column]
+    hits: str
+    close: dict[str, str]
+    is_open: str
+
+
+def _won(winners: Sequence[dict], key: str, value: Callable[[dict], Column]) -> Column:
     return F.create_map(*[c for w in winners for c in (F.lit(w[key]), value(w))])
 
 
 def _calendar(shape: Shape) -> Layout:
     """Rows are every open bid of a user on every open day of the user."""
     day, title = shape.axes
+    value = shape.value
 
     def rows(state: DataFrame, *keep: str) -> DataFrame:
+        # outer, then dropped: the inner form would push the whole nested expression
+        # down as a filter and have it computed several times
         return (
-            state.select("user_id", *keep, F.explode("days").alias(day), "bids")
-            .select("user_id", *keep, day, F.inline("bids"))
-            .withColumn("tickets", F.lit(1).cast("bigint"))
-        )
-
-    def hits(winners: Sequence[dict]) -> Column:
-        days = _mapping(winners, title, lambda w: F.lit(w[day]))
-        mine = F.filter(
-            "bids", lambda b: F.array_contains("days", F.try_element_at(days, b[title]))
-        )
-        return F.transform(
-            mine,
-            lambda b: F.struct(
-                F.try_element_at(days, b[title]).alias(day),
-                b[title].alias(title),
-                b[shape.value].alias(shape.value),
-                F.lit(1).cast("bigint").alias("tickets"),
-            ),
-        )
-
-    def close(state: DataFrame) -> DataFrame:
-        return (
-            state.withColumn("hit_titles", F.col(f"hits.{title}"))
-            .withColumn("days", F.array_except("days", F.col(f"hits.{day}")))
-            .withColumn(
-                "bids", F.filter("bids", lambda b: ~F.array_contains("hit_titles", b[title]))
-            )
-            .drop("hit_titles")
+            state.selectExpr("user_id", *keep, f"explode_outer(days) AS {day}", "bids")
+            .selectExpr("user_id", *keep, day, "inline_outer(bids)", "1L AS tickets")
+            .where(f"{day} IS NOT NULL AND {title} IS NOT NULL")
         )
 
-    return Layout(shape, rows, hits, close, (F.size("bids") > 0) & (F.size("days") > 0))
+    return Layout(
+        shape,
+        rows,
+        won=lambda winners: _won(winners, title, lambda w: F.lit(w[day])),
+        hits=f"""transform(
+            filter(bids, b -> array_contains(days, try_element_at(won, b.{title}))),
+            b -> struct(try_element_at(won, b.{title}) AS {day}, b.{title}, b.{value},
+                        1L AS tickets))""",
+        close={
+            "bids": f"filter(bids, b -> NOT array_contains(hits.{title}, b.{title}))",
+            "days": f"array_except(days, hits.{day})",
+        },
+        is_open="size(bids) > 0 AND size(days) > 0",
+    )
 
 
 def _listed(shape: Shape) -> Layout:
@@ -183,34 +174,24 @@ def _listed(shape: Shape) -> Layout:
     one, two = shape.axes
 
     def rows(state: DataFrame, *keep: str) -> DataFrame:
-        return state.select("user_id", *keep, F.inline("options"))
-
-    def hits(winners: Sequence[dict]) -> Column:
-        groups = _mapping(
+        # outer, then dropped, as above
+        rows = state.selectExpr("user_id", *keep, "inline_outer(options)")
+        return rows.where(f"{one} IS NOT NULL")
+
+    group = ", ".join(f"o.{name}" for name in shape.group)
+    return Layout(
+        shape,
+        rows,
+        won=lambda winners: _won(
             winners, one, lambda w: F.struct(*[F.lit(w[n]).alias(n) for n in shape.group])
-        )
-        return F.filter(
-            "options",
-            lambda o: F.try_element_at(groups, o[one])
-            == F.struct(*[o[n].alias(n) for n in shape.group]),
-        )
-
-    def close(state: DataFrame) -> DataFrame:
-        return (
-            state.withColumn("hit_one", F.col(f"hits.{one}"))
-            .withColumn("hit_two", F.col(f"hits.{two}"))
-            .withColumn(
-                "options",
-                F.filter(
-                    "options",
-                    lambda o: ~F.array_contains("hit_one", o[one])
-                    & ~F.array_contains("hit_two", o[two]),
-                ),
-            )
-            .drop("hit_one", "hit_two")
-        )
-
-    return Layout(shape, rows, hits, close, F.size("options") > 0)
+        ),
+        hits=f"filter(options, o -> try_element_at(won, o.{one}) = struct({group}))",
+        close={
+            "options": f"""filter(options, o -> NOT array_contains(hits.{one}, o.{one})
+                                            AND NOT array_contains(hits.{two}, o.{two}))"""
+        },
+        is_open="size(options) > 0",
+    )
 
 
 # ---------------------------------------------------------------- nesting
@@ -307,7 +288,7 @@ def _booked_type(shape: Shape, nested: DataFrame) -> T.DataType:
 class _Ledger:
     """The states written during one run, as one table partitioned by write."""
 
-    def __init__(self, spark: SparkSession, schema: T.StructType, is_open: Column):
+    def __init__(self, spark: SparkSession, schema: T.StructType, is_open: str):
         self.spark = spark
         self.folder = new_folder(spark, "booking")
         self.schema = T.StructType(schema.fields + [T.StructField("open", T.IntegerType())])
@@ -317,7 +298,7 @@ class _Ledger:
     def write(self, state: DataFrame) -> DataFrame:
         self.writes += 1
         folder = f"{self.folder}/cut={self.writes}"
-        with_flag = state.withColumn("open", self.is_open.cast("int"))
+        with_flag = state.selectExpr("*", f"int({self.is_open}) AS open")
         with_flag.write.partitionBy("open").parquet(folder)
         return self.spark.read.schema(self.schema).parquet(folder).where("open = 1").drop("open")
 
@@ -334,20 +315,25 @@ class _Ledger:
         )
 
 
-def _apply(state: DataFrame, layout: Layout, winners: Sequence[dict], split_users: int):
-    state = state.withColumn("hits", layout.hits(winners))
+def _apply(
+    state: DataFrame, layout: Layout, winners: Sequence[dict], split_users: int
+) -> DataFrame:
+    columns = [name for name in state.columns if name != "booked" and name not in layout.close]
+    state = state.select("*", layout.won(winners).alias("won")).selectExpr(
+        *columns, *layout.close, "booked", f"{layout.hits} AS hits"
+    )
     if split_users:
         shared = (
-            state.where((F.col("parts") > 1) & (F.size("hits") > 0))
+            state.where("parts > 1 AND size(hits) > 0")
             .groupBy("user_id")
-            .agg(F.flatten(F.collect_list("hits")).alias("shared"))
+            .agg(F.expr("flatten(collect_list(hits)) AS shared"))
         )
         # one row per split user at most, and a hit per day at most
         shared = F.broadcast(shared) if split_users <= BROADCAST_ROWS else shared
         state = state.join(shared, "user_id", "left")
-        state = state.withColumn("hits", F.coalesce("shared", "hits")).drop("shared")
-    state = state.withColumn("booked", F.concat("booked", "hits"))
-    return layout.close(state).drop("hits")
+        state = state.withColumn("hits", F.coalesce("shared", "hits"))
+    closed = [f"{sql} AS {name}" for name, sql in layout.close.items()]
+    return state.selectExpr(*columns, *closed, "concat(booked, hits) AS booked")
 
 
 def _play(
@@ -368,13 +354,16 @@ def _play(
     state = ledger.write(nested)
     # each part of a split user needs the others, so a round reads its state twice
     rounds_per_write = 1 if split_users else rounds_per_write
+    clears = over_minimum(F.col("bids_total"), minimum, strict)
     events, pending = [], 0
     while True:
         totals = (
             layout.rows(state)
             .groupBy(*shape.group)
-            .agg(F.sum(shape.value).alias("bids_total"), F.sum("tickets").alias("num_tickets"))
-            .where(over_minimum(F.col("bids_total"), minimum, strict))
+            .agg(
+                F.expr(f"sum({shape.value}) AS bids_total"), F.expr("sum(tickets) AS num_tickets")
+            )
+            .where(clears)
         )
         if sequential:
             found = ranked_groups(totals, shape.group).limit(1)
