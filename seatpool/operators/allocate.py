@@ -2,24 +2,31 @@
 
 The rule is sequential: take the group with the largest total, book all its
 open rows, close every row of the booked users that shares a day or a title
-with the booking, and repeat while a total exceeds the minimum. Running one
-job per group would need as many passes over the data as there are events.
-
-Two groups can only disturb each other if they share a value on an axis (a day
-or a title). With bids that are not negative, closing rows only lowers totals.
-So a group that comes first, by (total descending, group ascending), on both of
-its axes will be picked by the sequential rule with exactly its present total,
-whatever happens elsewhere. All such groups are booked in one round; this is
-the locally dominant choice known from greedy matching. At most one group per
-day and per title wins a round, so the winners of a round are never more than
-the distinct days, and go to the executors as literals.
+with the booking, and repeat while a total exceeds the minimum. One job per
+group would need as many passes over the data as there are events.
+
+Two groups disturb each other only if some user has open rows in both and the
+rows share a value on an axis (a day or a title). With bids that are not
+negative, closing rows only lowers totals. So a group that precedes, by (total
+descending, group ascending), every group it can disturb will be picked by the
+sequential rule with exactly its present total, whatever happens elsewhere.
+All such groups can be booked in one round: the locally dominant choice known
+from greedy matching. They are found by votes: every user names the first group
+per day and the first per title, and a group is dominant if it is named on both
+axes by all of its rows. Where most users want the same things, a cheaper test
+finds as many: a group that is first among all groups of its day and of its
+title needs no votes. A round uses votes until they find no more than that.
 
 State is nested per user: the open bids and the open days, not their product.
-A round is then one scan without a shuffle of rows: rows are expanded inside
-the task, summed per group before the exchange, and only group totals move. The
-state is written every few rounds, which cuts lineage and lets later rounds
-skip users with nothing left. Users with more options than a row should hold
-are split into parts; bookings of such a user are shared between the parts.
+A round expands it inside the task, sums per group before the exchange, and
+moves one vote per user and axis value. Winners go out as whole numbers, so
+applying them is a scan without a shuffle. The state is written every few
+rounds, which cuts lineage and lets later rounds skip users with nothing left.
+Users with more options than a row should hold are split into parts; bookings
+of such a user are shared between the parts.
+
+Groups are numbered in tie-break order, so that ``gid - total * groups`` is one
+number that sorts like (total descending, group ascending).
 """
 
 from __future__ import annotations
@@ -30,15 +37,23 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from seatpool import schemas
+from seatpool.functions.ordered import numbered
 from seatpool.operators.joins import interest_by_slot
-from seatpool.session import new_folder
+from seatpool.session import new_folder, stored
 
 # Options of one user kept in one nested row. Users above it are split.
 OPTIONS_PER_ROW = 50_000
 # Rounds computed from one written state.
 ROUNDS_PER_WRITE = 4
-# Driver-known row counts up to which a side is broadcast.
-BROADCAST_ROWS = 100_000
+# After this many rounds without votes, ask again whether votes find more.
+ROUNDS_WITHOUT_VOTES = 8
+# Winners applied in one round; further dominant groups stay dominant and follow in the next.
+WINNERS_PER_ROUND = 20_000
+# Driver-known row counts up to which a side is broadcast: some 50 MB for the widest.
+BROADCAST_ROWS = 500_000
+# Days from the start of year 1 to the end of year 9999.
+CALENDAR_DAYS = 3_652_059
+FIRST_OF_CALENDAR = "DATE'0001-01-01'"
 
 
 class Shape(NamedTuple):
@@ -49,6 +64,26 @@ class Shape(NamedTuple):
     value: str
 
 
+class Layout(NamedTuple):
+    """How the open rows of a user are kept, and what a round does to them.
+
+    ``rows`` is SQL that expands nested users to rows (user_id, gid, a1, a2,
+    value, tickets), where a1 and a2 are the places on the two axes. Numbers of groups
+    are below ``groups``, and ``known_groups`` bounds how many there are. ``hits`` is SQL
+    for the rows a list of group numbers books; ``close`` gives for every array
+    what is left of it. ``named`` adds the group columns to rows with a gid.
+    """
+
+    shape: Shape
+    groups: int
+    known_groups: int
+    rows: str
+    hits: Callable[[Sequence[int]], str]
+    close: dict[str, str]
+    is_open: str
+    named: Callable[[DataFrame], DataFrame]
+
+
 class Bookings(NamedTuple):
     """Result of a run. All members are lazy but the events, which are known."""
 
@@ -62,7 +97,15 @@ class Bookings(NamedTuple):
 
     def statuses(self) -> DataFrame:
         """Every input row with A (open), B (booked) or C (canceled)."""
-        return self.outcome.drop("cause")
+        return self.outcome.drop("cause_rank")
+
+    def with_causes(self) -> DataFrame:
+        """I3 with the day and title of the event that closed each row."""
+        group = [n for n in self.events.columns if n in self.outcome.columns]
+        causes = self.events.select(
+            F.col("event_rank").alias("cause_rank"), *[F.col(n).alias(f"cause_{n}") for n in group]
+        )
+        return self.canceled().join(causes, "cause_rank")
 
     def stats(self) -> DataFrame:
         """Events, money, booked rows and distinct booked users in one row."""
@@ -105,92 +148,76 @@ def best_group(
     return ranked_groups(clears, group).limit(1)
 
 
-def _leaders(totals: DataFrame, shape: Shape) -> DataFrame:
-    """Groups that come first on both of their axes."""
-    group = ", ".join(shape.group)
-    ranked = f"struct(-bids_total AS rank, {group}, bids_total, num_tickets)"
-
-    # a partial minimum per task, so an axis value with many groups is no hot spot
-    first, second = (totals.groupBy(axis).agg(F.expr(f"min({ranked}) AS g")) for axis in shape.axes)
-    both = first.select("g").join(second.select("g"), "g", "left_semi")
-    return both.selectExpr(*[f"g.{name}" for name in shape.group], "g.bids_total", "g.num_tickets")
-
-
 # ---------------------------------------------------------------- layouts
 
 
-class Layout(NamedTuple):
-    """How the open rows of a user are kept, and what a round does to them.
-
-    ``rows`` expands nested users to flat rows. ``hits`` lists the rows that
-    ``won``, a map of this round's winners, books; ``close`` takes from every
-    array what those bookings close. They are SQL over the columns of a state.
-    """
-
-    shape: Shape
-    rows: Callable[..., DataFrame]
-    won: Callable[[Sequence[dict]], Column]
-    hits: str
-    close: dict[str, str]
-    is_open: str
-
-
-def _won(winners: Sequence[dict], key: str, value: Callable[[dict], Column]) -> Column:
-    return F.create_map(*[c for w in winners for c in (F.lit(w[key]), value(w))])
-
-
-def _calendar(shape: Shape) -> Layout:
+def _calendar(shape: Shape, titles: DataFrame, count: int, days: int) -> Layout:
     """Rows are every open bid of a user on every open day of the user."""
     day, title = shape.axes
-    value = shape.value
-
-    def rows(state: DataFrame, *keep: str) -> DataFrame:
-        # outer, then dropped: the inner form would push the whole nested expression
-        # down as a filter and have it computed several times
-        return (
-            state.selectExpr("user_id", *keep, f"explode_outer(days) AS {day}", "bids")
-            .selectExpr("user_id", *keep, day, "inline_outer(bids)", "1L AS tickets")
-            .where(f"{day} IS NOT NULL AND {title} IS NOT NULL")
-        )
+    # outer, then dropped: the inner form would push the whole nested expression down
+    # as a filter and have it computed several times
+    rows = f"""
+        SELECT *, a1 * {count}L + a2 AS gid, 1L AS tickets
+        FROM {{state}} LATERAL VIEW OUTER explode(days) AS a1
+                       LATERAL VIEW OUTER inline(bids) AS a2, value
+        WHERE a1 IS NOT NULL AND a2 IS NOT NULL"""
+
+    def hits(winners: Sequence[int]) -> str:
+        wanted = ", ".join(f"{w}L" for w in winners)
+        named = ", ".join(f"{t}L" for t in sorted({w % count for w in winners}))
+        number = f"d * {count}L + b.title_no"
+        return f"""flatten(transform(filter(bids, b -> b.title_no IN ({named})), b -> transform(
+            filter(days, d -> {number} IN ({wanted})),
+            d -> struct({number} AS gid, d AS a1, b.title_no AS a2, b.value, 1L AS tickets))))"""
+
+    def named(rows: DataFrame) -> DataFrame:
+        title_no = F.pmod(F.col("gid"), F.lit(count))
+        rows = rows.join(titles, title_no == F.col("position"))
+        since = F.expr(f"CAST(gid DIV {count} AS INT)")
+        return rows.withColumn(day, F.date_add(F.expr(FIRST_OF_CALENDAR), since)).drop("position")
 
     return Layout(
         shape,
+        CALENDAR_DAYS * count,
+        days * count,
         rows,
-        won=lambda winners: _won(winners, title, lambda w: F.lit(w[day])),
-        hits=f"""transform(
-            filter(bids, b -> array_contains(days, try_element_at(won, b.{title}))),
-            b -> struct(try_element_at(won, b.{title}) AS {day}, b.{title}, b.{value},
-                        1L AS tickets))""",
+        hits,
         close={
-            "bids": f"filter(bids, b -> NOT array_contains(hits.{title}, b.{title}))",
-            "days": f"array_except(days, hits.{day})",
+            "bids": "filter(bids, b -> NOT array_contains(hits.a2, b.title_no))",
+            "days": "array_except(days, hits.a1)",
         },
         is_open="size(bids) > 0 AND size(days) > 0",
+        named=named,
     )
 
 
-def _listed(shape: Shape) -> Layout:
+def _listed(shape: Shape, groups: DataFrame, count: int) -> Layout:
     """Rows are listed one by one; nothing is assumed about their combinations."""
-    one, two = shape.axes
 
-    def rows(state: DataFrame, *keep: str) -> DataFrame:
-        # outer, then dropped, as above
-        rows = state.selectExpr("user_id", *keep, "inline_outer(options)")
-        return rows.where(f"{one} IS NOT NULL")
+    # outer, then dropped, as above
+    rows = """
+        SELECT * FROM {state} LATERAL VIEW OUTER inline(options) AS gid, a1, a2, value, tickets
+        WHERE gid IS NOT NULL"""
+
+    def hits(winners: Sequence[int]) -> str:
+        wanted = ", ".join(f"{w}L" for w in winners)
+        return f"filter(options, o -> o.gid IN ({wanted}))"
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.join(groups.withColumnRenamed("position", "gid"), "gid")
 
-    group = ", ".join(f"o.{name}" for name in shape.group)
     return Layout(
         shape,
+        count,
+        count,
         rows,
-        won=lambda winners: _won(
-            winners, one, lambda w: F.struct(*[F.lit(w[n]).alias(n) for n in shape.group])
-        ),
-        hits=f"filter(options, o -> try_element_at(won, o.{one}) = struct({group}))",
+        hits,
         close={
-            "options": f"""filter(options, o -> NOT array_contains(hits.{one}, o.{one})
-                                            AND NOT array_contains(hits.{two}, o.{two}))"""
+            "options": """filter(options, o -> NOT array_contains(hits.a1, o.a1)
+                                           AND NOT array_contains(hits.a2, o.a2))"""
         },
         is_open="size(options) > 0",
+        named=named,
     )
 
 
@@ -200,14 +227,20 @@ def _listed(shape: Shape) -> Layout:
 class _Sizes(NamedTuple):
     split_users: int
     negative: bool
+    total: int
 
 
 def _sizes(rows: DataFrame, value: str, per_row: int) -> _Sizes:
-    per_user = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.min(value).alias("low"))
+    per_user = rows.groupBy("user_id").agg(
+        F.count("*").alias("n"), F.min(value).alias("low"), F.sum(value).alias("total")
+    )
     found = per_user.agg(
-        F.count_if(F.col("n") > per_row).alias("split"), F.min("low").alias("low")
+        F.count_if(F.col("n") > per_row).alias("split"),
+        F.min("low").alias("low"),
+        F.sum("total").alias("total"),
     ).first()
-    return _Sizes(found["split"], found["low"] is not None and found["low"] < 0)
+    negative = found["low"] is not None and found["low"] < 0
+    return _Sizes(found["split"], negative, found["total"] or 0)
 
 
 def _split(rows: DataFrame, per_row: int, split_users: int) -> DataFrame:
@@ -221,35 +254,29 @@ def _split(rows: DataFrame, per_row: int, split_users: int) -> DataFrame:
     return F.broadcast(users) if split_users <= BROADCAST_ROWS else users
 
 
-def _with_parts(rows: DataFrame, users: DataFrame, key: Sequence[str]) -> DataFrame:
-    rows = rows.join(users, "user_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    return rows.withColumn("part", F.pmod(F.xxhash64(*key), F.col("parts")).cast("int"))
-
-
 def _files(rows: DataFrame) -> int:
     """As many partitions as the session shuffles into, so that every scan uses the cluster."""
     return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _nested(rows: DataFrame, users: DataFrame | None, key: Sequence[str], array: Column):
+def _nested(rows: DataFrame, users: DataFrame | None, key: str, array: Column) -> DataFrame:
     if users is None:
         grouped = rows.repartition(_files(rows), "user_id").groupBy("user_id")
         return grouped.agg(F.lit(0).alias("part"), F.lit(1).alias("parts"), array)
-    rows = _with_parts(rows, users, key).repartition(_files(rows), "user_id", "part")
+    rows = rows.join(users, "user_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
+    rows = rows.repartition(_files(rows), "user_id", "part")
     return rows.groupBy("user_id", "part").agg(F.first("parts").alias("parts"), array)
 
 
-def _nest_calendar(
-    bids: DataFrame, slots: DataFrame, shape: Shape, per_row: int, split_users: int
-) -> DataFrame:
-    day, title = shape.axes
-    users = _split(bids, per_row, split_users) if split_users else None
+def _nest_calendar(bids: DataFrame, slots: DataFrame, users: DataFrame | None) -> DataFrame:
+    """Bids (user_id, title_no, value) and slots (user_id, day_no), one row per user and part."""
     bids = _nested(
-        bids, users, [title], F.collect_list(F.struct(title, shape.value)).alias("bids")
+        bids, users, "title_no", F.collect_list(F.struct("title_no", "value")).alias("bids")
     )
     # a user's days are bounded by the calendar, so they fit in one array
+    days = F.collect_set("day_no").alias("days")
     files = _files(slots)
-    days = F.collect_set(day).alias("days")
     if users is None:
         slots = slots.repartition(files, "user_id").groupBy("user_id").agg(days)
         return bids.join(slots, "user_id")
@@ -259,32 +286,14 @@ def _nest_calendar(
     return bids.join(slots.repartition(files, "user_id", "part"), ["user_id", "part"])
 
 
-def _nest_listed(rows: DataFrame, shape: Shape, per_row: int, split_users: int) -> DataFrame:
-    users = _split(rows, per_row, split_users) if split_users else None
-    options = F.collect_list(F.struct(*shape.group, shape.value, "tickets")).alias("options")
-    return _nested(rows, users, shape.group, options)
+def _nest_listed(rows: DataFrame, users: DataFrame | None) -> DataFrame:
+    options = F.collect_list(F.struct("gid", "a1", "a2", "value", "tickets")).alias("options")
+    return _nested(rows, users, "gid", options)
 
 
 # ---------------------------------------------------------------- rounds
 
 
-def _booked_type(shape: Shape, nested: DataFrame) -> T.DataType:
-    if "options" in nested.columns:
-        return nested.schema["options"].dataType
-    day, title = shape.axes
-    bid = nested.schema["bids"].dataType.elementType
-    return T.ArrayType(
-        T.StructType(
-            [
-                T.StructField(day, nested.schema["days"].dataType.elementType),
-                T.StructField(title, bid[title].dataType),
-                T.StructField(shape.value, bid[shape.value].dataType),
-                T.StructField("tickets", T.LongType()),
-            ]
-        )
-    )
-
-
 class _Ledger:
     """The states written during one run, as one table partitioned by write."""
 
@@ -315,66 +324,125 @@ class _Ledger:
         )
 
 
-def _apply(
-    state: DataFrame, layout: Layout, winners: Sequence[dict], split_users: int
-) -> DataFrame:
-    columns = [name for name in state.columns if name != "booked" and name not in layout.close]
-    state = state.select("*", layout.won(winners).alias("won")).selectExpr(
-        *columns, *layout.close, "booked", f"{layout.hits} AS hits"
-    )
-    if split_users:
+class _Run(NamedTuple):
+    """What stays the same over the rounds of one run."""
+
+    layout: Layout
+    clears: str
+    key: str
+    sequential: bool
+    split_users: int
+    rounds_per_write: int
+
+
+def _key(layout: Layout, total: int, total_type: T.DataType) -> str:
+    """SQL for one number that sorts like (total descending, gid ascending)."""
+    if isinstance(total_type, T.DecimalType):
+        scale = total_type.scale
+    elif isinstance(total_type, T.IntegralType):
+        scale = 0
+    else:
+        raise TypeError("bids must be whole numbers or decimals, so that sums are exact")
+    units = f"bids_total * {10**scale}L" if scale else "bids_total"
+    if (int(total) + 1) * 10**scale * layout.groups < 2**62:
+        return f"gid - CAST({units} AS BIGINT) * {layout.groups}L"
+    wide = "CAST({} AS DECIMAL(38, 0))"
+    return f"{wide.format('gid')} - {wide.format(units)} * {wide.format(layout.groups)}"
+
+
+def _sql(state: DataFrame, text: str) -> DataFrame:
+    return state.sparkSession.sql(text, state=state)
+
+
+def _rows(state: DataFrame, layout: Layout, *keep: str) -> DataFrame:
+    columns = ("user_id", *keep, "gid", "a1", "a2", "value", "tickets")
+    return _sql(state, f"SELECT {', '.join(columns)} FROM ({layout.rows})")
+
+
+def _winners(state: DataFrame, run: _Run, by_votes: bool) -> list:
+    """Groups to book now, best first."""
+    layout = run.layout
+    totals = f"""
+        WITH rows AS ({layout.rows}),
+        totals AS (
+          SELECT *, {run.key} AS place FROM (
+            SELECT gid, a1, a2, sum(value) AS bids_total, sum(tickets) AS num_tickets,
+                   count(*) AS members
+            FROM rows GROUP BY gid, a1, a2)
+          WHERE bids_total {run.clears})"""
+    result = "SELECT gid, a1, a2, bids_total, num_tickets, place FROM"
+    if run.sequential:
+        return _sql(state, f"{totals} {result} totals ORDER BY place LIMIT 1").collect()
+    small = layout.known_groups <= BROADCAST_ROWS
+    if not by_votes:
+        # least places are taken per task first, so an axis value with many groups is no hot spot
+        hint = "/*+ BROADCAST(one), BROADCAST(two) */" if small else ""
+        query = f"""{totals},
+            one AS (SELECT min(place) AS place FROM totals GROUP BY a1),
+            two AS (SELECT min(place) AS place FROM totals GROUP BY a2)
+            {result} (SELECT {hint} * FROM totals LEFT SEMI JOIN one USING (place)
+                                                  LEFT SEMI JOIN two USING (place))"""
+    else:
+        # one vote per user and axis value; the place gives back the group
+        hint = "/*+ BROADCAST(totals) */" if small else ""
+        query = f"""{totals},
+            votes AS (
+              SELECT axis, min(place) AS place FROM (
+                SELECT {hint} user_id, place,
+                       inline(array(struct(1 AS axis, rows.a1 AS at), struct(2 AS axis, rows.a2 AS at)))
+                FROM rows JOIN totals ON rows.gid = totals.gid)
+              GROUP BY user_id, axis, at),
+            named AS (
+              SELECT CAST(pmod(place, {layout.groups}) AS BIGINT) AS gid,
+                     count_if(axis = 1) AS first, count_if(axis = 2) AS second
+              FROM votes GROUP BY place)
+            {result} (SELECT {hint} totals.* FROM named JOIN totals ON named.gid = totals.gid
+                      WHERE members = first AND members = second)"""
+    return _sql(state, f"{query} ORDER BY place LIMIT {WINNERS_PER_ROUND}").collect()
+
+
+def _apply(state: DataFrame, run: _Run, winners: Sequence[int]) -> DataFrame:
+    close = run.layout.close
+    columns = [name for name in state.columns if name != "booked" and name not in close]
+    state = state.selectExpr("*", f"{run.layout.hits(winners)} AS hits")
+    if run.split_users:
         shared = (
             state.where("parts > 1 AND size(hits) > 0")
             .groupBy("user_id")
             .agg(F.expr("flatten(collect_list(hits)) AS shared"))
         )
         # one row per split user at most, and a hit per day at most
-        shared = F.broadcast(shared) if split_users <= BROADCAST_ROWS else shared
+        shared = F.broadcast(shared) if run.split_users <= BROADCAST_ROWS else shared
         state = state.join(shared, "user_id", "left")
         state = state.withColumn("hits", F.coalesce("shared", "hits"))
-    closed = [f"{sql} AS {name}" for name, sql in layout.close.items()]
+    closed = [f"{sql} AS {name}" for name, sql in close.items()]
     return state.selectExpr(*columns, *closed, "concat(booked, hits) AS booked")
 
 
-def _play(
-    nested: DataFrame,
-    layout: Layout,
-    minimum,
-    strict: bool,
-    sequential: bool,
-    split_users: int,
-    rounds_per_write: int,
-):
-    spark = nested.sparkSession
-    shape = layout.shape
-    nested = nested.withColumn(
-        "booked", F.array().cast(_booked_type(shape, nested))
-    )
-    ledger = _Ledger(spark, nested.schema, layout.is_open)
+def _play(nested: DataFrame, run: _Run):
+    layout = run.layout
+    types = {f.name: f.dataType.simpleString() for f in _rows(nested, layout).schema}
+    fields = ",".join(f"{name}:{types[name]}" for name in ("gid", "a1", "a2", "value", "tickets"))
+    booked_type = f"array<struct<{fields}>>"
+    nested = nested.withColumn("booked", F.expr(f"CAST(array() AS {booked_type})"))
+    ledger = _Ledger(nested.sparkSession, nested.schema, layout.is_open)
     state = ledger.write(nested)
     # each part of a split user needs the others, so a round reads its state twice
-    rounds_per_write = 1 if split_users else rounds_per_write
-    clears = over_minimum(F.col("bids_total"), minimum, strict)
-    events, pending = [], 0
+    rounds_per_write = 1 if run.split_users else run.rounds_per_write
+    events, pending, quiet = [], 0, 0
     while True:
-        totals = (
-            layout.rows(state)
-            .groupBy(*shape.group)
-            .agg(
-                F.expr(f"sum({shape.value}) AS bids_total"), F.expr("sum(tickets) AS num_tickets")
-            )
-            .where(clears)
-        )
-        if sequential:
-            found = ranked_groups(totals, shape.group).limit(1)
-        else:
-            found = _leaders(totals, shape)
-        # at most one row per value of an axis
-        winners = [row.asDict() for row in found.collect()]
+        by_votes = quiet == 0
+        winners = _winners(state, run, by_votes)
         if not winners:
             break
-        events.extend(winners)
-        state = _apply(state, layout, winners, split_users)
+        if by_votes:
+            # winners that share a day or a title are those only votes can tell
+            shared = any(len({w[axis] for w in winners}) < len(winners) for axis in ("a1", "a2"))
+            quiet = 0 if shared else ROUNDS_WITHOUT_VOTES
+        else:
+            quiet -= 1
+        events.extend((w["gid"], w["bids_total"], w["num_tickets"]) for w in winners)
+        state = _apply(state, run, [w["gid"] for w in winners])
         pending += 1
         if pending == rounds_per_write:
             state, pending = ledger.write(state), 0
@@ -383,64 +451,54 @@ def _play(
     return events, ledger
 
 
-def _events_frame(spark: SparkSession, events, shape: Shape, schema: T.StructType) -> DataFrame:
-    fields = [T.StructField("event_rank", T.LongType())]
-    fields += [T.StructField(name, schema[name].dataType) for name in shape.group]
-    fields += [
-        T.StructField("bids_total", schema["bids_total"].dataType),
-        T.StructField("num_tickets", T.LongType()),
-    ]
-    rows = [
-        (i + 1, *[event[n] for n in shape.group], event["bids_total"], event["num_tickets"])
-        for i, event in enumerate(events)
-    ]
-    return spark.createDataFrame(rows, T.StructType(fields))
-
-
-def _bookings(
-    nested: DataFrame,
-    layout: Layout,
-    minimum,
-    strict: bool,
-    sequential: bool,
-    split_users: int,
-    rounds_per_write: int,
-) -> Bookings:
-    shape = layout.shape
-    events, ledger = _play(
-        nested, layout, minimum, strict, sequential, split_users, rounds_per_write
-    )
-    if not sequential:
+def _bookings(nested: DataFrame, run: _Run, total_type: T.DataType) -> Bookings:
+    layout, shape = run.layout, run.layout.shape
+    events, ledger = _play(nested, run)
+    if not run.sequential:
         # the sequential rule picks totals that never rise, so this is its order
-        events.sort(key=lambda e: (-e["bids_total"], *[e[n] for n in shape.group]))
-    base = layout.rows(ledger.first())
-    total = base.agg(F.sum(shape.value).alias("bids_total")).schema["bids_total"]
-    frame = _events_frame(base.sparkSession, events, shape, T.StructType([*base.schema, total]))
-    known = F.broadcast(frame) if len(events) <= BROADCAST_ROWS else frame
-
-    booked = ledger.last().select("user_id", F.inline("booked"))
-    if split_users:
-        booked = booked.distinct()
-    booked = booked.join(known.select("event_rank", *shape.group), list(shape.group)).select(
-        "user_id", *shape.group, shape.value, "tickets", "event_rank"
+        events.sort(key=lambda e: (-e[1], e[0]))
+    spark = nested.sparkSession
+    schema = T.StructType(
+        [
+            T.StructField("event_rank", T.LongType()),
+            T.StructField("gid", T.LongType()),
+            T.StructField("bids_total", total_type),
+            T.StructField("num_tickets", T.LongType()),
+        ]
+    )
+    ranked = spark.createDataFrame([(i + 1, *e) for i, e in enumerate(events)], schema)
+    ranked = F.broadcast(ranked) if len(events) <= BROADCAST_ROWS else ranked
+    frame = layout.named(ranked).select("event_rank", *shape.group, "bids_total", "num_tickets")
+
+    entries = ledger.last().selectExpr("user_id", "inline(booked)")
+    if run.split_users:
+        entries = entries.distinct()
+    entries = entries.join(ranked.select("gid", "event_rank"), "gid")
+    booked = layout.named(entries).select(
+        "user_id", *shape.group, F.col("value").alias(shape.value), "tickets", "event_rank"
     )
 
     # a user is booked once per day at most, so their bookings fit in one array
-    wins = booked.groupBy("user_id").agg(
-        F.collect_list(F.struct("event_rank", *shape.group)).alias("wins")
+    wins = entries.groupBy("user_id").agg(
+        F.expr("collect_list(struct(event_rank, gid, a1, a2)) AS wins")
     )
-    one, two = shape.axes
-    flat = layout.rows(ledger.first().join(wins, "user_id", "left"), "wins")
-    related = F.filter("wins", lambda w: (w[one] == F.col(one)) | (w[two] == F.col(two)))
-    group = F.struct(*shape.group)
-    own = F.exists("wins", lambda w: F.struct(*[w[n].alias(n) for n in shape.group]) == group)
-    outcome = flat.select(
+    # read from the same files as the state, so users meet their bookings on user_id alone
+    rows = _rows(ledger.first().join(wins, "user_id", "left"), layout, "wins")
+    rows = rows.selectExpr(
+        "user_id",
+        "gid",
+        "value",
+        "tickets",
+        "exists(wins, w -> w.gid = gid) AS own",
+        "array_min(filter(wins, w -> w.a1 = a1 OR w.a2 = a2)).event_rank AS cause_rank",
+    )
+    outcome = layout.named(rows).select(
         "user_id",
         *shape.group,
-        shape.value,
+        F.col("value").alias(shape.value),
         "tickets",
-        F.when(own, "B").when(F.size(related) > 0, "C").otherwise("A").alias("status"),
-        F.array_min(related).alias("cause"),
+        F.when(F.col("own"), "B").when(F.col("cause_rank").isNotNull(), "C").otherwise("A").alias("status"),
+        "cause_rank",
     )
     return Bookings(frame, booked, outcome)
 
@@ -469,18 +527,20 @@ def book(
         rows = interest_by_slot(bids, slots, keep=("from", "to"))
         rows = rows.where(F.col("day").between(F.col("from"), F.col("to")))
         return allocate(rows, shape, minimum, strict, sequential, per_row, rounds_per_write)
-    bids = bids.select("user_id", "title_id", "total_bid")
+    # read several times below, and possibly the result of a long plan
+    bids = stored(bids.select("user_id", "title_id", "total_bid"), "bids")
     sizes = _sizes(bids, "total_bid", per_row)
-    nested = _nest_calendar(bids, slots.select("user_id", "day"), shape, per_row, sizes.split_users)
-    return _bookings(
-        nested,
-        _calendar(shape),
-        minimum,
-        strict,
-        sizes.negative if sequential is None else sequential,
-        sizes.split_users,
-        rounds_per_write,
+    titles = numbered(bids.select("title_id").distinct(), ["title_id"]).drop("total")
+    days = slots.select("day").distinct().count()
+    layout = _calendar(shape, titles, max(titles.count(), 1), days)
+    bids = bids.join(titles, "title_id").selectExpr(
+        "user_id", "position AS title_no", "total_bid AS value"
     )
+    day_no = F.datediff("day", F.expr(FIRST_OF_CALENDAR)).cast("bigint")
+    slots = slots.select("user_id", day_no.alias("day_no")).where("day_no IS NOT NULL")
+    users = _split(bids, per_row, sizes.split_users) if sizes.split_users else None
+    nested = _nest_calendar(bids, slots, users)
+    return _run(nested, layout, sizes, minimum, strict, sequential, rounds_per_write)
 
 
 def allocate(
@@ -494,18 +554,38 @@ def allocate(
 ) -> Bookings:
     """Greedy booking over listed rows (user_id, group columns, value)."""
     rows = rows.groupBy("user_id", *shape.group).agg(
-        F.sum(shape.value).alias(shape.value), F.count("*").alias("tickets")
+        F.sum(shape.value).alias("value"), F.count("*").alias("tickets")
+    )
+    rows = stored(rows, "rows")
+    sizes = _sizes(rows, "value", per_row)
+    groups = numbered(rows.select(*shape.group).distinct(), shape.group).drop("total")
+    layout = _listed(shape, groups, max(groups.count(), 1))
+    one, two = shape.axes
+    rows = rows.join(groups, list(shape.group)).select(
+        "user_id",
+        F.col("position").alias("gid"),
+        F.col(one).cast("string").alias("a1"),
+        F.col(two).cast("string").alias("a2"),
+        "value",
+        "tickets",
     )
-    sizes = _sizes(rows, shape.value, per_row)
-    return _bookings(
-        _nest_listed(rows, shape, per_row, sizes.split_users),
-        _listed(shape),
-        minimum,
-        strict,
+    users = _split(rows, per_row, sizes.split_users) if sizes.split_users else None
+    nested = _nest_listed(rows, users)
+    return _run(nested, layout, sizes, minimum, strict, sequential, rounds_per_write)
+
+
+def _run(nested, layout, sizes, minimum, strict, sequential, rounds_per_write) -> Bookings:
+    rows = _rows(nested, layout)
+    total_type = rows.agg(F.sum("value").alias("total")).schema["total"].dataType
+    run = _Run(
+        layout,
+        f"> {minimum}" if strict else f">= {minimum}",
+        _key(layout, sizes.total, total_type),
         sizes.negative if sequential is None else sequential,
         sizes.split_users,
         rounds_per_write,
     )
+    return _bookings(nested, run, total_type)
 
 
 def book_venues(

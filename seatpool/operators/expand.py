@@ -2,38 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seatpool.functions.columns import format_hour, hours_after
-from seatpool.session import stored
-
-
-def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Add ``position``, 0, 1, ... in the given order, and ``total``, the row count.
-
-    Rows are sorted by range over the cluster; the only step in one task is a
-    running sum over one count per partition. The sorted rows are stored first,
-    since partition borders are sampled and must not move between uses.
-    """
-    spark = rows.sparkSession
-    ranged = rows.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id())
-    ranged = stored(spark, ranged, "numbered")
-    counts = ranged.groupBy("range_no").agg(F.count("*").alias("n"))
-    everything = Window.orderBy("range_no")
-    offsets = counts.select(
-        "range_no",
-        (F.sum("n").over(everything) - F.col("n")).alias("offset"),
-        F.sum("n").over(Window.partitionBy()).alias("total"),
-    )
-    within = Window.partitionBy("range_no").orderBy(*order)
-    return (
-        ranged.withColumn("row_no", F.row_number().over(within))
-        .join(F.broadcast(offsets), "range_no")  # one row per partition
-        .withColumn("position", F.col("offset") + F.col("row_no") - 1)
-        .drop("range_no", "row_no", "offset")
-    )
+from seatpool.functions.ordered import numbered
 
 
 def expand_bids(

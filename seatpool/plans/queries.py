@@ -128,14 +128,8 @@ def booked_rows(spark, sf_dir):
 
 @query
 def canceled_rows(spark, sf_dir):
-    return booking(spark, sf_dir).canceled().select(
-        "user_id",
-        *GROUP,
-        "total_bid",
-        F.col("cause.event_rank").alias("cause_rank"),
-        F.col("cause.day").alias("cause_day"),
-        F.col("cause.title_id").alias("cause_title"),
-    )
+    rows = booking(spark, sf_dir).with_causes().withColumnRenamed("cause_title_id", "cause_title")
+    return rows.drop("tickets")
 
 
 @query
@@ -314,8 +308,8 @@ def experiment_summary(spark, sf_dir):
     users = customers.select(
         F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") < 0).alias("in_debt")
     )
-    bids = stored(spark, D.interest(spark, sf_dir).join(users, "user_id"), "sweep")
-    slots = stored(spark, D.free_days(spark, sf_dir).join(users, "user_id"), "sweep")
+    bids = stored(D.interest(spark, sf_dir).join(users, "user_id"), "sweep")
+    slots = stored(D.free_days(spark, sf_dir).join(users, "user_id"), "sweep")
     populations = [
         (name, bids.where(F.col("in_debt") == debt), slots.where(F.col("in_debt") == debt))
         for name, debt in (("in debt", True), ("others", False))
@@ -457,7 +451,7 @@ def stream_events(spark, sf_dir):
 @query
 def stream_reservations(spark, sf_dir):
     tables = [f(spark, sf_dir) for f in (D.titles, D.user_bids, D.user_timeslots)]
-    titles, bids, slots = (stored(spark, t, "tables") for t in tables)
+    titles, bids, slots = (stored(t, "tables") for t in tables)
     job = jobs.Reservations(titles, bids, slots, new_folder(spark, "reservations"))
     requests = D.reservation_requests(spark, sf_dir)
     _feed(spark, requests, ["seq", *S.RESERVATION_MESSAGE.names], job.start)
@@ -467,7 +461,7 @@ def stream_reservations(spark, sf_dir):
 @query
 def stream_transitions(spark, sf_dir):
     titles, bids = (
-        stored(spark, t, "tables") for t in (D.titles(spark, sf_dir), D.user_bids(spark, sf_dir))
+        stored(t, "tables") for t in (D.titles(spark, sf_dir), D.user_bids(spark, sf_dir))
     )
     job = jobs.BidRequests(titles, bids, D.NOW, new_folder(spark, "requests"))
     requests = D.bid_requests(spark, sf_dir)

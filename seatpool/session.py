@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -48,8 +48,9 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/seatpool/{purpose}-{uuid.uuid4().hex}"
 
 
-def stored(spark: SparkSession, df, purpose: str):
+def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` once and go on from the written table, which cuts its lineage."""
+    spark = df.sparkSession
     folder = new_folder(spark, purpose)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
