@@ -16,6 +16,9 @@ from seatpool.session import stored
 
 BLOCK = 100_000
 
+# Row counts, known beforehand, up to which a side is broadcast: some 50 MB for the widest.
+BROADCAST_ROWS = 500_000
+
 
 def running(
     rows: DataFrame,
@@ -93,26 +96,26 @@ def first_by(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataF
     return rows.groupBy(*key).agg(first).select(*key, "first.*").select(*rows.columns)
 
 
-def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Add ``position``, 0, 1, ... in the given order, and ``total``, the row count.
+def numbered(rows: DataFrame, order: Sequence[str]) -> tuple[DataFrame, int]:
+    """Add ``position``, 0, 1, ... in the given order; also the number of rows.
 
-    Rows are sorted by range over the cluster; the only step in one task is a
-    running sum over one count per partition. The sorted rows are stored first,
-    since partition borders are sampled and must not move between uses.
+    Rows are sorted by range over the cluster, and only one count per partition
+    comes to the driver. The sorted rows are stored first, since partition
+    borders are sampled and must not move between uses.
     """
     ranged = rows.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id())
     ranged = stored(ranged, "numbered")
-    counts = ranged.groupBy("range_no").agg(F.count("*").alias("n"))
-    everything = Window.orderBy("range_no")
-    offsets = counts.select(
-        "range_no",
-        (F.sum("n").over(everything) - F.col("n")).alias("offset"),
-        F.sum("n").over(Window.partitionBy()).alias("total"),
-    )
+    counts = ranged.groupBy("range_no").count().orderBy("range_no").collect()
+    offsets, total = [F.lit(-1), F.lit(0)], 0
+    for row in counts:
+        offsets += [F.lit(row["range_no"]), F.lit(total)]
+        total += row["count"]
     within = Window.partitionBy("range_no").orderBy(*order)
-    return (
-        ranged.withColumn("row_no", F.row_number().over(within))
-        .join(F.broadcast(offsets), "range_no")  # one row per partition
-        .withColumn("position", F.col("offset") + F.col("row_no") - 1)
-        .drop("range_no", "row_no", "offset")
-    )
+    before = F.create_map(*offsets)[F.col("range_no")]
+    position = (before + F.row_number().over(within) - 1).cast("bigint")
+    return ranged.withColumn("position", position).drop("range_no"), total
+
+
+def sized(rows: DataFrame, count: int) -> DataFrame:
+    """A side of a join whose row count is known: broadcast if that is small enough."""
+    return F.broadcast(rows) if count <= BROADCAST_ROWS else rows

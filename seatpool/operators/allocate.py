@@ -37,7 +37,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from seatpool import schemas
-from seatpool.functions.ordered import numbered
+from seatpool.functions import ordered
+from seatpool.functions.ordered import numbered, sized
 from seatpool.operators.joins import interest_by_slot
 from seatpool.session import new_folder, stored
 
@@ -49,8 +50,6 @@ ROUNDS_PER_WRITE = 4
 ROUNDS_WITHOUT_VOTES = 8
 # Winners applied in one round; further dominant groups stay dominant and follow in the next.
 WINNERS_PER_ROUND = 20_000
-# Driver-known row counts up to which a side is broadcast: some 50 MB for the widest.
-BROADCAST_ROWS = 500_000
 # Days from the start of year 1 to the end of year 9999.
 CALENDAR_DAYS = 3_652_059
 FIRST_OF_CALENDAR = "DATE'0001-01-01'"
@@ -204,7 +203,7 @@ def _listed(shape: Shape, groups: DataFrame, count: int) -> Layout:
         return f"filter(options, o -> o.gid IN ({wanted}))"
 
     def named(rows: DataFrame) -> DataFrame:
-        return rows.join(groups.withColumnRenamed("position", "gid"), "gid")
+        return rows.join(groups, F.col("gid") == F.col("position")).drop("position")
 
     return Layout(
         shape,
@@ -250,8 +249,7 @@ def _split(rows: DataFrame, per_row: int, split_users: int) -> DataFrame:
         .agg(F.ceil(F.count("*") / per_row).cast("int").alias("parts"))
         .where("parts > 1")
     )
-    # at most rows / per_row users, counted beforehand
-    return F.broadcast(users) if split_users <= BROADCAST_ROWS else users
+    return sized(users, split_users)
 
 
 def _files(rows: DataFrame) -> int:
@@ -373,7 +371,7 @@ def _winners(state: DataFrame, run: _Run, by_votes: bool) -> list:
     result = "SELECT gid, a1, a2, bids_total, num_tickets, place FROM"
     if run.sequential:
         return _sql(state, f"{totals} {result} totals ORDER BY place LIMIT 1").collect()
-    small = layout.known_groups <= BROADCAST_ROWS
+    small = layout.known_groups <= ordered.BROADCAST_ROWS
     if not by_votes:
         # least places are taken per task first, so an axis value with many groups is no hot spot
         hint = "/*+ BROADCAST(one), BROADCAST(two) */" if small else ""
@@ -411,9 +409,8 @@ def _apply(state: DataFrame, run: _Run, winners: Sequence[int]) -> DataFrame:
             .groupBy("user_id")
             .agg(F.expr("flatten(collect_list(hits)) AS shared"))
         )
-        # one row per split user at most, and a hit per day at most
-        shared = F.broadcast(shared) if run.split_users <= BROADCAST_ROWS else shared
-        state = state.join(shared, "user_id", "left")
+        # a hit per day and split user at most
+        state = state.join(sized(shared, run.split_users), "user_id", "left")
         state = state.withColumn("hits", F.coalesce("shared", "hits"))
     closed = [f"{sql} AS {name}" for name, sql in close.items()]
     return state.selectExpr(*columns, *closed, "concat(booked, hits) AS booked")
@@ -467,7 +464,7 @@ def _bookings(nested: DataFrame, run: _Run, total_type: T.DataType) -> Bookings:
         ]
     )
     ranked = spark.createDataFrame([(i + 1, *e) for i, e in enumerate(events)], schema)
-    ranked = F.broadcast(ranked) if len(events) <= BROADCAST_ROWS else ranked
+    ranked = sized(ranked, len(events))
     frame = layout.named(ranked).select("event_rank", *shape.group, "bids_total", "num_tickets")
 
     entries = ledger.last().selectExpr("user_id", "inline(booked)")
@@ -497,7 +494,10 @@ def _bookings(nested: DataFrame, run: _Run, total_type: T.DataType) -> Bookings:
         *shape.group,
         F.col("value").alias(shape.value),
         "tickets",
-        F.when(F.col("own"), "B").when(F.col("cause_rank").isNotNull(), "C").otherwise("A").alias("status"),
+        F.when(F.col("own"), "B")
+        .when(F.col("cause_rank").isNotNull(), "C")
+        .otherwise("A")
+        .alias("status"),
         "cause_rank",
     )
     return Bookings(frame, booked, outcome)
@@ -530,9 +530,10 @@ def book(
     # read several times below, and possibly the result of a long plan
     bids = stored(bids.select("user_id", "title_id", "total_bid"), "bids")
     sizes = _sizes(bids, "total_bid", per_row)
-    titles = numbered(bids.select("title_id").distinct(), ["title_id"]).drop("total")
+    titles, count = numbered(bids.select("title_id").distinct(), ["title_id"])
+    titles = sized(titles, count)
     days = slots.select("day").distinct().count()
-    layout = _calendar(shape, titles, max(titles.count(), 1), days)
+    layout = _calendar(shape, titles, max(count, 1), days)
     bids = bids.join(titles, "title_id").selectExpr(
         "user_id", "position AS title_no", "total_bid AS value"
     )
@@ -558,8 +559,9 @@ def allocate(
     )
     rows = stored(rows, "rows")
     sizes = _sizes(rows, "value", per_row)
-    groups = numbered(rows.select(*shape.group).distinct(), shape.group).drop("total")
-    layout = _listed(shape, groups, max(groups.count(), 1))
+    groups, count = numbered(rows.select(*shape.group).distinct(), shape.group)
+    groups = sized(groups, count)
+    layout = _listed(shape, groups, max(count, 1))
     one, two = shape.axes
     rows = rows.join(groups, list(shape.group)).select(
         "user_id",

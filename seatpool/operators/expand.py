@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seatpool.functions.columns import format_hour, hours_after
-from seatpool.functions.ordered import numbered
+from seatpool.functions.ordered import numbered, sized
 
 
 def expand_bids(
@@ -24,8 +24,6 @@ def expand_bids(
     grid of every second hour from midnight to noon. Choices follow from the
     numbers of the user and of the line, not from chance.
     """
-    titles = numbered(titles.select("title_id"), ["title_id"])
-    venues = numbered(venues.select("venue_id"), ["venue_id"])
 
     def steps(count: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
@@ -44,26 +42,23 @@ def expand_bids(
     lines = lines.withColumn(
         "timeslot", format_hour(hours_after(day, (F.col("slot_line") % 7 * 2).cast("int")))
     )
-    lines = _round_robin(lines, titles, "title_line")
-    lines = _round_robin(lines, venues, "venue_line")
+    lines = _round_robin(lines, titles, "title_id", "title_line")
+    lines = _round_robin(lines, venues, "venue_id", "venue_line")
     return lines.select("user_id", "title_id", "timeslot", "venue_id", "total_bid")
 
 
-def _round_robin(lines: DataFrame, choices: DataFrame, line: str) -> DataFrame:
-    count = choices.select(F.col("total").alias("choices")).limit(1)
-    lines = lines.join(F.broadcast(count), F.lit(True))  # a single row
-    choices = choices.drop("total")
-    return lines.join(
-        choices, F.pmod(F.col(line), F.col("choices")) == F.col("position")
-    ).drop("position", "choices")
+def _round_robin(lines: DataFrame, choices: DataFrame, name: str, line: str) -> DataFrame:
+    choices, count = numbered(choices.select(name), [name])
+    turn = F.pmod(F.col(line), F.lit(max(count, 1))) == F.col("position")
+    return lines.join(sized(choices, count), turn).drop("position")
 
 
 def validity_split(titles: DataFrame, today: str, days: int = 14) -> DataFrame:
     """The first half of the titles is current, the second half ended yesterday."""
-    numbered_titles = numbered(titles.select("title_id", "title_name"), ["title_id"])
+    placed, count = numbered(titles.select("title_id", "title_name"), ["title_id"])
     now = F.lit(today).cast("date")
-    current = F.col("position") * 2 < F.col("total")
-    return numbered_titles.select(
+    current = F.col("position") * 2 < count
+    return placed.select(
         "title_id",
         "title_name",
         F.when(current, now).otherwise(F.date_add(now, -1 - days)).alias("from"),

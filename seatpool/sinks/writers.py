@@ -83,3 +83,21 @@ def read_latest(
 ) -> DataFrame:
     """K4, read side: the last change per key."""
     return latest(read_changes(spark, folder, schema), key, ["batch", seq]).drop("batch")
+
+
+def compact(
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    key: Sequence[str],
+    target: str,
+    upto: int,
+    seq: str = "seq",
+) -> None:
+    """K4: the last change per key of all batches up to one, as one batch of a new folder.
+
+    Readers move to the new folder, and later batches are put there. It keeps
+    what a read has to merge in proportion to the table, not to its history.
+    """
+    rows = read_changes(spark, folder, schema, upto + 1)
+    put_changes(latest(rows, key, ["batch", seq]).drop("batch"), target, upto)

@@ -9,13 +9,14 @@ it wrote, and the result does not depend on how lines fell into batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from seatpool import schemas as S
 from seatpool.functions.columns import composite_key, parse_day
+from seatpool.functions.ordered import sized
 from seatpool.operators import applying, requests as R
 from seatpool.operators.allocate import Bookings, book
 from seatpool.operators.upsert import with_status
@@ -39,6 +40,27 @@ def _create(spark: SparkSession, folder: str, schema: T.StructType) -> None:
     put_changes(spark.createDataFrame([], schema), folder, FIRST_BATCH)
 
 
+_Keys = Callable[[DataFrame, Sequence[str]], DataFrame]
+
+
+def _keep_all(table: DataFrame, key: Sequence[str]) -> DataFrame:
+    return table
+
+
+def _of_batch(batch: DataFrame) -> _Keys:
+    """Keep the rows of a table whose keys occur in a batch.
+
+    A batch is small against the tables, and its rows are counted, so the tables
+    are scanned but not shuffled.
+    """
+    count = batch.count()
+
+    def keep(table: DataFrame, key: Sequence[str]) -> DataFrame:
+        return table.join(sized(batch.select(*key).distinct(), count), list(key), "left_semi")
+
+    return keep
+
+
 def _start(
     lines: DataFrame, step: Callable[[DataFrame, int], None], folder: str, trigger: dict
 ) -> StreamingQuery:
@@ -119,26 +141,31 @@ class Reservations:
         rows = readers.reservation_messages(batch)
         return rows.withColumn("user_id", F.col("user_id").cast(self.bid_keys["user_id"].dataType))
 
-    def bids_now(self, before: int | None = None) -> DataFrame:
+    def bids_now(self, before: int | None = None, only: _Keys = _keep_all) -> DataFrame:
+        key = ["user_id", "title_id"]
         taken = read_changes(self.spark, f"{self.folder}/taken_bids", self.bid_keys, before)
-        return with_status(self.bids, taken.drop("batch"), ["user_id", "title_id"], S.BOOKED)
+        return with_status(only(self.bids, key), only(taken, key), key, S.BOOKED)
 
-    def slots_now(self, before: int | None = None) -> DataFrame:
+    def slots_now(self, before: int | None = None, only: _Keys = _keep_all) -> DataFrame:
+        key = ["user_id", "day"]
         taken = read_changes(self.spark, f"{self.folder}/taken_slots", self.slot_keys, before)
-        return with_status(self.slots, taken.drop("batch"), ["user_id", "day"], S.BOOKED)
+        return with_status(only(self.slots, key), only(taken, key), key, S.BOOKED)
 
     def bookings(self) -> DataFrame:
         return read_changes(self.spark, f"{self.folder}/bookings", self.booking_schema).drop("batch")
 
     def _step(self, batch: DataFrame, number: int) -> None:
+        rows = self._messages(batch).persist()
+        only = _of_batch(rows)
         applied = applying.apply_reservations(
-            self._messages(batch), self.titles, self.bids_now(number), self.slots_now(number)
+            rows, self.titles, self.bids_now(number, only), self.slots_now(number, only)
         )
         bids = applied.bid_winners.select(*self.bid_keys.names)
         slots = applied.slot_winners.select(*self.slot_keys.names)
         put_changes(bids, f"{self.folder}/taken_bids", number)
         put_changes(slots, f"{self.folder}/taken_slots", number)
         put_changes(applied.bookings, f"{self.folder}/bookings", number)
+        rows.unpersist()
 
     def start(self, lines: DataFrame, trigger: dict = ONCE) -> StreamingQuery:
         return _start(lines, self._step, self.folder, trigger)
@@ -176,12 +203,13 @@ class BidRequests:
         _create(self.spark, f"{folder}/changes", self.change_schema)
         _create(self.spark, f"{folder}/results", self.result_schema)
 
-    def bids_now(self, before: int | None = None) -> DataFrame:
+    def bids_now(self, before: int | None = None, only: _Keys = _keep_all) -> DataFrame:
         changes = read_changes(self.spark, f"{self.folder}/changes", self.change_schema, before)
+        changes = only(changes, self.key)
         # numbers of a later batch act after those of an earlier one
         order = F.struct("batch", "seq").alias("seq")
         changes = changes.select("op", *self.key, "status", *self.fields, order)
-        return R.after_requests(self.bids, changes, self.key, self.fields)
+        return R.after_requests(only(self.bids, self.key), changes, self.key, self.fields)
 
     def results(self) -> DataFrame:
         return read_changes(self.spark, f"{self.folder}/results", self.result_schema).drop("batch")
@@ -198,14 +226,15 @@ class BidRequests:
         )
 
     def _step(self, batch: DataFrame, number: int) -> None:
-        outcome = R.bid_requests(
-            self._requests(batch), self.titles, self.bids_now(number), self.now
-        )
+        rows = self._requests(batch).persist()
+        bids = self.bids_now(number, _of_batch(rows))
+        outcome = R.bid_requests(rows, self.titles, bids, self.now)
         changes = outcome.changes.select(*self.change_schema.names)
         put_changes(changes, f"{self.folder}/changes", number)
         put_changes(
             outcome.results.select(*self.result_schema.names), f"{self.folder}/results", number
         )
+        rows.unpersist()
 
     def start(self, lines: DataFrame, trigger: dict = ONCE) -> StreamingQuery:
         return _start(lines, self._step, self.folder, trigger)

@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 
 from brute import greedy
+from seatpool.functions import ordered
 from seatpool.operators import allocate as A
 
 DAY = date(2020, 2, 1)
@@ -151,7 +152,7 @@ def test_both_winner_tests_and_a_small_batch_of_winners(spark, monkeypatch):
     monkeypatch.setattr(A, "WINNERS_PER_ROUND", 5)
     monkeypatch.setattr(A, "ROUNDS_WITHOUT_VOTES", 2)
     same_as_brute(A.book(*frames(spark, interest, free), 1), interest, free, 1)
-    monkeypatch.setattr(A, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", 0)
     same_as_brute(A.book(*frames(spark, interest, free), 1), interest, free, 1)
 
 
