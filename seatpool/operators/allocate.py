@@ -372,14 +372,18 @@ def _winners(state: DataFrame, run: _Run, by_votes: bool) -> list:
     if run.sequential:
         return _sql(state, f"{totals} {result} totals ORDER BY place LIMIT 1").collect()
     small = layout.known_groups <= ordered.BROADCAST_ROWS
-    if not by_votes:
+    if not by_votes and small:
+        query = f"""{totals}
+            {result} (SELECT *, min(place) OVER (PARTITION BY a1) AS one,
+                                min(place) OVER (PARTITION BY a2) AS two FROM totals)
+            WHERE place = one AND place = two"""
+    elif not by_votes:
         # least places are taken per task first, so an axis value with many groups is no hot spot
-        hint = "/*+ BROADCAST(one), BROADCAST(two) */" if small else ""
         query = f"""{totals},
             one AS (SELECT min(place) AS place FROM totals GROUP BY a1),
             two AS (SELECT min(place) AS place FROM totals GROUP BY a2)
-            {result} (SELECT {hint} * FROM totals LEFT SEMI JOIN one USING (place)
-                                                  LEFT SEMI JOIN two USING (place))"""
+            {result} (SELECT * FROM totals LEFT SEMI JOIN one USING (place)
+                                           LEFT SEMI JOIN two USING (place))"""
     else:
         # one vote per user and axis value; the place gives back the group
         hint = "/*+ BROADCAST(totals) */" if small else ""
