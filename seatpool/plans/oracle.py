@@ -231,8 +231,7 @@ SELECT user_id || '_' || title_id AS user_id_title_id, CAST(user_id AS VARCHAR)
   CAST(CAST(value AS DECIMAL(10, 2)) AS DOUBLE) AS ticket_bid, {_iso('day')} AS "from",
   {_iso('day + 7')} AS "to", k % 4 <> 0 AS is_preapp,
   user_id || '_' || status AS user_id_status
-FROM (SELECT *, CASE event_type WHEN 'error' THEN 'CANCELED_BY_USER' ELSE 'AVAILABLE' END AS st
-      FROM changes)
+FROM changes
 QUALIFY row_number() OVER (PARTITION BY user_id, title_id ORDER BY seq DESC) = 1"""
 
 SWEEP = f"""WITH RECURSIVE {LINES}, {INTEREST}, {FREE_DAYS}, {JOINED},
@@ -461,6 +460,11 @@ FROM venue_bids""",
 SELECT CAST(user_id AS VARCHAR) AS user_id, title_id, total_bid FROM interest""",
     "timeslot_csv": f"""WITH {FREE_DAYS}
 SELECT CAST(user_id AS VARCHAR) AS user_id, {_iso('day')} AS day FROM free_days""",
+    "encoded_records": f"""WITH {REQUESTS}, {CHANGES}
+SELECT seq, CAST(user_id AS VARCHAR) AS user_id, title_id, status,
+  CAST(CASE WHEN k % 3 <> 0 THEN k % 7 + 1 ELSE 1 END AS INTEGER) AS num_tickets,
+  CAST(CAST(value AS DECIMAL(10, 2)) AS DOUBLE) AS ticket_bid, {_iso('day')} AS "from",
+  {_iso('day + 7')} AS "to", k % 4 <> 0 AS is_preapp FROM changes""",
     "stream_bid_upsert": STREAM_BIDS,
     "stream_events": f"{SHOW_EVENTS} SELECT {SHOW_EVENT_COLUMNS} FROM show_event",
     "stream_reservations": f"{APPLIED} SELECT {BOOKING_COLUMNS} FROM booking",

@@ -391,6 +391,16 @@ def timeslot_csv(spark, sf_dir):
     return readers.timeslot_csv(spark, folder)
 
 
+@query
+def encoded_records(spark, sf_dir):
+    """Bid records as base64 lines and back."""
+    folder = new_folder(spark, "records")
+    requests = R.with_defaults(D.bid_requests(spark, sf_dir))
+    lines = writers.as_json(requests, ["seq", *S.BID_RECORD.names])
+    writers.write_messages(writers.encoded(lines), folder)
+    return readers.bid_records(readers.decoded(spark.read.text(folder)))
+
+
 # ---------------------------------------------------------------- streams
 
 

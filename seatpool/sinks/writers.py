@@ -31,6 +31,12 @@ def reservation_messages(booked: DataFrame, *extra: str) -> DataFrame:
     return as_json(booked, [*extra, "user_id", "day", "title_id"])
 
 
+def encoded(lines: DataFrame) -> DataFrame:
+    """F8: messages as base64 on one line, the form of a stream record."""
+    text = F.base64(F.col("value").cast("binary"))
+    return lines.select(F.translate(text, "\r\n", "").alias("value"))
+
+
 def write_messages(lines: DataFrame, folder: str) -> None:
     lines.write.mode("append").text(folder)
 

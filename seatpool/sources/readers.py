@@ -110,10 +110,31 @@ def messages(lines: DataFrame, schema: T.StructType, seq: bool = True) -> DataFr
 
     Works the same on a static and on a streaming DataFrame.
     """
-    if seq:
-        schema = T.StructType([T.StructField("seq", T.LongType()), *schema.fields])
-    parsed = lines.select(F.from_json("value", schema).alias("m")).where("m IS NOT NULL")
-    return parsed.select("m.*")
+    fields = [T.StructField("seq", T.LongType())] if seq else []
+    bad = T.StructField("unparsed", T.StringType())
+    schema = T.StructType([*fields, *schema.fields, bad])
+    options = {"columnNameOfCorruptRecord": bad.name}
+    parsed = lines.select(F.from_json("value", schema, options).alias("m"))
+    return parsed.where("m IS NOT NULL AND m.unparsed IS NULL").select("m.*").drop(bad.name)
+
+
+def delivered(lines: DataFrame, content: str = "body") -> DataFrame:
+    """Messages out of deliveries ``{"Records": [{content: message}, ...]}``.
+
+    ``content`` may be a path of two names, such as ``Sns.Message``. A message
+    may be an object or its text.
+    """
+    kind = T.StringType()
+    for name in reversed(content.split(".")):
+        kind = T.StructType([T.StructField(name, kind)])
+    schema = T.StructType([T.StructField("Records", T.ArrayType(kind))])
+    records = lines.select(F.from_json("value", schema)["Records"].alias("records"))
+    return records.select(F.explode(f"records.{content}").alias("value"))
+
+
+def decoded(lines: DataFrame) -> DataFrame:
+    """Lines of base64 as text."""
+    return lines.select(F.unbase64("value").cast("string").alias("value"))
 
 
 def event_messages(lines: DataFrame, seq: bool = False) -> DataFrame:

@@ -84,6 +84,20 @@ def test_messages_round_trip_and_bad_lines(spark):
     assert booked.first()[0] == '{"user_id":"u","day":"2020-02-01","title_id":"t"}'
 
 
+def test_deliveries_of_several_messages(spark):
+    queue = '{"Records":[{"body":"{\\"user_id\\":\\"u\\",\\"day\\":\\"2020-02-01\\",\\"title_id\\":\\"t\\"}"},{"body":"no message"}]}'
+    topic = '{"Records":[{"Sns":{"Message":{"user_id":"u","title_id":"t","num_tickets":"2","ticket_bid":"x"}}}]}'
+    lines = spark.createDataFrame([(queue,)], "value string")
+    found = readers.reservation_messages(readers.delivered(lines), seq=False)
+    assert [tuple(r) for r in found.collect()] == [("u", DAY, "t")]
+    lines = spark.createDataFrame([(topic,)], "value string")
+    record = readers.bid_records(readers.delivered(lines, "Sns.Message"), seq=False).first()
+    assert (record["user_id"], record["num_tickets"], record["ticket_bid"]) == ("u", 2, None)
+    again = readers.decoded(writers.encoded(lines))
+    assert again.first()[0] == topic
+    assert len(writers.encoded(lines).first()[0].splitlines()) == 1
+
+
 def test_clear_table(spark, tmp_path):
     folder = str(tmp_path / "table")
     spark.range(3).selectExpr("CAST(id AS STRING) AS user_id").write.parquet(folder)
