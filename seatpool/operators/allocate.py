@@ -44,6 +44,8 @@ from seatpool.session import new_folder, stored
 
 # Options of one user kept in one nested row. Users above it are split.
 OPTIONS_PER_ROW = 50_000
+# Bids per file of a state, while the session's shuffle partitions allow as many files.
+ROWS_PER_FILE = 200_000
 # Rounds computed from one written state.
 ROUNDS_PER_WRITE = 4
 # After this many rounds without votes, ask again whether votes find more.
@@ -227,6 +229,7 @@ class _Sizes(NamedTuple):
     split_users: int
     negative: bool
     total: int
+    files: int
 
 
 def _sizes(rows: DataFrame, value: str, per_row: int) -> _Sizes:
@@ -237,9 +240,14 @@ def _sizes(rows: DataFrame, value: str, per_row: int) -> _Sizes:
         F.count_if(F.col("n") > per_row).alias("split"),
         F.min("low").alias("low"),
         F.sum("total").alias("total"),
+        F.sum("n").alias("rows"),
     ).first()
     negative = found["low"] is not None and found["low"] < 0
-    return _Sizes(found["split"], negative, found["total"] or 0)
+    # enough partitions for every core and for the rows, up to what the session shuffles into
+    spark = rows.sparkSession
+    wanted = max(spark.sparkContext.defaultParallelism, (found["rows"] or 0) // ROWS_PER_FILE)
+    files = min(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _Sizes(found["split"], negative, found["total"] or 0, files)
 
 
 def _split(rows: DataFrame, per_row: int, split_users: int) -> DataFrame:
@@ -252,29 +260,26 @@ def _split(rows: DataFrame, per_row: int, split_users: int) -> DataFrame:
     return sized(users, split_users)
 
 
-def _files(rows: DataFrame) -> int:
-    """As many partitions as the session shuffles into, so that every scan uses the cluster."""
-    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _nested(rows: DataFrame, users: DataFrame | None, key: str, array: Column) -> DataFrame:
+def _nested(
+    rows: DataFrame, users: DataFrame | None, key: str, array: Column, files: int
+) -> DataFrame:
     if users is None:
-        grouped = rows.repartition(_files(rows), "user_id").groupBy("user_id")
+        grouped = rows.repartition(files, "user_id").groupBy("user_id")
         return grouped.agg(F.lit(0).alias("part"), F.lit(1).alias("parts"), array)
     rows = rows.join(users, "user_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
-    rows = rows.repartition(_files(rows), "user_id", "part")
+    rows = rows.repartition(files, "user_id", "part")
     return rows.groupBy("user_id", "part").agg(F.first("parts").alias("parts"), array)
 
 
-def _nest_calendar(bids: DataFrame, slots: DataFrame, users: DataFrame | None) -> DataFrame:
+def _nest_calendar(
+    bids: DataFrame, slots: DataFrame, users: DataFrame | None, files: int
+) -> DataFrame:
     """Bids (user_id, title_no, value) and slots (user_id, day_no), one row per user and part."""
-    bids = _nested(
-        bids, users, "title_no", F.collect_list(F.struct("title_no", "value")).alias("bids")
-    )
+    array = F.collect_list(F.struct("title_no", "value")).alias("bids")
+    bids = _nested(bids, users, "title_no", array, files)
     # a user's days are bounded by the calendar, so they fit in one array
     days = F.collect_set("day_no").alias("days")
-    files = _files(slots)
     if users is None:
         slots = slots.repartition(files, "user_id").groupBy("user_id").agg(days)
         return bids.join(slots, "user_id")
@@ -284,9 +289,9 @@ def _nest_calendar(bids: DataFrame, slots: DataFrame, users: DataFrame | None) -
     return bids.join(slots.repartition(files, "user_id", "part"), ["user_id", "part"])
 
 
-def _nest_listed(rows: DataFrame, users: DataFrame | None) -> DataFrame:
+def _nest_listed(rows: DataFrame, users: DataFrame | None, files: int) -> DataFrame:
     options = F.collect_list(F.struct("gid", "a1", "a2", "value", "tickets")).alias("options")
-    return _nested(rows, users, "gid", options)
+    return _nested(rows, users, "gid", options, files)
 
 
 # ---------------------------------------------------------------- rounds
@@ -544,7 +549,7 @@ def book(
     day_no = F.datediff("day", F.expr(FIRST_OF_CALENDAR)).cast("bigint")
     slots = slots.select("user_id", day_no.alias("day_no")).where("day_no IS NOT NULL")
     users = _split(bids, per_row, sizes.split_users) if sizes.split_users else None
-    nested = _nest_calendar(bids, slots, users)
+    nested = _nest_calendar(bids, slots, users, sizes.files)
     return _run(nested, layout, sizes, minimum, strict, sequential, rounds_per_write)
 
 
@@ -576,7 +581,7 @@ def allocate(
         "tickets",
     )
     users = _split(rows, per_row, sizes.split_users) if sizes.split_users else None
-    nested = _nest_listed(rows, users)
+    nested = _nest_listed(rows, users, sizes.files)
     return _run(nested, layout, sizes, minimum, strict, sequential, rounds_per_write)
 
 
