@@ -8,11 +8,10 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
-from seatpool.plans import domain
+from seatpool.plans import domain, oracle, queries as registry
 from seatpool.sources import readers
 
-QUERIES = entry.queries()
+QUERIES = registry.registered()
 
 
 @pytest.fixture(scope="module")
@@ -30,13 +29,13 @@ def plain(rows, columns):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(oracle.SQL)
 
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, sf_dir, tables, name):
     found = QUERIES[name](spark, sf_dir)
-    cursor = tables.execute(entry.oracle_sql()[name])
+    cursor = tables.execute(oracle.SQL[name])
     columns = [column[0] for column in cursor.description]
     assert sorted(columns) == sorted(found.columns)
     assert plain(found.collect(), found.columns) == plain(cursor.fetchall(), columns)
