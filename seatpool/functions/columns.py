@@ -30,10 +30,11 @@ def composite_key(*parts) -> Column:
 
 
 def ticket_price(total: Column, tickets: Column) -> Column:
-    """a quarter above the mean bid, rounded up, in exact whole-number arithmetic."""
+    """a quarter above the mean bid, rounded up, exact for whole numbers and decimals."""
     numerator = total * 5
     denominator = tickets * 4
-    return F.call_function("div", numerator + denominator - 1, denominator).cast("bigint")
+    whole = F.call_function("div", numerator, denominator)
+    return (whole + F.when(numerator % denominator > 0, 1).otherwise(0)).cast("bigint")
 
 
 def today(now, zone: str = S.USER_ZONE) -> Column:

@@ -527,9 +527,10 @@ def book(
 ) -> Bookings:
     """I1 over bids (user_id, title_id, total_bid) and free days (user_id, day).
 
-    Bids are unique per user and title. ``sequential`` books one group per
-    round; it is chosen by itself if a bid is negative, since totals may then
-    rise. ``respect_validity`` keeps only days between the bid's from and to.
+    Bids of one user for one title add up to one; bids without user, title or amount
+    are left out. ``sequential`` books one group per round; it is chosen by itself if a
+    bid is negative, since totals may then rise, and False is then an error.
+    ``respect_validity`` keeps only days between the bid's from and to.
     """
     shape = Shape(("day", "title_id"), ("day", "title_id"), "total_bid")
     if respect_validity:
@@ -537,7 +538,9 @@ def book(
         rows = rows.where(F.col("day").between(F.col("from"), F.col("to")))
         return allocate(rows, shape, minimum, strict, sequential, per_row, rounds_per_write)
     # read several times below, and possibly the result of a long plan
-    bids = stored(bids.select("user_id", "title_id", "total_bid"), "bids")
+    bids = bids.select("user_id", "title_id", "total_bid").dropna()
+    bids = bids.groupBy("user_id", "title_id").agg(F.sum("total_bid").alias("total_bid"))
+    bids = stored(bids, "bids")
     sizes = _sizes(bids, "total_bid", per_row)
     titles, count = numbered(bids.select("title_id").distinct(), ["title_id"])
     titles = sized(titles, count)
@@ -562,7 +565,11 @@ def allocate(
     per_row: int = OPTIONS_PER_ROW,
     rounds_per_write: int = ROUNDS_PER_WRITE,
 ) -> Bookings:
-    """Greedy booking over listed rows (user_id, group columns, value)."""
+    """Greedy booking over listed rows (user_id, group columns, value).
+
+    Rows without user, group or value cannot be booked and are left out.
+    """
+    rows = rows.dropna(subset=["user_id", *shape.group, shape.value])
     rows = rows.groupBy("user_id", *shape.group).agg(
         F.sum(shape.value).alias("value"), F.count("*").alias("tickets")
     )
@@ -586,6 +593,8 @@ def allocate(
 
 
 def _run(nested, layout, sizes, minimum, strict, sequential, rounds_per_write) -> Bookings:
+    if sizes.negative and sequential is False:
+        raise ValueError("negative bids need the sequential form")
     rows = _rows(nested, layout)
     total_type = rows.agg(F.sum("value").alias("total")).schema["total"].dataType
     run = _Run(

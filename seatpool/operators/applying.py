@@ -38,7 +38,7 @@ def show_events(
         F.when(left <= 0, S.FULL).otherwise(S.AVAILABLE).alias("status"),
         left.alias("num_tickets_available"),
         ticket_price(
-            F.col("bids_total").cast("bigint"), F.col("num_tickets").cast("bigint")
+            F.col("bids_total").cast("decimal(30,6)"), F.col("num_tickets").cast("bigint")
         ).alias("ticket_price"),
     )
 

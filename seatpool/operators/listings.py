@@ -10,20 +10,25 @@ from seatpool import schemas as S
 from seatpool.functions.ordered import BLOCK, running
 
 
-def capped(
+def page(
     rows: DataFrame,
-    order: Sequence[str],
+    order: str,
     per: Sequence[str] = (),
-    limit: int = S.LISTING_LIMIT,
+    limit: int | None = None,
+    after: str | None = None,
 ) -> DataFrame:
-    """T4: the first rows by key, per asker or overall.
+    """T4: all rows, or the first ``limit`` by key, per asker or overall, behind key ``after``.
 
     The rank filter is applied inside each task before the shuffle, so at most
-    ``limit`` rows per asker leave a task.
+    ``limit`` rows per asker leave a task. The last key of a page is the next ``after``.
     """
+    if after is not None:
+        rows = rows.where(F.col(order) > F.lit(after))
+    if limit is None:
+        return rows
     if not per:
-        return rows.orderBy(*order).limit(limit)
-    ranks = Window.partitionBy(*per).orderBy(*order)
+        return rows.orderBy(order).limit(limit)
+    ranks = Window.partitionBy(*per).orderBy(order)
     return rows.withColumn("rank_no", F.row_number().over(ranks)).where(
         F.col("rank_no") <= limit
     ).drop("rank_no")
@@ -34,8 +39,10 @@ def lookup(requests: DataFrame, table: DataFrame, key: Sequence[str]) -> DataFra
     return requests.join(table, list(key), "left")
 
 
-def active_bids(bids: DataFrame, users: DataFrame | None = None) -> DataFrame:
-    """AVAILABLE bids per user, at most 100 each."""
+def active_bids(
+    bids: DataFrame, users: DataFrame | None = None, limit: int | None = None, after: str | None = None
+) -> DataFrame:
+    """AVAILABLE bids per user."""
     rows = bids.where(F.col("status") == S.AVAILABLE).select(
         "user_id",
         "user_id_title_id",
@@ -47,30 +54,36 @@ def active_bids(bids: DataFrame, users: DataFrame | None = None) -> DataFrame:
         "status",
         "is_preapp",
     )
-    return capped(_of(rows, users), ["user_id_title_id"], per=["user_id"])
+    return page(_of(rows, users), "user_id_title_id", ["user_id"], limit, after)
 
 
-def timeslots(slots: DataFrame, users: DataFrame | None = None) -> DataFrame:
-    """Timeslots that are not expired, at most 100 per user."""
+def timeslots(
+    slots: DataFrame, users: DataFrame | None = None, limit: int | None = None, after: str | None = None
+) -> DataFrame:
+    """Timeslots that are not expired, per user."""
     live = [status for status in S.STATUSES if status != S.EXPIRED]
     rows = slots.where(F.col("status").isin(live)).select(
         "user_id_day", "user_id", "day", "status", "is_preapp"
     )
-    return capped(_of(rows, users), ["user_id_day"], per=["user_id"])
+    return page(_of(rows, users), "user_id_day", ["user_id"], limit, after)
 
 
-def current_titles(titles: DataFrame) -> DataFrame:
-    """Titles that are not expired, at most 100."""
+def current_titles(
+    titles: DataFrame, limit: int | None = None, after: str | None = None
+) -> DataFrame:
+    """Titles that are not expired."""
     rows = titles.where("expired = 0").select("title_id", "expired", "title_name")
-    return capped(rows, ["title_id"])
+    return page(rows, "title_id", (), limit, after)
 
 
-def available_events(events: DataFrame) -> DataFrame:
-    """Events with seats left, at most 100."""
+def available_events(
+    events: DataFrame, limit: int | None = None, after: str | None = None
+) -> DataFrame:
+    """Events with seats left."""
     rows = events.where(F.col("status") == S.AVAILABLE).select(
         "title_id_day", "status", "title_name", "day", "ticket_price", "num_tickets_available"
     )
-    return capped(rows, ["title_id_day"])
+    return page(rows, "title_id_day", (), limit, after)
 
 
 def preferences_of(users: DataFrame, preferences: DataFrame) -> DataFrame:
@@ -109,14 +122,24 @@ def buy_tickets(requests: DataFrame, events: DataFrame, block: int = BLOCK) -> D
     """Requests (seq, user_id, title_id, day, num_tickets) for existing events.
 
     In order of seq, a request is granted while the tickets asked for so far,
-    its own included, fit in the seats that are left.
+    its own included, fit in the seats that are left; a request that does not fit
+    still counts as asked for. Requests for fewer or more tickets than the contract
+    allows, or without key or seq, are refused and count nothing.
     """
+    fine = F.col("num_tickets").between(*S.NUM_TICKETS_RANGE)
+    for name in ("seq", "title_id", "day"):
+        fine = fine & F.col(name).isNotNull()
+    fine = F.coalesce(fine, F.lit(False))
+    refused = requests.where(~fine).withColumns(
+        {"reason": F.lit("invalid request"), "granted": F.lit(False)}
+    )
+    requests = requests.where(fine)
     key = ["title_id", "day"]
     seats = events.select(*key, "num_tickets_available", F.lit(True).alias("has_event"))
     asked = running(requests, key, "seq", totals={"asked_so_far": F.col("num_tickets")}, block=block)
     upto: Column = F.coalesce("asked_so_far", F.lit(0)) + F.col("num_tickets")
     # requests are not joined before the running total: it keeps the hot key in blocks
-    return (
+    answered = (
         asked.join(seats, key, "left")
         .withColumn(
             "reason",
@@ -127,6 +150,7 @@ def buy_tickets(requests: DataFrame, events: DataFrame, block: int = BLOCK) -> D
         .withColumn("granted", F.col("reason").isNull())
         .drop("asked_so_far", "has_event", "num_tickets_available")
     )
+    return answered.unionByName(refused)
 
 
 def cancel_bookings(bookings: DataFrame, requests: DataFrame) -> DataFrame:

@@ -175,7 +175,7 @@ def bid_requests(
         ]
     )
     checked = with_defaults(_cancels(requests)).join(dates, "title_id", "left")
-    checked = checked.withColumn("refusal", F.when(F.col("op") == "put", refusal))
+    checked = checked.withColumn("refusal", _refusal(key, refusal))
     checked = checked.drop("title_from", "title_to")
     decided = _decide(checked, bids, key, S.BID_TRANSITIONS, block)
     return Outcome(_results(checked, decided, key), decided.where("accepted"))
@@ -191,11 +191,25 @@ def timeslot_requests(
         day_reason(now, zone=zone),
     )
     checked = with_defaults(_cancels(requests))
-    checked = checked.withColumn("refusal", F.when(F.col("op") == "put", refusal))
+    checked = checked.withColumn("refusal", _refusal(key, refusal))
     decided = _decide(checked, slots, key, S.TIMESLOT_TRANSITIONS, block)
     return Outcome(_results(checked, decided, key), decided.where("accepted"))
 
 
+def _refusal(key: Sequence[str], put: Column) -> Column:
+    """Why a request is not looked at: it has no place in the order, no key or no known
+    operation; or, for a put, ``put``."""
+    whole = F.col("seq").isNotNull()
+    for name in key:
+        whole = whole & F.col(name).isNotNull()
+    known = F.coalesce(F.col("op").isin("put", "cancel"), F.lit(False))
+    return (
+        F.when(~whole, S.INCOMPLETE_REQUEST)
+        .when(~known, S.UNKNOWN_OPERATION)
+        .when(F.col("op") == "put", put)
+    )
+
+
 def _cancels(requests: DataFrame) -> DataFrame:
     asked = F.when(F.col("op") == "cancel", S.CANCELED_BY_USER).otherwise(F.col("status"))
     return requests.withColumn("status", asked)

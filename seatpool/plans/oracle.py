@@ -409,17 +409,20 @@ SELECT * FROM judged WHERE reason IS NOT NULL""",
     "user_active_bids": f"""WITH {LINES}, {USER_BIDS}
 SELECT user_id, user_id_title_id, user_id || '_' || status AS user_id_status, title_id, num_tickets,
   ticket_bid, {_iso('valid_from')} AS "from", status, is_preapp
-FROM user_bids WHERE status = 'AVAILABLE'
-QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY user_id_title_id) <= 100""",
+FROM user_bids WHERE status = 'AVAILABLE'""",
+    "active_bids_page": f"""WITH {LINES}, {USER_BIDS}
+SELECT user_id, user_id_title_id, user_id || '_' || status AS user_id_status, title_id, num_tickets,
+  ticket_bid, {_iso('valid_from')} AS "from", status, is_preapp
+FROM user_bids WHERE status = 'AVAILABLE' AND user_id_title_id > '5'
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY user_id_title_id) <= 2""",
     "user_timeslots": f"""WITH {USER_TIMESLOTS}
 SELECT user_id || '_' || {_iso('day')} AS user_id_day, user_id, {_iso('day')} AS day, status, is_preapp
-FROM user_timeslots WHERE status <> 'EXPIRED'
-QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY user_id_day) <= 100""",
+FROM user_timeslots WHERE status <> 'EXPIRED'""",
     "current_titles": f"""WITH {TITLES}
-SELECT title_id, expired, title_name FROM titles WHERE expired = 0 ORDER BY title_id LIMIT 100""",
+SELECT title_id, expired, title_name FROM titles WHERE expired = 0""",
     "available_events": f"""{SHOW_EVENTS}
 SELECT title_id_day, status, title_name, {_iso('day')} AS day, ticket_price, num_tickets_available
-FROM show_event WHERE status = 'AVAILABLE' ORDER BY title_id_day LIMIT 100""",
+FROM show_event WHERE status = 'AVAILABLE'""",
     "bookings_of_user": f"""{APPLIED}
 SELECT {BOOKING_COLUMNS} FROM booking
 WHERE booking.day BETWEEN DATE '2024-01-02' AND DATE '2024-01-10' AND status = 'BOOKED'""",

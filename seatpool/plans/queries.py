@@ -260,6 +260,12 @@ def user_active_bids(spark, sf_dir):
     return listings.active_bids(D.user_bids(spark, sf_dir))
 
 
+@query
+def active_bids_page(spark, sf_dir):
+    """Two bids per user, continued from a key."""
+    return listings.active_bids(D.user_bids(spark, sf_dir), limit=2, after="5")
+
+
 @query
 def user_timeslots(spark, sf_dir):
     return listings.timeslots(D.user_timeslots(spark, sf_dir))

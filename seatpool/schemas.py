@@ -30,7 +30,6 @@ SWEEP_MINIMUM = 300
 VENUE_MINIMUM = 15
 RERUN_SECONDS = 300
 EVENT_CAPACITY = 200
-LISTING_LIMIT = 100
 LINES_PER_FILE = 10000
 POLL_SIZE = 10
 DAYS_AHEAD = 365
@@ -95,6 +94,8 @@ TIMESLOT_STATUS_RULE = "timeslot status can only be AVAILABLE"
 # End of the fixed values.
 
 UNDEFINED_TRANSITION = "undefined transition"
+INCOMPLETE_REQUEST = "incomplete request"
+UNKNOWN_OPERATION = "unknown operation"
 
 TITLES = T.StructType(
     [

@@ -139,7 +139,7 @@ class Reservations:
         if batch is None:
             batch = self.spark.createDataFrame([], "value string")
         rows = readers.reservation_messages(batch)
-        return rows.withColumn("user_id", F.col("user_id").cast(self.bid_keys["user_id"].dataType))
+        return rows.withColumn("user_id", F.col("user_id").try_cast(self.bid_keys["user_id"].dataType))
 
     def bids_now(self, before: int | None = None, only: _Keys = _keep_all) -> DataFrame:
         key = ["user_id", "title_id"]

@@ -230,3 +230,21 @@ def test_invariants_on_the_test_tables(spark, sf_dir):
     assert len({(r["user_id"], r["day"]) for r in rows}) == len(rows)
     assert len({(r["user_id"], r["title_id"]) for r in rows}) == len(rows)
     assert sum(e[4] for e in events) == len(rows)
+
+
+def test_repeated_and_null_bids(spark):
+    bids = spark.createDataFrame(
+        [(1, 1, 30), (1, 1, 20), (2, 1, 10), (None, 1, 99), (3, None, 9), (3, 1, None)],
+        "user_id long, title_id long, total_bid long",
+    )
+    slots = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-01"), (3, "2024-01-01")], "user_id long, day string")
+    slots = slots.withColumn("day", slots["day"].cast("date"))
+    events = A.book(bids, slots, minimum=20).events.collect()
+    assert [(r["bids_total"], r["num_tickets"]) for r in events] == [(60, 2)]
+
+
+def test_rounds_are_refused_for_negative_bids(spark):
+    bids = spark.createDataFrame([(1, 1, -3), (2, 1, 30)], "user_id long, title_id long, total_bid long")
+    slots = spark.createDataFrame([(1, "2024-01-01")], "user_id long, day string")
+    with pytest.raises(ValueError):
+        A.book(bids, slots.withColumn("day", slots["day"].cast("date")), minimum=1, sequential=False)

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import functions as F
+
 from seatpool import schemas as S
 from seatpool.operators import applying, listings
 from seatpool.operators.upsert import change_status, upsert
@@ -127,8 +129,25 @@ def test_upsert_and_conditional_change(spark):
     }
 
 
-def test_listing_is_capped_per_user(spark):
+def test_listing_is_complete_or_paged_per_user(spark):
     rows = spark.range(500).selectExpr("id % 2 AS user_id", "lpad(id, 4, '0') AS k")
-    capped = listings.capped(rows, ["k"], per=["user_id"]).groupBy("user_id").count().collect()
+    capped = listings.page(rows, "k", ["user_id"], limit=100).groupBy("user_id").count().collect()
     assert {r["user_id"]: r["count"] for r in capped} == {0: 100, 1: 100}
-    assert listings.capped(rows, ["k"]).count() == 100
+    assert listings.page(rows, "k", limit=100).count() == 100
+    assert listings.page(rows, "k").count() == rows.count()
+    first = listings.page(rows, "k", limit=100).agg({"k": "max"}).first()[0]
+    assert listings.page(rows, "k", after=first).where(rows["k"] <= first).count() == 0
+
+
+def test_prices_of_fractional_totals(spark):
+    from decimal import Decimal
+
+    messages = spark.createDataFrame(
+        [("t1", Decimal("3.90"), 1), ("t1", Decimal("4.00"), 5), ("t1", Decimal("0.01"), 1)],
+        "title_id string, bids_total decimal(10,2), num_tickets long",
+    ).withColumn("day", F.lit("2024-01-01").cast("date"))
+    titles = spark.createDataFrame(
+        [("t1", "T", None, None, 1999)], "title_id string, title_name string, from date, to date, year int"
+    )
+    prices = [r["ticket_price"] for r in applying.show_events(messages, titles).collect()]
+    assert sorted(prices) == [1, 1, 5]

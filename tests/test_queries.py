@@ -53,8 +53,8 @@ def test_status_filter_and_columns_reach_the_scan(spark, sf_dir, capsys):
     assert "EqualTo(o_orderstatus,O)" in text
 
 
-def test_listing_cap_is_applied_before_the_shuffle(spark, sf_dir, capsys):
-    text = plan(QUERIES["user_timeslots"](spark, sf_dir), capsys)
+def test_page_limit_is_applied_before_the_shuffle(spark, sf_dir, capsys):
+    text = plan(QUERIES["active_bids_page"](spark, sf_dir), capsys)
     assert "WindowGroupLimit" in text
 
 

@@ -198,3 +198,45 @@ def test_preferences(spark):
     users = spark.createDataFrame([("u",), ("z",)], "user_id string")
     errors = {r["user_id"]: r["error"] for r in listings.preferences_of(users, after).collect()}
     assert errors == {"u": None, "z": S.NO_SUCH_USER}
+
+
+def test_every_request_gets_a_verdict(spark, capsys):
+    day = date(2024, 1, 1)
+    titles = spark.createDataFrame(
+        [(1, day, date(2030, 1, 1))], "title_id long, from date, to date"
+    )
+    bids = spark.createDataFrame([(7, 1, "AVAILABLE")], "user_id long, title_id long, status string")
+    rows = [
+        (1, "cancel", 7, 1, None), (None, "cancel", 7, 1, None), (3, "cancel", 7, None, None),
+        (4, "buy", 7, 1, "AVAILABLE"), (5, None, 7, 1, "AVAILABLE"),
+    ]
+    requests = spark.createDataFrame(rows, "seq long, op string, user_id long, title_id long, status string")
+    found = R.bid_requests(requests, titles, bids, "2024-06-01 00:00:00").results
+    assert sorted((r["message"], r["ok"]) for r in found.collect() if not r["ok"]) == sorted(
+        [(S.INCOMPLETE_REQUEST, False)] * 2 + [(S.UNKNOWN_OPERATION, False)] * 2
+    )
+    assert found.count() == 5
+
+
+def test_running_values_of_a_joined_key_are_dealt_out_by_block(spark, capsys):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(100).selectExpr("id AS seq", "int(id % 2) AS k", "id AS v")
+        joined = rows.join(spark.createDataFrame([(0, 1)], "k int, x int"), "k")
+        running(joined, ["k"], "seq", totals={"so_far": F.col("v")}, block=10).explain("formatted")
+        assert "hashpartitioning(k#" in (text := capsys.readouterr().out)
+        assert "block_no#" in text.split("hashpartitioning(k#", 1)[1]
+        assert "REPARTITION_BY_COL" in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_tickets_outside_the_contract_are_refused(spark):
+    events = spark.createDataFrame([(1, date(2024, 1, 1), 5)], "title_id long, day date, num_tickets_available long")
+    rows = [(1, 9, 1, -9), (2, 9, 1, 4), (3, 9, 1, None), (4, 9, None, 1), (5, 9, 1, 1)]
+    asked = spark.createDataFrame(rows, "seq long, user_id long, title_id long, num_tickets long").withColumn(
+        "day", F.lit("2024-01-01").cast("date")
+    )
+    found = {r["seq"]: r["granted"] for r in listings.buy_tickets(asked, events).collect()}
+    assert found == {1: False, 2: True, 3: False, 4: False, 5: True}
