@@ -1,9 +1,11 @@
 """Running values along a sequence, without gathering a whole key in one task.
 
-A key may hold a large share of all rows. Rows are cut into blocks of the
-sequence number; a block holds at most ``block`` rows of a key, since sequence
-numbers are unique. What earlier blocks hand over is computed on one row per
-key and block, and joined back to the rows of the block.
+A key may hold a large share of all rows. Rows are cut into blocks along the
+sequence; a block holds at most ``block`` rows of a key. What earlier blocks hand
+over is computed on one row per key and block, and joined back to the rows of
+the block. Blocks are cut by sequence number where the numbers lie close
+together, and by rank where they do not, so that there are never many more
+blocks than rows / ``block``.
 """
 
 from __future__ import annotations
@@ -16,10 +18,26 @@ from seatpool.session import stored
 
 BLOCK = 100_000
 
+# Blocks cut by number may be so many times as many as blocks cut by rank.
+SPARSE = 4
+
 # Row counts, known beforehand, up to which a side is broadcast: some 50 MB for the widest.
 BROADCAST_ROWS = 500_000
 
 
+def in_blocks(rows: DataFrame, seq: str, block: int = BLOCK) -> DataFrame:
+    """Add ``block_no``, which grows along ``seq``; for numbers that are not null."""
+    found = rows.agg(
+        F.count(seq).alias("n"), F.min(seq).alias("low"), F.max(seq).alias("high")
+    ).first()
+    if found["n"] and (found["high"] - found["low"]) // block > SPARSE * (found["n"] // block + 1):
+        ranked, _ = numbered(rows, [seq])
+        place = F.floor(F.col("position") / block).cast("bigint")
+        return ranked.withColumn("block_no", place).drop("position")
+    # whole division, which is exact for the largest numbers too
+    return rows.withColumn("block_no", F.expr(f"CAST(`{seq}` AS BIGINT) DIV {block}"))
+
+
 def running(
     rows: DataFrame,
     key: Sequence[str],
@@ -28,16 +46,14 @@ def running(
     totals: dict[str, Column] | None = None,
     firsts: dict[str, Column] | None = None,
     previous: dict[str, str] | None = None,
-    block: int = BLOCK,
 ) -> DataFrame:
-    """Add values of the rows before each row of the same key.
+    """Add values of the rows before each row of the same key, for rows ``in_blocks``.
 
     ``totals`` adds the sum of a column over earlier rows (null if there are
     none), ``firsts`` the least non-null value of a column over earlier rows,
     and ``previous`` the value of a column on the row just before.
     """
     totals, firsts, previous = totals or {}, firsts or {}, previous or {}
-    rows = rows.withColumn("block_no", F.floor(F.col(seq) / block).cast("bigint"))
     # Rows that come from a join by key lie in one task per key; that would also satisfy the
     # window below, so they are dealt out by block here.
     rows = rows.repartition(*key, "block_no")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seatpool import schemas as S
 from seatpool.functions.columns import composite_key, ticket_price
@@ -21,9 +21,10 @@ def show_events(
 ) -> DataFrame:
     """Event records from messages (title_id, day, num_tickets, bids_total).
 
-    Messages about unknown titles are dropped here and listed by
-    ``unknown_titles``.
+    Messages about unknown titles, or without day, total or tickets, are dropped
+    here and listed by ``event_rejects``.
     """
+    messages = messages.where(_whole())
     details = titles.select("title_id", "title_name", "from", "to", "year")
     left = (F.lit(capacity) - F.col("num_tickets")).cast("bigint")
     return messages.join(details, "title_id").select(
@@ -43,6 +44,20 @@ def show_events(
     )
 
 
+def _whole() -> Column:
+    """An event message says what is needed; a price per ticket needs a ticket."""
+    return F.coalesce(
+        F.col("day").isNotNull() & F.col("bids_total").isNotNull() & (F.col("num_tickets") >= 1),
+        F.lit(False),
+    )
+
+
+def event_rejects(messages: DataFrame, titles: DataFrame) -> DataFrame:
+    """E4 for events: messages that make no event, with the reason."""
+    broken = messages.where(~_whole()).withColumn("reason", F.lit(S.INVALID_MESSAGE))
+    return unknown_titles(messages.where(_whole()), titles).unionByName(broken)
+
+
 def unknown_titles(messages: DataFrame, titles: DataFrame) -> DataFrame:
     """E4 for events: messages without a title."""
     missing = messages.join(titles.select("title_id"), "title_id", "left_anti")
@@ -105,9 +120,10 @@ def apply_reservations(
 
 def _verdicts(messages, titles, bids, slots, bid_winners, slot_winners) -> DataFrame:
     """What became of each message."""
-    won = bid_winners.select("seq").join(
-        slot_winners.select("seq", F.lit(True).alias("has_slot")), "seq", "left"
-    )
+    # by the whole message, since sequence numbers may repeat
+    message = ["seq", "user_id", "day", "title_id"]
+    placed = slot_winners.select(*message, F.lit(True).alias("has_slot"))
+    won = bid_winners.select(*message).join(placed, message, "left")
     won = won.withColumn("has_bid", F.lit(True))
     bid_status = bids.select("user_id", "title_id", F.col("status").alias("bid_status"))
     slot_status = slots.select("user_id", "day", F.col("status").alias("slot_status"))
@@ -123,7 +139,7 @@ def _verdicts(messages, titles, bids, slots, bid_winners, slot_winners) -> DataF
         .otherwise("timeslot taken")
     )
     return (
-        messages.join(won, "seq", "left")
+        messages.join(won, message, "left")
         .join(known, "title_id", "left")
         .join(bid_status, ["user_id", "title_id"], "left")
         .join(slot_status, ["user_id", "day"], "left")

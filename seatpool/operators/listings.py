@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seatpool import schemas as S
-from seatpool.functions.ordered import BLOCK, running
+from seatpool.functions.columns import composite_key
+from seatpool.functions.ordered import BLOCK, in_blocks, running
 
 
 def page(
@@ -69,18 +70,24 @@ def timeslots(
 
 
 def current_titles(
-    titles: DataFrame, limit: int | None = None, after: str | None = None
+    titles: DataFrame, limit: int | None = None, after: str | None = None, first=None, last=None
 ) -> DataFrame:
-    """Titles that are not expired."""
-    rows = titles.where("expired = 0").select("title_id", "expired", "title_name")
+    """Titles that are not expired; P12: that can be seen between ``first`` and ``last``."""
+    rows = in_range(in_range(titles, "to", first), "from", last=last)
+    rows = rows.where("expired = 0").select("title_id", "expired", "title_name")
     return page(rows, "title_id", (), limit, after)
 
 
 def available_events(
-    events: DataFrame, limit: int | None = None, after: str | None = None
+    events: DataFrame,
+    limit: int | None = None,
+    after: str | None = None,
+    first=None,
+    last=None,
+    statuses: Sequence[str] = (S.AVAILABLE,),
 ) -> DataFrame:
-    """Events with seats left."""
-    rows = events.where(F.col("status") == S.AVAILABLE).select(
+    """Events with seats left, or of other statuses; P12: within a range of days."""
+    rows = in_range(events, "day", first, last, statuses).select(
         "title_id_day", "status", "title_name", "day", "ticket_price", "num_tickets_available"
     )
     return page(rows, "title_id_day", (), limit, after)
@@ -124,7 +131,8 @@ def buy_tickets(requests: DataFrame, events: DataFrame, block: int = BLOCK) -> D
     In order of seq, a request is granted while the tickets asked for so far,
     its own included, fit in the seats that are left; a request that does not fit
     still counts as asked for. Requests for fewer or more tickets than the contract
-    allows, or without key or seq, are refused and count nothing.
+    allows, or without key or seq, are refused and count nothing. ``tickets_sold`` and
+    ``seats_after`` give what follows from the answers.
     """
     fine = F.col("num_tickets").between(*S.NUM_TICKETS_RANGE)
     for name in ("seq", "title_id", "day"):
@@ -133,10 +141,10 @@ def buy_tickets(requests: DataFrame, events: DataFrame, block: int = BLOCK) -> D
     refused = requests.where(~fine).withColumns(
         {"reason": F.lit("invalid request"), "granted": F.lit(False)}
     )
-    requests = requests.where(fine)
+    requests = in_blocks(requests.where(fine), "seq", block)
     key = ["title_id", "day"]
     seats = events.select(*key, "num_tickets_available", F.lit(True).alias("has_event"))
-    asked = running(requests, key, "seq", totals={"asked_so_far": F.col("num_tickets")}, block=block)
+    asked = running(requests, key, "seq", totals={"asked_so_far": F.col("num_tickets")})
     upto: Column = F.coalesce("asked_so_far", F.lit(0)) + F.col("num_tickets")
     # requests are not joined before the running total: it keeps the hot key in blocks
     answered = (
@@ -153,6 +161,37 @@ def buy_tickets(requests: DataFrame, events: DataFrame, block: int = BLOCK) -> D
     return answered.unionByName(refused)
 
 
+def tickets_sold(answered: DataFrame) -> DataFrame:
+    """A booked bid per granted request."""
+    event_id = composite_key("title_id", "day")
+    return answered.where("granted").select(
+        "seq",
+        composite_key("user_id", event_id).alias("user_id_event_id"),
+        "user_id",
+        "title_id",
+        "day",
+        "num_tickets",
+        F.lit(S.BOOKED).alias("status"),
+    )
+
+
+def seats_after(events: DataFrame, answered: DataFrame) -> DataFrame:
+    """Show events with the seats and the status that granted requests leave."""
+    key = ["title_id", "day"]
+    sold = answered.where("granted").groupBy(*key).agg(F.sum("num_tickets").alias("sold"))
+    left = F.col("num_tickets_available") - F.coalesce("sold", F.lit(0))
+    return (
+        events.join(sold, key, "left")
+        .withColumn("num_tickets_available", left)
+        .withColumn(
+            "status",
+            F.when(F.col("sold").isNotNull() & (F.col("num_tickets_available") <= 0), S.FULL)
+            .otherwise(F.col("status")),
+        )
+        .select(*events.columns)
+    )
+
+
 def cancel_bookings(bookings: DataFrame, requests: DataFrame) -> DataFrame:
     """Bookings with those asked for set to CANCELED; repeating changes nothing."""
     key = ["user_id", "title_id", "day"]

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from seatpool import schemas as S
 from seatpool.functions import columns as C
-from seatpool.functions.ordered import BLOCK, latest, running
+from seatpool.functions.ordered import BLOCK, in_blocks, latest, running
 
 _TRANSITION = T.StructType(
     [
@@ -100,7 +100,7 @@ def _decide(
     spark = requests.sparkSession
     table = transitions(spark, machine)
     start = state.select(*key, F.col("status").alias("start_status"))
-    asked = requests.where("refusal IS NULL").join(start, list(key), "left")
+    asked = in_blocks(requests.where("refusal IS NULL"), "seq", block).join(start, list(key), "left")
     at_start = table.select(
         F.col("old_status").alias("s_old"),
         F.col("new_status").alias("s_new"),
@@ -117,7 +117,6 @@ def _decide(
         "seq",
         firsts={"left_start": F.when(F.col("s_accepted"), F.col("seq"))},
         previous={"asked_before": "status"},
-        block=block,
     )
     before = F.when(F.col("left_start").isNull(), F.col("start_status")).otherwise(
         F.col("asked_before")

@@ -234,6 +234,36 @@ SELECT user_id || '_' || title_id AS user_id_title_id, CAST(user_id AS VARCHAR)
 FROM changes
 QUALIFY row_number() OVER (PARTITION BY user_id, title_id ORDER BY seq DESC) = 1"""
 
+SLOTS_AFTER = f"""{SLOT_REQUESTS}, last_put AS (
+  SELECT * FROM taken WHERE op = 'put'
+  QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY seq DESC) = 1),
+last_change AS (
+  SELECT * FROM taken QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY seq DESC) = 1),
+keys AS (SELECT user_id, day FROM user_timeslots UNION SELECT user_id, day FROM taken)
+SELECT user_id, {_iso('day')} AS day, coalesce(c.status, s.status) AS status,
+  CASE WHEN p.seq IS NOT NULL THEN p.is_preapp ELSE s.is_preapp END AS is_preapp
+FROM keys LEFT JOIN user_timeslots s USING (user_id, day)
+LEFT JOIN last_put p USING (user_id, day) LEFT JOIN last_change c USING (user_id, day)"""
+
+REJECT_COLUMNS = f"""seq, user_id, {_iso('day')} AS day, title_id,
+  CASE WHEN title_id NOT IN (SELECT title_id FROM titles) THEN 'no such show'
+       WHEN bid_status IS NULL THEN 'no such bid'
+       WHEN bid_status <> 'AVAILABLE' THEN 'bid not available'
+       WHEN NOT won THEN 'bid taken'
+       WHEN slot_status IS NULL THEN 'no such timeslot'
+       WHEN slot_status <> 'AVAILABLE' THEN 'timeslot not available'
+       ELSE 'timeslot taken' END AS reason"""
+
+PURCHASES = f"""{SHOW_EVENTS}, {REQUESTS}, r AS (
+  SELECT seq, user_id, title_id, day, k % 4 + 1 AS num_tickets,
+         sum(k % 4 + 1) OVER (PARTITION BY title_id, day ORDER BY seq) AS upto
+  FROM requests WHERE event_type = 'click'),
+judged AS (
+  SELECT r.seq, r.user_id, r.title_id, r.day, r.num_tickets,
+    CASE WHEN s.title_id IS NULL THEN 'no such event'
+         WHEN upto > num_tickets_available THEN 'not enough tickets' END AS reason
+  FROM r LEFT JOIN show_event s ON s.title_id = r.title_id AND s.day = r.day)"""
+
 SWEEP = f"""WITH RECURSIVE {LINES}, {INTEREST}, {FREE_DAYS}, {JOINED},
 pop AS (SELECT c_custkey AS pu, c_acctbal < 0 AS p FROM customer),
 start AS MATERIALIZED (SELECT p, u, d, t, bid FROM joined JOIN pop ON pu = u),
@@ -364,31 +394,13 @@ SELECT s.user_id, {_iso('s.day')} AS day,
   CASE WHEN j.seq IS NOT NULL THEN 'BOOKED' ELSE s.status END AS status
 FROM user_timeslots s LEFT JOIN (SELECT * FROM judged WHERE placed) j
   ON j.user_id = s.user_id AND j.day = s.day""",
-    "rejected_messages": f"""{APPLIED}
-SELECT seq, user_id, {_iso('day')} AS day, title_id,
-  CASE WHEN title_id NOT IN (SELECT title_id FROM titles) THEN 'no such show'
-       WHEN bid_status IS NULL THEN 'no such bid'
-       WHEN bid_status <> 'AVAILABLE' THEN 'bid not available'
-       WHEN NOT won THEN 'bid taken'
-       WHEN slot_status IS NULL THEN 'no such timeslot'
-       WHEN slot_status <> 'AVAILABLE' THEN 'timeslot not available'
-       ELSE 'timeslot taken' END AS reason
-FROM judged WHERE NOT placed""",
+    "rejected_messages": f"{APPLIED} SELECT {REJECT_COLUMNS} FROM judged WHERE NOT placed",
     "bid_requests_result": f"""{BID_REQUESTS}
 SELECT seq, user_id, title_id, ok, message, {RESULT} FROM answered""",
     "timeslot_requests_result": f"""{SLOT_REQUESTS}
 SELECT seq, user_id, {_iso('day')} AS day, ok, message, {RESULT} FROM answered""",
     "bids_after_requests": BIDS_AFTER,
-    "timeslots_after_requests": f"""{SLOT_REQUESTS}, last_put AS (
-  SELECT * FROM taken WHERE op = 'put'
-  QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY seq DESC) = 1),
-last_change AS (
-  SELECT * FROM taken QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY seq DESC) = 1),
-keys AS (SELECT user_id, day FROM user_timeslots UNION SELECT user_id, day FROM taken)
-SELECT user_id, {_iso('day')} AS day, coalesce(c.status, s.status) AS status,
-  CASE WHEN p.seq IS NOT NULL THEN p.is_preapp ELSE s.is_preapp END AS is_preapp
-FROM keys LEFT JOIN user_timeslots s USING (user_id, day)
-LEFT JOIN last_put p USING (user_id, day) LEFT JOIN last_change c USING (user_id, day)""",
+    "timeslots_after_requests": SLOTS_AFTER,
     "preferences": f"""WITH {REQUESTS}, stated AS (
   SELECT user_id, k % 2 <> 0 AS is_preapp, CASE WHEN k % 3 = 0 THEN 'OR' ELSE 'ANY' END AS or_or_any
   FROM requests WHERE event_type = 'signup'
@@ -420,23 +432,46 @@ SELECT user_id || '_' || {_iso('day')} AS user_id_day, user_id, {_iso('day')} AS
 FROM user_timeslots WHERE status <> 'EXPIRED'""",
     "current_titles": f"""WITH {TITLES}
 SELECT title_id, expired, title_name FROM titles WHERE expired = 0""",
+    "titles_in_range": f"""WITH {TITLES}
+SELECT title_id, expired, title_name FROM titles
+WHERE expired = 0 AND valid_from <= DATE '2024-01-20' AND valid_to >= DATE '2024-01-16'""",
+    "events_in_range": f"""{SHOW_EVENTS}
+SELECT title_id_day, status, title_name, {_iso('day')} AS day, ticket_price, num_tickets_available
+FROM show_event WHERE show_event.day BETWEEN DATE '2024-01-03' AND DATE '2024-01-09'""",
     "available_events": f"""{SHOW_EVENTS}
 SELECT title_id_day, status, title_name, {_iso('day')} AS day, ticket_price, num_tickets_available
 FROM show_event WHERE status = 'AVAILABLE'""",
+    "bookings_of_users": f"""{APPLIED}
+SELECT {BOOKING_COLUMNS} FROM booking WHERE booking.day >= DATE '2024-01-05'
+AND user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""",
+    "status_changes": f"""WITH {USER_TIMESLOTS}, {REQUESTS}
+SELECT r.user_id, {_iso('r.day')} AS day, s.status AS old_status,
+  coalesce(s.status = 'AVAILABLE', false) AS changed,
+  CASE WHEN s.status = 'AVAILABLE' THEN 'BOOKED' ELSE s.status END AS status
+FROM (SELECT DISTINCT user_id, day FROM requests WHERE event_type = 'purchase') r
+LEFT JOIN user_timeslots s ON s.user_id = r.user_id AND s.day = r.day""",
+    "canceled_output": f"""{GREEDY}
+SELECT u AS user_id, {_iso('d')} AS day, t AS title_id, bid AS total_bid, cause_rank
+FROM outcome WHERE cause_rank IS NOT NULL AND NOT own""",
+    "cleared_table": f"""WITH {USER_TIMESLOTS}
+SELECT count(*) AS rows_before, CAST(0 AS BIGINT) AS rows_after FROM user_timeslots""",
     "bookings_of_user": f"""{APPLIED}
 SELECT {BOOKING_COLUMNS} FROM booking
 WHERE booking.day BETWEEN DATE '2024-01-02' AND DATE '2024-01-10' AND status = 'BOOKED'""",
-    "ticket_purchases": f"""{SHOW_EVENTS}, {REQUESTS}, r AS (
-  SELECT seq, user_id, title_id, day, k % 4 + 1 AS num_tickets,
-         sum(k % 4 + 1) OVER (PARTITION BY title_id, day ORDER BY seq) AS upto
-  FROM requests WHERE event_type = 'click'),
-judged AS (
-  SELECT r.seq, r.user_id, r.title_id, r.day, r.num_tickets,
-    CASE WHEN s.title_id IS NULL THEN 'no such event'
-         WHEN upto > num_tickets_available THEN 'not enough tickets' END AS reason
-  FROM r LEFT JOIN show_event s ON s.title_id = r.title_id AND s.day = r.day)
+    "ticket_purchases": f"""{PURCHASES}
 SELECT seq, user_id, title_id, {_iso('day')} AS day, num_tickets, reason, reason IS NULL AS granted
 FROM judged""",
+    "tickets_sold": f"""{PURCHASES}
+SELECT seq, user_id || '_' || title_id || '_' || {_iso('day')} AS user_id_event_id, user_id, title_id,
+  {_iso('day')} AS day, num_tickets, 'BOOKED' AS status FROM judged WHERE reason IS NULL""",
+    "events_after_purchases": f"""{PURCHASES}, sale AS (
+  SELECT title_id AS t, day AS d, sum(num_tickets) AS sold FROM judged WHERE reason IS NULL
+  GROUP BY ALL),
+after_sale AS (
+  SELECT s.* REPLACE (CAST(num_tickets_available - coalesce(sold, 0) AS BIGINT) AS num_tickets_available,
+                      CASE WHEN sold = num_tickets_available THEN 'FULL' ELSE status END AS status)
+  FROM show_event s LEFT JOIN sale ON t = title_id AND d = day)
+SELECT {SHOW_EVENT_COLUMNS} FROM after_sale""",
     "canceled_bookings": f"""{APPLIED}
 SELECT user_id_event_id, user_id, title_id, {_iso('day')} AS day,
   CASE WHEN EXISTS (SELECT 1 FROM requests r WHERE r.event_type = 'error'
@@ -472,4 +507,13 @@ SELECT seq, CAST(user_id AS VARCHAR) AS user_id, title_id, status,
     "stream_events": f"{SHOW_EVENTS} SELECT {SHOW_EVENT_COLUMNS} FROM show_event",
     "stream_reservations": f"{APPLIED} SELECT {BOOKING_COLUMNS} FROM booking",
     "stream_transitions": BIDS_AFTER,
+    "stream_timeslots": SLOTS_AFTER,
+    "stream_event_rejects": f"""{GREEDY}, {TITLES}
+SELECT event_rank AS seq, t AS title_id, {_iso('d')} AS day, 'no such title' AS reason
+FROM event JOIN titles ON t = title_id WHERE expired = 1""",
+    "stream_rejects": f"""{APPLIED}
+SELECT * REPLACE (regexp_replace(reason, ' (taken|not available)$', ' not free') AS reason)
+FROM (SELECT {REJECT_COLUMNS} FROM judged WHERE NOT placed)""",
+    "rebooked_events": f"""{GREEDY}
+SELECT event_rank, {_iso('d')} AS day, t AS title_id, bids_total, num_tickets FROM event""",
 }

@@ -11,6 +11,7 @@ from seatpool.functions.columns import composite_key
 from seatpool.functions.ordered import first_by
 from seatpool.operators import allocate as A, applying, expand, joins, listings, metrics
 from seatpool.operators import requests as R
+from seatpool.operators.upsert import change_status
 from seatpool.plans import domain as D
 from seatpool.session import new_folder, stored
 from seatpool.sinks import writers
@@ -187,6 +188,14 @@ def bids_after_apply(spark, sf_dir):
     return after.select("user_id", "title_id", "status", "user_id_status", "orphan")
 
 
+@query
+def status_changes(spark, sf_dir):
+    """Timeslots that reservations ask for, taken where they are AVAILABLE."""
+    requests = D.reservation_requests(spark, sf_dir)
+    slots = D.user_timeslots(spark, sf_dir)
+    return change_status(slots, requests, ["user_id", "day"], S.BOOKED, S.AVAILABLE)
+
+
 @query
 def slots_after_apply(spark, sf_dir):
     after = applying.slots_after(D.user_timeslots(spark, sf_dir), _applied(spark, sf_dir))
@@ -288,11 +297,46 @@ def bookings_of_user(spark, sf_dir):
     )
 
 
+@query
+def bookings_of_users(spark, sf_dir):
+    customers = D.table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
+    users = customers.select(F.col("c_custkey").alias("user_id"))
+    return listings.bookings_of(bookings(spark, sf_dir), users, first="2024-01-05")
+
+
+@query
+def titles_in_range(spark, sf_dir):
+    titles = D.titles(spark, sf_dir)
+    return listings.current_titles(titles, first="2024-01-16", last="2024-01-20")
+
+
+@query
+def events_in_range(spark, sf_dir):
+    return listings.available_events(
+        show_events(spark, sf_dir),
+        first="2024-01-03",
+        last="2024-01-09",
+        statuses=[S.AVAILABLE, S.FULL],
+    )
+
+
 @query
 def ticket_purchases(spark, sf_dir):
     return listings.buy_tickets(D.ticket_requests(spark, sf_dir), show_events(spark, sf_dir))
 
 
+@query
+def tickets_sold(spark, sf_dir):
+    return listings.tickets_sold(ticket_purchases(spark, sf_dir))
+
+
+@query
+def events_after_purchases(spark, sf_dir):
+    events = show_events(spark, sf_dir)
+    answered = listings.buy_tickets(D.ticket_requests(spark, sf_dir), events)
+    return listings.seats_after(events, answered)
+
+
 @query
 def canceled_bookings(spark, sf_dir):
     rows = listings.cancel_bookings(bookings(spark, sf_dir), D.cancel_requests(spark, sf_dir))
@@ -368,6 +412,25 @@ def text_roundtrip(spark, sf_dir):
     return readers.venue_bids_text(spark, folder)
 
 
+@query
+def canceled_output(spark, sf_dir):
+    """K3: canceled rows as written for those who want them."""
+    folder = new_folder(spark, "canceled")
+    writers.write_canceled(booking(spark, sf_dir).canceled().drop("tickets"), folder)
+    return spark.read.parquet(folder)
+
+
+@query
+def cleared_table(spark, sf_dir):
+    """K8: rows of the timeslot table before and after it is cleared."""
+    folder = new_folder(spark, "cleared")
+    D.user_timeslots(spark, sf_dir).write.parquet(folder)
+    before = spark.read.parquet(folder).count()
+    writers.clear_table(spark, S.USER_TIMESLOTS, folder)
+    after = spark.read.parquet(folder).agg(F.count("*").alias("rows_after"))
+    return after.select(F.lit(before).cast("bigint").alias("rows_before"), "rows_after")
+
+
 @query
 def id_list(spark, sf_dir):
     folder = new_folder(spark, "ids")
@@ -449,11 +512,9 @@ def stream_bid_upsert(spark, sf_dir):
     return jobs.ingested_bids(spark, folder)
 
 
-@query
-def stream_events(spark, sf_dir):
+def _event_feed(spark, sf_dir, titles) -> str:
     events = booking(spark, sf_dir).events.withColumnRenamed("event_rank", "seq")
     events = events.withColumn("bids_total", F.col("bids_total").cast("double"))
-    titles = D.titles(spark, sf_dir)
     folder = new_folder(spark, "events")
     _feed(
         spark,
@@ -461,17 +522,45 @@ def stream_events(spark, sf_dir):
         ["seq", *S.EVENT_MESSAGE.names],
         lambda lines: jobs.apply_events(lines, titles, folder),
     )
+    return folder
+
+
+@query
+def stream_events(spark, sf_dir):
+    folder = _event_feed(spark, sf_dir, D.titles(spark, sf_dir))
     return jobs.applied_events(spark, folder)
 
 
 @query
-def stream_reservations(spark, sf_dir):
-    tables = [f(spark, sf_dir) for f in (D.titles, D.user_bids, D.user_timeslots)]
-    titles, bids, slots = (stored(t, "tables") for t in tables)
-    job = jobs.Reservations(titles, bids, slots, new_folder(spark, "reservations"))
+def stream_event_rejects(spark, sf_dir):
+    """Events about titles that are no longer shown."""
+    folder = _event_feed(spark, sf_dir, D.titles(spark, sf_dir).where("expired = 0"))
+    return jobs.rejects(spark, folder, jobs.EVENT_REJECTS)
+
+
+def _reservation_feed(spark, sf_dir) -> jobs.Reservations:
+    titles = stored(D.titles(spark, sf_dir), "tables")
+    bids, slots = (
+        jobs.by_bucket(f(spark, sf_dir), new_folder(spark, "tables"), buckets=8)
+        for f in (D.user_bids, D.user_timeslots)
+    )
+    job = jobs.Reservations(titles, bids, slots, new_folder(spark, "reservations"), buckets=8)
     requests = D.reservation_requests(spark, sf_dir)
     _feed(spark, requests, ["seq", *S.RESERVATION_MESSAGE.names], job.start)
-    return job.bookings()
+    return job
+
+
+@query
+def stream_reservations(spark, sf_dir):
+    return _reservation_feed(spark, sf_dir).bookings()
+
+
+@query
+def stream_rejects(spark, sf_dir):
+    """A bid or timeslot taken by an earlier batch is not available to a later one, so what was
+    taken and what was not available go by one name here."""
+    reason = F.regexp_replace("reason", " (taken|not available)$", " not free")
+    return _reservation_feed(spark, sf_dir).rejects().withColumn("reason", reason)
 
 
 @query
@@ -483,3 +572,38 @@ def stream_transitions(spark, sf_dir):
     requests = D.bid_requests(spark, sf_dir)
     _feed(spark, requests, ["seq", "op", *S.BID_RECORD.names], job.start)
     return job.bids_now()
+
+
+@query
+def stream_timeslots(spark, sf_dir):
+    """Timeslot requests; after every run the job goes on from the table as written."""
+    slots = jobs.by_bucket(D.user_timeslots(spark, sf_dir), new_folder(spark, "tables"), buckets=8)
+    job = jobs.TimeslotRequests(slots, D.NOW, new_folder(spark, "requests"), buckets=8)
+
+    def start(lines):
+        nonlocal job
+        job = job.rebased(new_folder(spark, "tables"))
+        return job.start(lines)
+
+    requests = D.timeslot_requests(spark, sf_dir)
+    _feed(spark, requests, ["seq", *jobs.TIMESLOT_REQUEST.names], start)
+    return job.slots_now()
+
+
+@query
+def rebooked_events(spark, sf_dir):
+    """Bookings as published by the periodic run, on the arrival of a change."""
+    inbox, folder = new_folder(spark, "inbox"), new_folder(spark, "published")
+    lines = F.to_json(F.struct("seq", "user_id", "title_id"))
+    writers.write_messages(D.bid_requests(spark, sf_dir).select(lines.alias("value")), inbox)
+    jobs.rebook(
+        # one run for all files
+        readers.message_stream(spark, inbox, files_per_trigger=1_000_000),
+        lambda: D.interest(spark, sf_dir),
+        lambda: D.free_days(spark, sf_dir),
+        lambda result, number: writers.put_changes(result.events, folder, number),
+        new_folder(spark, "rebook"),
+        MINIMUM,
+        jobs.ONCE,
+    ).awaitTermination()
+    return spark.read.parquet(folder).drop("batch")

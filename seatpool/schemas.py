@@ -12,7 +12,6 @@ BOOKED = "BOOKED"
 CANCELED_OTHER_TIMESLOT_BOOKED = "CANCELED_OTHER_TIMESLOT_BOOKED"
 CANCELED_OTHER = "CANCELED_OTHER"
 EXPIRED = "EXPIRED"
-NEED_APPROVE = "NEED_APPROVE"
 CANCELED = "CANCELED"
 FULL = "FULL"
 
@@ -96,6 +95,7 @@ TIMESLOT_STATUS_RULE = "timeslot status can only be AVAILABLE"
 UNDEFINED_TRANSITION = "undefined transition"
 INCOMPLETE_REQUEST = "incomplete request"
 UNKNOWN_OPERATION = "unknown operation"
+INVALID_MESSAGE = "invalid message"
 
 TITLES = T.StructType(
     [
@@ -176,7 +176,7 @@ EVENT_MESSAGE = T.StructType(
         T.StructField("title_id", T.StringType()),
         T.StructField("day", T.StringType()),
         T.StructField("num_tickets", T.LongType()),
-        T.StructField("bids_total", T.DoubleType()),
+        T.StructField("bids_total", T.DecimalType(30, 6)),
     ]
 )
 

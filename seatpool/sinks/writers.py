@@ -46,8 +46,9 @@ def write_canceled(canceled: DataFrame, folder: str) -> None:
     canceled.write.mode("overwrite").parquet(folder)
 
 
-def write_lines(lines: DataFrame, folder: str, per_file: int = S.LINES_PER_FILE) -> None:
-    """K5: text in files of a bounded number of lines."""
+def write_lines(lines: DataFrame, folder: str, per_file: int = 0) -> None:
+    """K5: text, a file per task; or in files of a bounded number of lines, as
+    ``schemas.LINES_PER_FILE``."""
     lines.write.option("maxRecordsPerFile", per_file).text(folder)
 
 
@@ -76,12 +77,19 @@ def put_changes(changes: DataFrame, folder: str, batch: int) -> None:
 
 
 def read_changes(
-    spark: SparkSession, folder: str, schema: T.StructType, before: int | None = None
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    before: int | None = None,
+    since: int | None = None,
 ) -> DataFrame:
-    """The changes so far, with their batch; none if nothing was written yet."""
+    """The changes so far, or those of batches after ``since`` and below ``before``, with their
+    batch; none if nothing was written yet. Folders of other batches are not read."""
     full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     rows = spark.read.schema(full).option("ignoreMissingFiles", True).parquet(folder)
-    return rows if before is None else rows.where(F.col("batch") < before)
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    return rows if since is None else rows.where(F.col("batch") > since)
 
 
 def read_latest(
@@ -102,6 +110,9 @@ def compact(
 ) -> None:
     """K4: the last change per key of all batches up to one, as one batch of a new folder.
 
+    For changes that replace whole rows. Jobs whose changes set a status or some fields only
+    start anew from a written table instead (``rebased``).
+
     Readers move to the new folder, and later batches are put there. It keeps
     what a read has to merge in proportion to the table, not to its history.
     """

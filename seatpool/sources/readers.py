@@ -8,6 +8,9 @@ from seatpool import schemas as S
 from seatpool.functions.columns import parse_day
 from seatpool.functions.ordered import first_by
 
+# Above all sequence numbers that senders give.
+FIRST_ARRIVAL = 2**62
+
 
 def _csv_in_file_order(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     rows = spark.read.schema(schema).option("header", True).csv(path)
@@ -110,12 +113,27 @@ def messages(lines: DataFrame, schema: T.StructType, seq: bool = True) -> DataFr
 
     Works the same on a static and on a streaming DataFrame.
     """
+    parsed = lines.select(_parsed(schema, seq).alias("m"))
+    return parsed.where("m IS NOT NULL AND m.unparsed IS NULL").select("m.*").drop("unparsed")
+
+
+def unreadable(lines: DataFrame, schema: T.StructType, seq: bool = True) -> DataFrame:
+    """The lines that ``messages`` drops."""
+    parsed = lines.select("value", _parsed(schema, seq).alias("m"))
+    return parsed.where("m IS NULL OR m.unparsed IS NOT NULL").select("value")
+
+
+def _parsed(schema: T.StructType, seq: bool) -> Column:
     fields = [T.StructField("seq", T.LongType())] if seq else []
     bad = T.StructField("unparsed", T.StringType())
     schema = T.StructType([*fields, *schema.fields, bad])
-    options = {"columnNameOfCorruptRecord": bad.name}
-    parsed = lines.select(F.from_json("value", schema, options).alias("m"))
-    return parsed.where("m IS NOT NULL AND m.unparsed IS NULL").select("m.*").drop(bad.name)
+    return F.from_json("value", schema, {"columnNameOfCorruptRecord": bad.name})
+
+
+def in_arrival_order(rows: DataFrame) -> DataFrame:
+    """Messages without a sequence number come after those with one, as they arrived."""
+    arrived = F.lit(FIRST_ARRIVAL) + F.monotonically_increasing_id()
+    return rows.withColumn("seq", F.coalesce("seq", arrived))
 
 
 def delivered(lines: DataFrame, content: str = "body") -> DataFrame:

@@ -179,6 +179,88 @@ def test_a_repeated_batch_counts_once(spark, tmp_path):
     assert job.bookings().count() == 2
 
 
+def test_lost_reservations_leave_a_reason(spark, tmp_path):
+    bids, slots = tables(spark)
+    bids = jobs.by_bucket(bids, str(tmp_path / "bids"), buckets=4)
+    slots = jobs.by_bucket(slots, str(tmp_path / "slots"), buckets=4)
+    job = jobs.Reservations(titles(spark), bids, slots, str(tmp_path / "state"), buckets=4)
+    inbox = str(tmp_path / "inbox")
+    for lines in (
+        ['{"user_id":"u","day":"2024-01-01","title_id":"t1"}', "no message"],
+        ['{"user_id":"u","day":"2024-01-01","title_id":"t1"}', '{"title_id":"t9"}'],
+    ):
+        arrive(spark, inbox, lines)
+        job.start(readers.message_stream(spark, inbox)).awaitTermination()
+    assert [r["user_id_event_id"] for r in job.bookings().collect()] == ["u_t1_2024-01-01"]
+    found = sorted((r["title_id"], r["reason"]) for r in job.rejects().collect())
+    assert found == [("t1", "bid not available"), ("t9", S.NO_SUCH_SHOW)]
+    assert [r["value"] for r in jobs.unreadable(spark, job.folder).collect()] == ["no message"]
+
+
+def test_events_that_cannot_be_leave_a_reason(spark, tmp_path):
+    inbox, folder = str(tmp_path / "inbox"), str(tmp_path / "events")
+    arrive(spark, inbox, [
+        '{"title_id":"t1","day":"2024-01-01","num_tickets":1,"bids_total":3.9}',
+        '{"title_id":"t9","day":"2024-01-01","num_tickets":1,"bids_total":4.0}',
+        '{"title_id":"t1","day":"2024-01-02","num_tickets":0,"bids_total":4.0}',
+    ])
+    jobs.apply_events(readers.message_stream(spark, inbox), titles(spark), folder).awaitTermination()
+    assert [r["ticket_price"] for r in jobs.applied_events(spark, folder).collect()] == [5]
+    found = jobs.rejects(spark, folder, jobs.EVENT_REJECTS).collect()
+    assert sorted((r["title_id"], r["reason"]) for r in found) == [
+        ("t1", S.INVALID_MESSAGE), ("t9", S.NO_SUCH_TITLE),
+    ]
+
+
+def test_a_rebased_job_has_the_same_state(spark, tmp_path):
+    bids = spark.createDataFrame(
+        [("u", "t1", S.AVAILABLE, 2, Decimal(5), DAY, DAY, True)],
+        "user_id string, title_id string, status string, num_tickets int, "
+        "ticket_bid decimal(10,2), `from` date, `to` date, is_preapp boolean",
+    )
+    now = "2024-01-01 12:00:00"
+    job = jobs.BidRequests(titles(spark), bids, now, str(tmp_path / "state"))
+    put = '{"op":"put","user_id":"u","title_id":"t1","num_tickets":"9","ticket_bid":"50","from":"2024-01-01","to":"2024-01-02","is_preapp":true}'
+    cancel = '{"op":"cancel","user_id":"u","title_id":"t1"}'
+    inbox = str(tmp_path / "inbox")
+    for lines in ([put], [cancel]):
+        arrive(spark, inbox, lines)
+        job.start(readers.message_stream(spark, inbox)).awaitTermination()
+    before = job.bids_now().collect()
+    assert [(r["num_tickets"], r["ticket_bid"], r["status"]) for r in before] == [
+        (9, Decimal("50.00"), S.CANCELED_BY_USER)
+    ]
+    again = job.rebased(str(tmp_path / "base"))
+    assert again.since > job.since and again.bids_now().collect() == before
+    arrive(spark, inbox, [put.replace('"9"', '"3"')])
+    again.start(readers.message_stream(spark, inbox)).awaitTermination()
+    assert [(r["num_tickets"], r["status"]) for r in again.bids_now().collect()] == [(3, S.AVAILABLE)]
+    assert [r["message"] for r in again.results().orderBy("seq").collect()].count("Bid Updated") == 1
+
+
+def test_rebased_reservations_have_the_same_state(spark, tmp_path):
+    bids, slots = tables(spark)
+    job = jobs.Reservations(titles(spark), bids, slots, str(tmp_path / "state"))
+    job._step(writers.reservation_messages(messages(spark), "seq"), 0)
+    again = job.rebased(str(tmp_path / "base"))
+    for name in ("bids_now", "slots_now"):
+        old, new = (sorted(map(str, getattr(j, name)().collect())) for j in (job, again))
+        assert old == new
+    again._step(writers.reservation_messages(messages(spark), "seq"), 1)
+    assert again.bookings().count() == 2
+
+
+def test_a_batch_reads_its_buckets_only(spark, tmp_path, capsys):
+    bids, slots = tables(spark)
+    bids = jobs.by_bucket(bids, str(tmp_path / "bids"), buckets=64)
+    job = jobs.Reservations(titles(spark), bids, slots, str(tmp_path / "state"), buckets=64)
+    batch = spark.createDataFrame([("u", "t1")], "user_id string, title_id string")
+    job.bids_now(5, jobs._of_batch(batch, 64)).explain("formatted")
+    filters = [x for x in capsys.readouterr().out.splitlines() if "PartitionFilters" in x]
+    assert any("bucket" in x for x in filters)
+    assert any("batch" in x and "< 5" in x and "> -1" in x for x in filters)
+
+
 def test_bid_records_last_one_wins(spark, tmp_path):
     inbox, folder = str(tmp_path / "inbox"), str(tmp_path / "bids")
     record = '{"seq":%d,"user_id":"u","title_id":"t","status":"%s","num_tickets":"2","ticket_bid":"5.5","from":"2024-01-01","to":"2024-01-09","is_preapp":true}'

@@ -41,6 +41,13 @@ def test_query_equals_sql(spark, sf_dir, tables, name):
     assert plain(found.collect(), found.columns) == plain(cursor.fetchall(), columns)
 
 
+def test_groups_come_best_first(spark, sf_dir, tables):
+    found = [(r["bids_total"], r["day"], r["title_id"]) for r in QUERIES["ranked_groups"](spark, sf_dir).collect()]
+    cursor = tables.execute(oracle.SQL["ranked_groups"])
+    at = [[c[0] for c in cursor.description].index(n) for n in ("bids_total", "day", "title_id")]
+    assert found == [tuple(row[i] for i in at) for row in cursor.fetchall()]
+
+
 def plan(rows, capsys) -> str:
     rows.explain("formatted")
     return capsys.readouterr().out

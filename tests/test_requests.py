@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from brute import fold
 from seatpool import schemas as S
-from seatpool.functions.ordered import running
+from seatpool.functions.ordered import in_blocks, running
 from seatpool.operators import listings, requests as R
 
 ASKED = (S.AVAILABLE, S.CANCELED_BY_USER)
@@ -136,17 +136,21 @@ def test_refusals_and_unknown_title(spark):
     assert texts[1] == '{"reason":"client_error","errors":["title is expired"]}'
 
 
-def test_running_values_equal_a_plain_window(spark):
+@pytest.mark.parametrize("sparse", [False, True])
+def test_running_values_equal_a_plain_window(spark, sparse):
     rows = spark.range(300).select(
         F.col("id").alias("seq"),
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("key"),
         (F.hash("id") % 10).alias("n"),
         F.when(F.hash("id") % 5 == 0, F.col("id")).alias("mark"),
     )
+    if sparse:
+        rows = rows.withColumns({"seq": F.col("seq") * 10**15, "mark": F.col("mark") * 10**15})
+    blocked = in_blocks(rows, "seq", 16)
+    assert blocked.select("block_no").distinct().count() == 19
     found = running(
-        rows, ["key"], "seq",
+        blocked, ["key"], "seq",
         totals={"before": F.col("n")}, firsts={"first": F.col("mark")}, previous={"last": "n"},
-        block=16,
     )
     rows.createOrReplaceTempView("running_rows")
     plain = spark.sql(
@@ -173,6 +177,26 @@ def test_tickets_until_sold_out(spark):
         }
 
 
+def test_sales_take_seats(spark):
+    events = spark.createDataFrame(
+        [("t", date(2024, 1, 1), 5, S.AVAILABLE), ("t", date(2024, 1, 2), 0, S.FULL)],
+        "title_id string, day date, num_tickets_available bigint, status string",
+    )
+    asked = spark.createDataFrame(
+        [(1, "u", 2), (2, "v", 3), (3, "w", 1)], "seq bigint, user_id string, num_tickets int"
+    ).withColumns({"title_id": F.lit("t"), "day": F.lit(date(2024, 1, 1))})
+    answered = listings.buy_tickets(asked, events)
+    sold = listings.tickets_sold(answered).collect()
+    assert sorted((r["user_id_event_id"], r["num_tickets"], r["status"]) for r in sold) == [
+        ("u_t_2024-01-01", 2, S.BOOKED), ("v_t_2024-01-01", 3, S.BOOKED),
+    ]
+    assert sorted(map(tuple, listings.seats_after(events, answered).collect())) == [
+        ("t", date(2024, 1, 1), 0, S.FULL), ("t", date(2024, 1, 2), 0, S.FULL),
+    ]
+    some = listings.seats_after(events, answered.where("seq = 1"))
+    assert ("t", date(2024, 1, 1), 3, S.AVAILABLE) in list(map(tuple, some.collect()))
+
+
 def test_canceling_twice_changes_nothing(spark):
     columns = "user_id string, title_id string, day date, status string"
     table = spark.createDataFrame(
@@ -224,7 +248,8 @@ def test_running_values_of_a_joined_key_are_dealt_out_by_block(spark, capsys):
     try:
         rows = spark.range(100).selectExpr("id AS seq", "int(id % 2) AS k", "id AS v")
         joined = rows.join(spark.createDataFrame([(0, 1)], "k int, x int"), "k")
-        running(joined, ["k"], "seq", totals={"so_far": F.col("v")}, block=10).explain("formatted")
+        joined = in_blocks(joined, "seq", 10)
+        running(joined, ["k"], "seq", totals={"so_far": F.col("v")}).explain("formatted")
         assert "hashpartitioning(k#" in (text := capsys.readouterr().out)
         assert "block_no#" in text.split("hashpartitioning(k#", 1)[1]
         assert "REPARTITION_BY_COL" in text
