@@ -44,7 +44,7 @@ from seatpool.session import new_folder, stored
 
 # Options of one user kept in one nested row. Users above it are split.
 OPTIONS_PER_ROW = 50_000
-# Bids per file of a state, while the session's shuffle partitions allow as many files.
+# Bids per file of a state, and so per task of a round.
 ROWS_PER_FILE = 200_000
 # Rounds computed from one written state.
 ROUNDS_PER_WRITE = 4
@@ -86,7 +86,7 @@ class Layout(NamedTuple):
 
 
 class Bookings(NamedTuple):
-    """Result of a run. All members are lazy but the events, which are known."""
+    """Result of a run. All members are lazy but the events, which are written."""
 
     events: DataFrame
     booked: DataFrame
@@ -227,27 +227,23 @@ def _listed(shape: Shape, groups: DataFrame, count: int) -> Layout:
 
 class _Sizes(NamedTuple):
     split_users: int
-    negative: bool
     total: int
     files: int
 
 
 def _sizes(rows: DataFrame, value: str, per_row: int) -> _Sizes:
     per_user = rows.groupBy("user_id").agg(
-        F.count("*").alias("n"), F.min(value).alias("low"), F.sum(value).alias("total")
+        F.count("*").alias("n"), F.sum(F.abs(value)).alias("total")
     )
     found = per_user.agg(
         F.count_if(F.col("n") > per_row).alias("split"),
-        F.min("low").alias("low"),
         F.sum("total").alias("total"),
         F.sum("n").alias("rows"),
     ).first()
-    negative = found["low"] is not None and found["low"] < 0
-    # enough partitions for every core and for the rows, up to what the session shuffles into
-    spark = rows.sparkSession
-    wanted = max(spark.sparkContext.defaultParallelism, (found["rows"] or 0) // ROWS_PER_FILE)
-    files = min(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return _Sizes(found["split"], negative, found["total"] or 0, files)
+    # enough partitions for every core and for the rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    files = max(cores, (found["rows"] or 0) // ROWS_PER_FILE)
+    return _Sizes(found["split"], found["total"] or 0, files)
 
 
 def _split(rows: DataFrame, per_row: int, split_users: int) -> DataFrame:
@@ -426,6 +422,7 @@ def _apply(state: DataFrame, run: _Run, winners: Sequence[int]) -> DataFrame:
 
 
 def _play(nested: DataFrame, run: _Run):
+    """Play all rounds; the groups booked come back in their order if they came one by one."""
     layout = run.layout
     types = {f.name: f.dataType.simpleString() for f in _rows(nested, layout).schema}
     fields = ",".join(f"{name}:{types[name]}" for name in ("gid", "a1", "a2", "value", "tickets"))
@@ -447,7 +444,8 @@ def _play(nested: DataFrame, run: _Run):
             quiet = 0 if shared else ROUNDS_WITHOUT_VOTES
         else:
             quiet -= 1
-        events.extend((w["gid"], w["bids_total"], w["num_tickets"]) for w in winners)
+        if run.sequential:
+            events.append(winners[0]["gid"])
         state = _apply(state, run, [w["gid"] for w in winners])
         pending += 1
         if pending == rounds_per_write:
@@ -459,26 +457,13 @@ def _play(nested: DataFrame, run: _Run):
 
 def _bookings(nested: DataFrame, run: _Run, total_type: T.DataType) -> Bookings:
     layout, shape = run.layout, run.layout.shape
-    events, ledger = _play(nested, run)
-    if not run.sequential:
-        # the sequential rule picks totals that never rise, so this is its order
-        events.sort(key=lambda e: (-e[1], e[0]))
-    spark = nested.sparkSession
-    schema = T.StructType(
-        [
-            T.StructField("event_rank", T.LongType()),
-            T.StructField("gid", T.LongType()),
-            T.StructField("bids_total", total_type),
-            T.StructField("num_tickets", T.LongType()),
-        ]
-    )
-    ranked = spark.createDataFrame([(i + 1, *e) for i, e in enumerate(events)], schema)
-    ranked = sized(ranked, len(events))
-    frame = layout.named(ranked).select("event_rank", *shape.group, "bids_total", "num_tickets")
-
+    order, ledger = _play(nested, run)
     entries = ledger.last().selectExpr("user_id", "inline(booked)")
     if run.split_users:
         entries = entries.distinct()
+    ranked, count = _ranked(entries, order if run.sequential else None, total_type)
+    ranked = sized(ranked, count)
+    frame = layout.named(ranked).select("event_rank", *shape.group, "bids_total", "num_tickets")
     entries = entries.join(ranked.select("gid", "event_rank"), "gid")
     booked = layout.named(entries).select(
         "user_id", *shape.group, F.col("value").alias(shape.value), "tickets", "event_rank"
@@ -512,25 +497,61 @@ def _bookings(nested: DataFrame, run: _Run, total_type: T.DataType) -> Bookings:
     return Bookings(frame, booked, outcome)
 
 
+def _ranked(entries: DataFrame, order: list | None, total_type: T.DataType):
+    """The events of a run out of its booked rows, in their order; and how many there are.
+
+    The sequential rule picks totals that never rise unless bids are negative, so the order
+    is by total, then group. Groups that were picked one by one come as a list.
+    """
+    events = entries.groupBy("gid").agg(
+        F.sum("value").cast(total_type).alias("bids_total"),
+        F.sum("tickets").cast("bigint").alias("num_tickets"),
+    )
+    if order is None:
+        events, count = numbered(events.withColumn("down", -F.col("bids_total")), ["down", "gid"])
+        events = events.withColumn("event_rank", F.col("position") + 1)
+    else:
+        # there was a job for each of them
+        places = entries.sparkSession.createDataFrame(
+            [(i + 1, gid) for i, gid in enumerate(order)], "event_rank bigint, gid bigint"
+        )
+        events, count = events.join(places, "gid"), len(order)
+    return events.select("event_rank", "gid", "bids_total", "num_tickets"), count
+
+
 # ---------------------------------------------------------------- runs
 
 
+def unbookable(rows: DataFrame, needed: Sequence[str], value: str = "total_bid") -> DataFrame:
+    """Rows that rounds leave out, with the reason."""
+    whole = F.lit(True)
+    for name in (*needed, value):
+        whole = whole & F.col(name).isNotNull()
+    reason = F.when(~whole, schemas.INCOMPLETE_BID).when(F.col(value) < 0, schemas.NEGATIVE_BID)
+    return rows.withColumn("reason", reason).where("reason IS NOT NULL")
+
+
+def _bookable(rows: DataFrame, needed: Sequence[str], value: str, sequential: bool) -> DataFrame:
+    rows = rows.dropna(subset=[*needed, value])
+    return rows if sequential else rows.where(F.col(value) >= 0)
+
+
 def book(
     bids: DataFrame,
     slots: DataFrame,
     minimum=schemas.SERVICE_MINIMUM,
     strict: bool = True,
-    sequential: bool | None = None,
+    sequential: bool = False,
     respect_validity: bool = False,
     per_row: int = OPTIONS_PER_ROW,
     rounds_per_write: int = ROUNDS_PER_WRITE,
 ) -> Bookings:
     """I1 over bids (user_id, title_id, total_bid) and free days (user_id, day).
 
-    Bids of one user for one title add up to one; bids without user, title or amount
-    are left out. ``sequential`` books one group per round; it is chosen by itself if a
-    bid is negative, since totals may then rise, and False is then an error.
-    ``respect_validity`` keeps only days between the bid's from and to.
+    Bids of one user for one title add up to one. Bids without user, title or amount and
+    negative bids, which no contract allows, are left out; ``unbookable`` lists them.
+    ``sequential`` books one group per round and takes negative bids too, since totals may
+    rise then. ``respect_validity`` keeps only days between the bid's from and to.
     """
     shape = Shape(("day", "title_id"), ("day", "title_id"), "total_bid")
     if respect_validity:
@@ -538,7 +559,8 @@ def book(
         rows = rows.where(F.col("day").between(F.col("from"), F.col("to")))
         return allocate(rows, shape, minimum, strict, sequential, per_row, rounds_per_write)
     # read several times below, and possibly the result of a long plan
-    bids = bids.select("user_id", "title_id", "total_bid").dropna()
+    bids = bids.select("user_id", "title_id", "total_bid")
+    bids = _bookable(bids, ["user_id", "title_id"], "total_bid", sequential)
     bids = bids.groupBy("user_id", "title_id").agg(F.sum("total_bid").alias("total_bid"))
     bids = stored(bids, "bids")
     sizes = _sizes(bids, "total_bid", per_row)
@@ -561,15 +583,16 @@ def allocate(
     shape: Shape,
     minimum,
     strict: bool = True,
-    sequential: bool | None = None,
+    sequential: bool = False,
     per_row: int = OPTIONS_PER_ROW,
     rounds_per_write: int = ROUNDS_PER_WRITE,
 ) -> Bookings:
     """Greedy booking over listed rows (user_id, group columns, value).
 
-    Rows without user, group or value cannot be booked and are left out.
+    Rows without user, group or value cannot be booked and are left out, and negative ones
+    unless the run is ``sequential``.
     """
-    rows = rows.dropna(subset=["user_id", *shape.group, shape.value])
+    rows = _bookable(rows, ["user_id", *shape.group], shape.value, sequential)
     rows = rows.groupBy("user_id", *shape.group).agg(
         F.sum(shape.value).alias("value"), F.count("*").alias("tickets")
     )
@@ -593,15 +616,13 @@ def allocate(
 
 
 def _run(nested, layout, sizes, minimum, strict, sequential, rounds_per_write) -> Bookings:
-    if sizes.negative and sequential is False:
-        raise ValueError("negative bids need the sequential form")
     rows = _rows(nested, layout)
     total_type = rows.agg(F.sum("value").alias("total")).schema["total"].dataType
     run = _Run(
         layout,
         f"> {minimum}" if strict else f">= {minimum}",
         _key(layout, sizes.total, total_type),
-        sizes.negative if sequential is None else sequential,
+        sequential,
         sizes.split_users,
         rounds_per_write,
     )

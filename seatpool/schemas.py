@@ -95,6 +95,8 @@ TIMESLOT_STATUS_RULE = "timeslot status can only be AVAILABLE"
 UNDEFINED_TRANSITION = "undefined transition"
 INCOMPLETE_REQUEST = "incomplete request"
 UNKNOWN_OPERATION = "unknown operation"
+INCOMPLETE_BID = "incomplete bid"
+NEGATIVE_BID = "negative bid"
 INVALID_MESSAGE = "invalid message"
 
 TITLES = T.StructType(

@@ -156,9 +156,19 @@ def test_both_winner_tests_and_a_small_batch_of_winners(spark, monkeypatch):
     same_as_brute(A.book(*frames(spark, interest, free), 1), interest, free, 1)
 
 
-def test_negative_bids_take_the_sequential_form(spark):
+def test_the_sequential_form_takes_negative_bids(spark):
     interest, free = many_cases(3, 6, low=-3)
-    same_as_brute(A.book(*frames(spark, interest, free), 1), interest, free, 1)
+    same_as_brute(A.book(*frames(spark, interest, free), 1, sequential=True), interest, free, 1)
+
+
+def test_rounds_leave_out_negative_bids_and_list_them(spark):
+    interest, free = many_cases(3, 6, low=-3)
+    bids, slots = frames(spark, interest, free)
+    kept = [row for row in interest if row[2] >= 0]
+    assert len(kept) < len(interest)
+    same_as_brute(A.book(bids, slots, 1), kept, free, 1)
+    left = A.unbookable(bids, ["user_id", "title_id"])
+    assert sorted(tuple(r)[:3] for r in left.collect()) == sorted(r for r in interest if r[2] < 0)
 
 
 def test_decimal_bids(spark):
@@ -241,10 +251,14 @@ def test_repeated_and_null_bids(spark):
     slots = slots.withColumn("day", slots["day"].cast("date"))
     events = A.book(bids, slots, minimum=20).events.collect()
     assert [(r["bids_total"], r["num_tickets"]) for r in events] == [(60, 2)]
+    left = A.unbookable(bids, ["user_id", "title_id"]).collect()
+    assert [r["reason"] for r in left] == ["incomplete bid"] * 3
 
 
-def test_rounds_are_refused_for_negative_bids(spark):
-    bids = spark.createDataFrame([(1, 1, -3), (2, 1, 30)], "user_id long, title_id long, total_bid long")
+def test_split_negative_bids_do_not_hide_in_a_sum(spark):
+    bids = spark.createDataFrame([(1, 1, -3), (1, 1, 30)], "user_id long, title_id long, total_bid long")
     slots = spark.createDataFrame([(1, "2024-01-01")], "user_id long, day string")
-    with pytest.raises(ValueError):
-        A.book(bids, slots.withColumn("day", slots["day"].cast("date")), minimum=1, sequential=False)
+    slots = slots.withColumn("day", slots["day"].cast("date"))
+    for sequential, total in ((False, 30), (True, 27)):
+        events = A.book(bids, slots, minimum=1, sequential=sequential).events.collect()
+        assert [r["bids_total"] for r in events] == [total]
