@@ -26,7 +26,7 @@ BROADCAST_ROWS = 500_000
 
 
 def in_blocks(rows: DataFrame, seq: str, block: int = BLOCK) -> DataFrame:
-    """Add ``block_no``, which grows along ``seq``; for numbers that are not null."""
+    """Add ``block_no``, which grows along ``seq``; rows without a number are in no known block."""
     found = rows.agg(
         F.count(seq).alias("n"), F.min(seq).alias("low"), F.max(seq).alias("high")
     ).first()

@@ -94,13 +94,12 @@ def _decide(
     state: DataFrame,
     key: Sequence[str],
     machine: Sequence[tuple],
-    block: int,
 ) -> DataFrame:
-    """Add ``accepted`` and ``text`` to requests whose ``refusal`` is null."""
+    """Add ``accepted`` and ``text`` to requests ``in_blocks`` whose ``refusal`` is null."""
     spark = requests.sparkSession
     table = transitions(spark, machine)
     start = state.select(*key, F.col("status").alias("start_status"))
-    asked = in_blocks(requests.where("refusal IS NULL"), "seq", block).join(start, list(key), "left")
+    asked = requests.where("refusal IS NULL").join(start, list(key), "left")
     at_start = table.select(
         F.col("old_status").alias("s_old"),
         F.col("new_status").alias("s_new"),
@@ -173,10 +172,11 @@ def bid_requests(
             (F.col("status").isin(S.AVAILABLE, S.CANCELED_BY_USER), S.BID_STATUS_RULE),
         ]
     )
-    checked = with_defaults(_cancels(requests)).join(dates, "title_id", "left")
+    checked = with_defaults(_cancels(in_blocks(requests, "seq", block)))
+    checked = checked.join(dates, "title_id", "left")
     checked = checked.withColumn("refusal", _refusal(key, refusal))
     checked = checked.drop("title_from", "title_to")
-    decided = _decide(checked, bids, key, S.BID_TRANSITIONS, block)
+    decided = _decide(checked, bids, key, S.BID_TRANSITIONS)
     return Outcome(_results(checked, decided, key), decided.where("accepted"))
 
 
@@ -189,9 +189,9 @@ def timeslot_requests(
         F.when(F.col("status") != S.AVAILABLE, S.TIMESLOT_STATUS_RULE),
         day_reason(now, zone=zone),
     )
-    checked = with_defaults(_cancels(requests))
+    checked = with_defaults(_cancels(in_blocks(requests, "seq", block)))
     checked = checked.withColumn("refusal", _refusal(key, refusal))
-    decided = _decide(checked, slots, key, S.TIMESLOT_TRANSITIONS, block)
+    decided = _decide(checked, slots, key, S.TIMESLOT_TRANSITIONS)
     return Outcome(_results(checked, decided, key), decided.where("accepted"))
 
 
