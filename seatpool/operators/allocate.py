@@ -40,7 +40,7 @@ from seatpool import schemas
 from seatpool.functions import ordered
 from seatpool.functions.ordered import numbered, sized
 from seatpool.operators.joins import interest_by_slot
-from seatpool.session import new_folder, stored
+from seatpool.session import discard, new_folder, stored
 
 # Options of one user kept in one nested row. Users above it are split.
 OPTIONS_PER_ROW = 50_000
@@ -50,8 +50,8 @@ ROWS_PER_FILE = 200_000
 ROUNDS_PER_WRITE = 4
 # After this many rounds without votes, ask again whether votes find more.
 ROUNDS_WITHOUT_VOTES = 8
-# Winners applied in one round; further dominant groups stay dominant and follow in the next.
-WINNERS_PER_ROUND = 20_000
+# Winners up to which a round names them in the scan of the state; more are a table to join.
+WINNERS_IN_SCAN = 20_000
 # Days from the start of year 1 to the end of year 9999.
 CALENDAR_DAYS = 3_652_059
 FIRST_OF_CALENDAR = "DATE'0001-01-01'"
@@ -72,7 +72,8 @@ class Layout(NamedTuple):
     value, tickets), where a1 and a2 are the places on the two axes. Numbers of groups
     are below ``groups``, and ``known_groups`` bounds how many there are. ``hits`` is SQL
     for the rows a list of group numbers books; ``close`` gives for every array
-    what is left of it. ``named`` adds the group columns to rows with a gid.
+    what is left of it. ``named`` adds the group columns to rows with a gid. ``options``
+    is the array that leaves what can never be booked to the array ``rest``.
     """
 
     shape: Shape
@@ -83,6 +84,7 @@ class Layout(NamedTuple):
     close: dict[str, str]
     is_open: str
     named: Callable[[DataFrame], DataFrame]
+    options: str
 
 
 class Bookings(NamedTuple):
@@ -189,6 +191,7 @@ def _calendar(shape: Shape, titles: DataFrame, count: int, days: int) -> Layout:
         },
         is_open="size(bids) > 0 AND size(days) > 0",
         named=named,
+        options="bids",
     )
 
 
@@ -219,6 +222,7 @@ def _listed(shape: Shape, groups: DataFrame, count: int) -> Layout:
         },
         is_open="size(options) > 0",
         named=named,
+        options="options",
     )
 
 
@@ -257,23 +261,29 @@ def _split(rows: DataFrame, per_row: int, split_users: int) -> DataFrame:
 
 
 def _nested(
-    rows: DataFrame, users: DataFrame | None, key: str, array: Column, files: int
+    rows: DataFrame, users: DataFrame | None, key: str, name: str, row: Column, files: int
 ) -> DataFrame:
+    """One row per user and part, with ``row`` of the live rows in the array ``name`` and of
+    all others in ``rest``."""
+    arrays = [
+        F.collect_list(F.when(F.col("live"), row)).alias(name),
+        F.collect_list(F.when(~F.col("live"), row)).alias("rest"),
+    ]
     if users is None:
         grouped = rows.repartition(files, "user_id").groupBy("user_id")
-        return grouped.agg(F.lit(0).alias("part"), F.lit(1).alias("parts"), array)
+        return grouped.agg(F.lit(0).alias("part"), F.lit(1).alias("parts"), *arrays)
     rows = rows.join(users, "user_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
     rows = rows.repartition(files, "user_id", "part")
-    return rows.groupBy("user_id", "part").agg(F.first("parts").alias("parts"), array)
+    return rows.groupBy("user_id", "part").agg(F.first("parts").alias("parts"), *arrays)
 
 
 def _nest_calendar(
     bids: DataFrame, slots: DataFrame, users: DataFrame | None, files: int
 ) -> DataFrame:
-    """Bids (user_id, title_no, value) and slots (user_id, day_no), one row per user and part."""
-    array = F.collect_list(F.struct("title_no", "value")).alias("bids")
-    bids = _nested(bids, users, "title_no", array, files)
+    """Bids (user_id, title_no, value, live) and slots (user_id, day_no), one row per user and
+    part."""
+    bids = _nested(bids, users, "title_no", "bids", F.struct("title_no", "value"), files)
     # a user's days are bounded by the calendar, so they fit in one array
     days = F.collect_set("day_no").alias("days")
     if users is None:
@@ -286,32 +296,42 @@ def _nest_calendar(
 
 
 def _nest_listed(rows: DataFrame, users: DataFrame | None, files: int) -> DataFrame:
-    options = F.collect_list(F.struct("gid", "a1", "a2", "value", "tickets")).alias("options")
-    return _nested(rows, users, "gid", options, files)
+    row = F.struct("gid", "a1", "a2", "value", "tickets")
+    return _nested(rows, users, "gid", "options", row, files)
 
 
 # ---------------------------------------------------------------- rounds
 
 
 class _Ledger:
-    """The states written during one run, as one table partitioned by write."""
+    """The states written during one run, as one table partitioned by write.
 
-    def __init__(self, spark: SparkSession, schema: T.StructType, is_open: str):
+    The first holds all rows. Of any other only the users that are finished are needed once
+    the next is written, so the rest of it is removed.
+    """
+
+    def __init__(self, spark: SparkSession, schema: T.StructType, layout: Layout):
         self.spark = spark
         self.folder = new_folder(spark, "booking")
         self.schema = T.StructType(schema.fields + [T.StructField("open", T.IntegerType())])
-        self.is_open = is_open
+        self.layout = layout
         self.writes = 0
 
     def write(self, state: DataFrame) -> DataFrame:
         self.writes += 1
         folder = f"{self.folder}/cut={self.writes}"
-        with_flag = state.selectExpr("*", f"int({self.is_open}) AS open")
+        with_flag = state.selectExpr("*", f"int({self.layout.is_open}) AS open")
         with_flag.write.partitionBy("open").parquet(folder)
-        return self.spark.read.schema(self.schema).parquet(folder).where("open = 1").drop("open")
+        if self.writes > 2:
+            discard(self.spark, f"{self.folder}/cut={self.writes - 1}/open=1")
+        state = self.spark.read.schema(self.schema).parquet(folder)
+        return state.where("open = 1").drop("open", "rest")
 
     def first(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/cut=1")
+        """Every user with all rows."""
+        state = self.spark.read.schema(self.schema).parquet(f"{self.folder}/cut=1")
+        name = self.layout.options
+        return state.withColumn(name, F.concat(name, "rest")).drop("rest")
 
     def last(self) -> DataFrame:
         """Every user once: as finished in some write, or as left by the last one."""
@@ -358,8 +378,8 @@ def _rows(state: DataFrame, layout: Layout, *keep: str) -> DataFrame:
     return _sql(state, f"SELECT {', '.join(columns)} FROM ({layout.rows})")
 
 
-def _winners(state: DataFrame, run: _Run, by_votes: bool) -> list:
-    """Groups to book now, best first."""
+def _winners(state: DataFrame, run: _Run, by_votes: bool) -> DataFrame:
+    """Groups to book now."""
     layout = run.layout
     totals = f"""
         WITH rows AS ({layout.rows}),
@@ -371,7 +391,7 @@ def _winners(state: DataFrame, run: _Run, by_votes: bool) -> list:
           WHERE bids_total {run.clears})"""
     result = "SELECT gid, a1, a2, bids_total, num_tickets, place FROM"
     if run.sequential:
-        return _sql(state, f"{totals} {result} totals ORDER BY place LIMIT 1").collect()
+        return _sql(state, f"{totals} {result} totals ORDER BY place LIMIT 1")
     small = layout.known_groups <= ordered.BROADCAST_ROWS
     if not by_votes and small:
         query = f"""{totals}
@@ -401,23 +421,38 @@ def _winners(state: DataFrame, run: _Run, by_votes: bool) -> list:
               FROM votes GROUP BY place)
             {result} (SELECT {hint} totals.* FROM named JOIN totals ON named.gid = totals.gid
                       WHERE members = first AND members = second)"""
-    return _sql(state, f"{query} ORDER BY place LIMIT {WINNERS_PER_ROUND}").collect()
+    return _sql(state, query)
 
 
 def _apply(state: DataFrame, run: _Run, winners: Sequence[int]) -> DataFrame:
-    close = run.layout.close
-    columns = [name for name in state.columns if name != "booked" and name not in close]
-    state = state.selectExpr("*", f"{run.layout.hits(winners)} AS hits")
+    """The state after a round with few winners: they are named in the scan."""
+    hits = state.selectExpr("*", f"{run.layout.hits(winners)} AS hits")
     if run.split_users:
         shared = (
-            state.where("parts > 1 AND size(hits) > 0")
+            hits.where("parts > 1 AND size(hits) > 0")
             .groupBy("user_id")
             .agg(F.expr("flatten(collect_list(hits)) AS shared"))
         )
         # a hit per day and split user at most
-        state = state.join(sized(shared, run.split_users), "user_id", "left")
-        state = state.withColumn("hits", F.coalesce("shared", "hits"))
-    closed = [f"{sql} AS {name}" for name, sql in close.items()]
+        hits = hits.join(sized(shared, run.split_users), "user_id", "left")
+        hits = hits.withColumn("hits", F.coalesce("shared", "hits"))
+    return _closed(hits, run.layout)
+
+
+def _apply_table(state: DataFrame, run: _Run, winners: DataFrame, count: int) -> DataFrame:
+    """The state after a round with many winners (gid): they meet its rows in a join, and what
+    is hit, a row per user and day at most, meets the users of the state."""
+    rows = _rows(state, run.layout).join(sized(winners.select("gid"), count), "gid")
+    hits = rows.groupBy("user_id").agg(
+        F.collect_list(F.struct("gid", "a1", "a2", "value", "tickets")).alias("hits")
+    )
+    state = state.join(hits, "user_id", "left")
+    return _closed(state.withColumn("hits", F.coalesce("hits", F.slice("booked", 1, 0))), run.layout)
+
+
+def _closed(state: DataFrame, layout: Layout) -> DataFrame:
+    columns = [n for n in state.columns if n not in ("booked", "hits", "shared", *layout.close)]
+    closed = [f"{sql} AS {name}" for name, sql in layout.close.items()]
     return state.selectExpr(*columns, *closed, "concat(booked, hits) AS booked")
 
 
@@ -428,27 +463,40 @@ def _play(nested: DataFrame, run: _Run):
     fields = ",".join(f"{name}:{types[name]}" for name in ("gid", "a1", "a2", "value", "tickets"))
     booked_type = f"array<struct<{fields}>>"
     nested = nested.withColumn("booked", F.expr(f"CAST(array() AS {booked_type})"))
-    ledger = _Ledger(nested.sparkSession, nested.schema, layout.is_open)
+    ledger = _Ledger(nested.sparkSession, nested.schema, layout)
     state = ledger.write(nested)
     # each part of a split user needs the others, so a round reads its state twice
     rounds_per_write = 1 if run.split_users else run.rounds_per_write
     events, pending, quiet = [], 0, 0
     while True:
         by_votes = quiet == 0
-        winners = _winners(state, run, by_votes)
+        found = _winners(state, run, by_votes)
+        winners = found.limit(WINNERS_IN_SCAN + 1).collect()
         if not winners:
             break
+        many = len(winners) > WINNERS_IN_SCAN
+        if many:
+            found = stored(found, "winners")
+            counts = found.agg(
+                F.count("*").alias("gid"),
+                *[F.countDistinct(axis).alias(axis) for axis in ("a1", "a2")],
+            ).first()
+        else:
+            counts = {name: len({w[name] for w in winners}) for name in ("gid", "a1", "a2")}
         if by_votes:
             # winners that share a day or a title are those only votes can tell
-            shared = any(len({w[axis] for w in winners}) < len(winners) for axis in ("a1", "a2"))
+            shared = counts["gid"] > min(counts["a1"], counts["a2"])
             quiet = 0 if shared else ROUNDS_WITHOUT_VOTES
         else:
             quiet -= 1
         if run.sequential:
             events.append(winners[0]["gid"])
-        state = _apply(state, run, [w["gid"] for w in winners])
+        if many:
+            state = _apply_table(state, run, found, counts["gid"])
+        else:
+            state = _apply(state, run, [w["gid"] for w in winners])
         pending += 1
-        if pending == rounds_per_write:
+        if many or pending == rounds_per_write:
             state, pending = ledger.write(state), 0
     if pending:
         ledger.write(state)
@@ -536,6 +584,12 @@ def _bookable(rows: DataFrame, needed: Sequence[str], value: str, sequential: bo
     return rows if sequential else rows.where(F.col(value) >= 0)
 
 
+def _live(value: str, minimum, strict: bool, sequential: bool) -> Column:
+    """Whether the rows of a group can ever be booked. Totals do not rise unless bids are
+    negative, which only the sequential form takes."""
+    return F.lit(True) if sequential else over_minimum(F.sum(value), minimum, strict)
+
+
 def book(
     bids: DataFrame,
     slots: DataFrame,
@@ -564,12 +618,14 @@ def book(
     bids = bids.groupBy("user_id", "title_id").agg(F.sum("total_bid").alias("total_bid"))
     bids = stored(bids, "bids")
     sizes = _sizes(bids, "total_bid", per_row)
-    titles, count = numbered(bids.select("title_id").distinct(), ["title_id"])
+    # no day of a title has more than all its bids
+    live = _live("total_bid", minimum, strict, sequential)
+    titles, count = numbered(bids.groupBy("title_id").agg(live.alias("live")), ["title_id"])
     titles = sized(titles, count)
     days = slots.select("day").distinct().count()
-    layout = _calendar(shape, titles, max(count, 1), days)
+    layout = _calendar(shape, titles.drop("live"), max(count, 1), days)
     bids = bids.join(titles, "title_id").selectExpr(
-        "user_id", "position AS title_no", "total_bid AS value"
+        "user_id", "position AS title_no", "total_bid AS value", "live"
     )
     day_no = F.datediff("day", F.expr(FIRST_OF_CALENDAR)).cast("bigint")
     slots = slots.select("user_id", day_no.alias("day_no")).where("day_no IS NOT NULL")
@@ -598,9 +654,10 @@ def allocate(
     )
     rows = stored(rows, "rows")
     sizes = _sizes(rows, "value", per_row)
-    groups, count = numbered(rows.select(*shape.group).distinct(), shape.group)
+    live = _live("value", minimum, strict, sequential)
+    groups, count = numbered(rows.groupBy(*shape.group).agg(live.alias("live")), shape.group)
     groups = sized(groups, count)
-    layout = _listed(shape, groups, max(count, 1))
+    layout = _listed(shape, groups.drop("live"), max(count, 1))
     one, two = shape.axes
     rows = rows.join(groups, list(shape.group)).select(
         "user_id",
@@ -609,6 +666,7 @@ def allocate(
         F.col(two).cast("string").alias("a2"),
         "value",
         "tickets",
+        "live",
     )
     users = _split(rows, per_row, sizes.split_users) if sizes.split_users else None
     nested = _nest_listed(rows, users, sizes.files)

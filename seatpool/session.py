@@ -54,3 +54,9 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     folder = new_folder(spark, purpose)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Remove an intermediate table, or a part of one, that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -147,15 +147,31 @@ def test_rounds_equal_the_sequential_rule(spark, options):
     same_as_brute(result, interest, free, 2)
 
 
-def test_both_winner_tests_and_a_small_batch_of_winners(spark, monkeypatch):
+@pytest.mark.parametrize("options", [{}, {"per_row": 2}], ids=["rounds", "split users"])
+def test_more_winners_than_a_scan_names_are_a_table(spark, monkeypatch, options):
     interest, free = many_cases(11, 30)
-    monkeypatch.setattr(A, "WINNERS_PER_ROUND", 5)
+    monkeypatch.setattr(A, "WINNERS_IN_SCAN", 5)
+    monkeypatch.setattr(A, "ROUNDS_WITHOUT_VOTES", 2)
+    same_as_brute(A.book(*frames(spark, interest, free), 1, **options), interest, free, 1)
+
+
+def test_both_winner_tests_without_broadcasts(spark, monkeypatch):
+    interest, free = many_cases(12, 20)
+    monkeypatch.setattr(A, "WINNERS_IN_SCAN", 0)
     monkeypatch.setattr(A, "ROUNDS_WITHOUT_VOTES", 2)
-    same_as_brute(A.book(*frames(spark, interest, free), 1), interest, free, 1)
     monkeypatch.setattr(ordered, "BROADCAST_ROWS", 0)
     same_as_brute(A.book(*frames(spark, interest, free), 1), interest, free, 1)
 
 
+def test_only_the_first_and_last_state_keep_open_users(spark, monkeypatch, tmp_path):
+    interest, free = many_cases(13, 10)
+    monkeypatch.setattr(A, "new_folder", lambda spark, purpose: f"{tmp_path}/{purpose}")
+    A.book(*frames(spark, interest, free), 1, rounds_per_write=1)
+    cuts = len(list(tmp_path.glob("booking/cut=*")))
+    left = {int(p.parent.name.removeprefix("cut=")) for p in tmp_path.glob("booking/cut=*/open=1")}
+    assert cuts > 3 and left <= {1, cuts}
+
+
 def test_the_sequential_form_takes_negative_bids(spark):
     interest, free = many_cases(3, 6, low=-3)
     same_as_brute(A.book(*frames(spark, interest, free), 1, sequential=True), interest, free, 1)
