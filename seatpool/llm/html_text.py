@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 # Elements whose content is no text of the page.
 _raw = "script|style|noscript|template|textarea|iframe|svg|object|select|canvas|audio|video|math|title"
+# Values of attributes may hold tag ends. Only foreign elements can be closed by their own tag.
+_attributes = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*"""
 _token = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_raw})\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)(?:>|\Z)|<(?:[!?/]|[a-zA-Z])[^>]*(?:>|\Z)""",
+    rf"<!--.*?(?:-->|\Z)|<(?!(?:svg|math)(?=[\s/]){_attributes}(?<=/)>)({_raw})(?=[\s/>])(?:{_attributes}|[^>]*)>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_attributes})(?:>|\Z)|<(?:[!?/]|[a-zA-Z])[^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _named = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)

@@ -474,3 +474,13 @@ def test_site_lines_and_mix_are_native(spark, capsys):
         frame.explain("formatted")
         text = capsys.readouterr().out
         assert not re.search("EvalPython|InPandas|InArrow|CartesianProduct|NestedLoop", text)
+
+
+def test_main_text_past_elements_that_look_like_hidden_ones():
+    said = " Words that make a sentence of some length, and then a few more of them to be sure."
+    custom = html_text.main_text(f'<article><p>A{said}</p><video-player src="x"></video-player><p>B{said}</p></article>')
+    assert custom == f"A{said}\n\nB{said}"
+    icon = html_text.main_text(f'<article><p>A{said} <svg id="i"/></p><p>B{said}</p><svg><path d="1>2"/></svg><p>C{said}</p></article>')
+    assert icon == f"A{said}\n\nB{said}\n\nC{said}"
+    script = html_text.main_text(f'<article><p>A{said}</p><script data-a="x>y">var a = "<p>no</p>"</script><p>B{said}</p>')
+    assert script == f"A{said}\n\nB{said}"
