@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seatpool import schemas as S
 from seatpool.functions.columns import composite_key, ticket_price
 from seatpool.functions.ordered import first_by
-from seatpool.operators.upsert import with_status
+from seatpool.operators.upsert import with_derived_keys, with_status
+from seatpool.session import stored
 
 
 def show_events(
@@ -73,6 +74,31 @@ class Applied(NamedTuple):
     verdicts: DataFrame
 
 
+_MESSAGE = ["seq", "user_id", "day", "title_id"]
+
+
+def looked_up(
+    messages: DataFrame, titles: DataFrame, bids: DataFrame, slots: DataFrame
+) -> DataFrame:
+    """Messages with what the tables say about their title, bid and timeslot.
+
+    Each table is read once; all that follows is decided on these rows.
+    """
+    details = titles.select(
+        "title_id", "title_name", F.col("year").alias("title_year"), F.lit(True).alias("has_title")
+    )
+    bid = bids.select(
+        "user_id", "title_id", "is_preapp", "num_tickets", "ticket_bid", F.col("status").alias("bid_status")
+    )
+    slot = slots.select("user_id", "day", F.col("status").alias("slot_status"))
+    return (
+        messages.select(*_MESSAGE)
+        .join(details, "title_id", "left")
+        .join(bid, ["user_id", "title_id"], "left")
+        .join(slot, ["user_id", "day"], "left")
+    )
+
+
 def apply_reservations(
     messages: DataFrame, titles: DataFrame, bids: DataFrame, slots: DataFrame
 ) -> Applied:
@@ -81,28 +107,24 @@ def apply_reservations(
     The first message for an AVAILABLE bid takes it; of those, the first for
     an AVAILABLE timeslot takes that and makes a booking. A taken bid stays
     taken when its timeslot fails. Both firsts are minima, combined per task
-    before the shuffle, so a key with very many messages is no hot spot.
+    before the shuffle, so a key with very many messages is no hot spot. What the
+    tables say about the messages is written once.
     """
-    messages = messages.select("seq", "user_id", "day", "title_id")
-    known = messages.join(titles.select("title_id"), "title_id", "left_semi")
-    open_bids = bids.where(F.col("status") == S.AVAILABLE).select(
-        "user_id", "title_id", "is_preapp", "num_tickets", "ticket_bid"
-    )
-    bid_key = ["user_id", "title_id"]
-    bid_winners = first_by(known, bid_key, ["seq"]).join(open_bids, bid_key)
+    return decided(stored(looked_up(messages, titles, bids, slots), "messages"))
 
-    open_slots = slots.where(F.col("status") == S.AVAILABLE).select("user_id", "day")
-    slot_key = ["user_id", "day"]
-    slot_winners = first_by(bid_winners, slot_key, ["seq"]).join(open_slots, slot_key)
 
-    details = titles.select("title_id", "title_name", F.col("year").alias("title_year"))
+def decided(rows: DataFrame) -> Applied:
+    """What messages that were ``looked_up`` lead to."""
+    asking = rows.where(F.col("has_title") & (F.col("bid_status") == S.AVAILABLE))
+    found = first_by(asking, ["user_id", "title_id"], ["seq"])
+    placing = found.where(F.col("slot_status") == S.AVAILABLE)
+    placed = first_by(placing, ["user_id", "day"], ["seq"])
+    details = ["is_preapp", "num_tickets", "ticket_bid"]
     event_id = composite_key("title_id", "day")
-    bookings = slot_winners.join(details, "title_id").select(
+    bookings = placed.select(
         composite_key("user_id", event_id).alias("user_id_event_id"),
         F.lit(S.BOOKED).alias("status"),
-        "is_preapp",
-        "num_tickets",
-        "ticket_bid",
+        *details,
         "user_id",
         "day",
         "title_id",
@@ -110,40 +132,32 @@ def apply_reservations(
         "title_name",
         "title_year",
     )
-    return Applied(
-        bookings,
-        bid_winners,
-        slot_winners,
-        _verdicts(messages, titles, bids, slots, bid_winners, slot_winners),
-    )
+    bid_winners = found.select(*_MESSAGE, *details)
+    slot_winners = placed.select(*_MESSAGE, *details)
+    return Applied(bookings, bid_winners, slot_winners, _verdicts(rows, bid_winners, slot_winners))
 
 
-def _verdicts(messages, titles, bids, slots, bid_winners, slot_winners) -> DataFrame:
+def _verdicts(rows: DataFrame, bid_winners: DataFrame, slot_winners: DataFrame) -> DataFrame:
     """What became of each message."""
+    won = bid_winners.select("user_id", "title_id", F.struct("seq", "day").alias("bid_won_by"))
+    slot = slot_winners.select("user_id", "day", F.struct("seq", "title_id").alias("slot_won_by"))
     # by the whole message, since sequence numbers may repeat
-    message = ["seq", "user_id", "day", "title_id"]
-    placed = slot_winners.select(*message, F.lit(True).alias("has_slot"))
-    won = bid_winners.select(*message).join(placed, message, "left")
-    won = won.withColumn("has_bid", F.lit(True))
-    bid_status = bids.select("user_id", "title_id", F.col("status").alias("bid_status"))
-    slot_status = slots.select("user_id", "day", F.col("status").alias("slot_status"))
-    known = titles.select("title_id", F.lit(True).alias("has_title"))
+    has_bid = F.col("bid_won_by").eqNullSafe(F.struct("seq", "day"))
+    has_slot = has_bid & F.col("slot_won_by").eqNullSafe(F.struct("seq", "title_id"))
     reason = (
-        F.when(F.col("has_slot"), None)
+        F.when(has_slot, None)
         .when(F.col("has_title").isNull(), S.NO_SUCH_SHOW)
         .when(F.col("bid_status").isNull(), S.NO_SUCH_BID)
         .when(F.col("bid_status") != S.AVAILABLE, "bid not available")
-        .when(F.col("has_bid").isNull(), "bid taken")
+        .when(~has_bid, "bid taken")
         .when(F.col("slot_status").isNull(), "no such timeslot")
         .when(F.col("slot_status") != S.AVAILABLE, "timeslot not available")
         .otherwise("timeslot taken")
     )
     return (
-        messages.join(won, message, "left")
-        .join(known, "title_id", "left")
-        .join(bid_status, ["user_id", "title_id"], "left")
-        .join(slot_status, ["user_id", "day"], "left")
-        .select("seq", "user_id", "day", "title_id", reason.alias("reason"))
+        rows.join(won, ["user_id", "title_id"], "left")
+        .join(slot, ["user_id", "day"], "left")
+        .select(*_MESSAGE, reason.alias("reason"))
     )
 
 
@@ -155,12 +169,15 @@ def rejected(applied: Applied) -> DataFrame:
 def bids_after(bids: DataFrame, applied: Applied) -> DataFrame:
     """E3 for bids, with a flag on bids taken by a message that found no timeslot."""
     key = ["user_id", "title_id"]
-    orphans = applied.bid_winners.select("seq", *key).join(
-        applied.slot_winners.select("seq"), "seq", "left_anti"
+    placed = applied.slot_winners.select(*key, F.lit(True).alias("placed"))
+    taken = applied.bid_winners.select(*key, F.lit(True).alias("taken")).join(placed, key, "left")
+    after = bids.join(taken, key, "left").withColumns(
+        {
+            "status": F.when(F.col("taken"), S.BOOKED).otherwise(F.col("status")),
+            "orphan": F.col("taken").isNotNull() & F.col("placed").isNull(),
+        }
     )
-    orphans = orphans.select(*key, F.lit(True).alias("orphan"))
-    after = with_status(bids, applied.bid_winners, key, S.BOOKED).join(orphans, key, "left")
-    return after.withColumn("orphan", F.coalesce("orphan", F.lit(False)))
+    return with_derived_keys(after.drop("taken", "placed"))
 
 
 def slots_after(slots: DataFrame, applied: Applied) -> DataFrame:

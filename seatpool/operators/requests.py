@@ -222,15 +222,11 @@ def after_requests(
     A cancel changes the status only, so the other fields come from the last
     accepted put, or from the table where there was none.
     """
-    puts = changes.where("op = 'put'").select(*key, "seq", *fields)
-    statuses = changes.select(*key, "seq", "status")
-    last_put = latest(puts, key, ["seq"]).select(
-        *key, F.struct(*fields).alias("put")
+    put_seq = F.when(F.col("op") == "put", F.col("seq"))
+    touched = changes.groupBy(*key).agg(
+        F.max_by(F.struct(*fields), put_seq).alias("put"),
+        F.max_by("status", "seq").alias("new_status"),
     )
-    last_status = latest(statuses, key, ["seq"]).select(
-        *key, F.col("status").alias("new_status")
-    )
-    touched = last_status.join(last_put, list(key), "left")
     kept = F.struct(*fields)
     return (
         table.select(*key, F.col("status").alias("old_status"), kept.alias("old"))

@@ -198,7 +198,7 @@ class Reservations:
         self.folder, self.since, self.buckets = folder, since, buckets
         self.bid_keys = T.StructType([bids.schema["user_id"], bids.schema["title_id"]])
         self.slot_keys = T.StructType([slots.schema["user_id"], slots.schema["day"]])
-        sample = applying.apply_reservations(self._messages(None), titles, bids, slots)
+        sample = applying.decided(applying.looked_up(self._messages(None), titles, bids, slots))
         self.booking_schema = sample.bookings.schema
         self.reject_schema = sample.verdicts.schema
         _create(self.spark, f"{folder}/taken_bids", self.bid_keys)
@@ -243,8 +243,7 @@ class Reservations:
         rows = self._messages(batch).persist()
         only = _of_batch(rows, self.buckets)
         # the part of the tables that the batch is about, read once for all that follows from it
-        bids = self.bids_now(number, only).persist()
-        slots = self.slots_now(number, only).persist()
+        bids, slots = self.bids_now(number, only), self.slots_now(number, only)
         applied = applying.apply_reservations(rows, self.titles, bids, slots)
         winners = applied.bid_winners.select(*self.bid_keys.names)
         placed = applied.slot_winners.select(*self.slot_keys.names)
@@ -254,8 +253,7 @@ class Reservations:
         lost = readers.unreadable(batch, S.RESERVATION_MESSAGE)
         put_changes(lost, f"{self.folder}/unreadable", number)
         put_changes(applied.bookings, f"{self.folder}/bookings", number)
-        for part in (rows, bids, slots):
-            part.unpersist()
+        rows.unpersist()
 
     def start(self, lines: DataFrame, trigger: dict = ONCE) -> StreamingQuery:
         return _start(lines, self._step, self.folder, trigger)
