@@ -50,10 +50,13 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` once and go on from the written table, which cuts its lineage."""
-    spark = df.sparkSession
-    folder = new_folder(spark, purpose)
+    return stored_in(df, new_folder(df.sparkSession, purpose))
+
+
+def stored_in(df: DataFrame, folder: str) -> DataFrame:
+    """The same in a folder that the caller can ``discard``."""
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def discard(spark: SparkSession, folder: str) -> None:
