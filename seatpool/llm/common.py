@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from seatpool.session import stored
+from seatpool.session import discard, new_folder, stored_in
 
 # White space and words, the same in Spark's, Python's and DuckDB's patterns.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -50,29 +50,35 @@ def components(edges: DataFrame) -> DataFrame:
     neighbour of each node is combined per task before the shuffle and written;
     the join that hands it to the edges of a node can then be split by AQE, so a
     node with many edges is no task of its own. Nothing but a count and a check
-    sum comes to the driver.
+    sum comes to the driver. Each table is removed when the one made of it is written.
     """
-    edges = stored(
+    spark = edges.sparkSession
+    work = new_folder(spark, "components")
+    edges = stored_in(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .filter("a <> b")
         .distinct(),
-        "edges",
+        f"{work}/edges-0",
     )
-    before = _state(edges)
+    before, step = _state(edges), 0
     while before[0]:
+        step += 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(
+        least = stored_in(
             both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")),
-            "least",
+            f"{work}/least-{step}",
         )
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(large.filter("a <> b").distinct(), "large-star")
-        least = stored(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
-        joined = edges.join(least, "a")
+        edges = stored_in(large.filter("a <> b").distinct(), f"{work}/large-star-{step}")
+        discard(spark, f"{work}/edges-{step - 1}")
+        small_least = stored_in(edges.groupBy("a").agg(F.min("b").alias("m")), f"{work}/small-least-{step}")
+        joined = edges.join(small_least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            least.select("a", F.col("m").alias("b"))
+            small_least.select("a", F.col("m").alias("b"))
         )
-        edges = stored(small.filter("a <> b").distinct(), "small-star")
+        edges = stored_in(small.filter("a <> b").distinct(), f"{work}/edges-{step}")
+        for old in ("least", "large-star", "small-least"):
+            discard(spark, f"{work}/{old}-{step}")
         after = _state(edges)
         if after == before:
             break
