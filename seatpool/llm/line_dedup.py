@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seatpool.session import stored
 
 #: A line on more than this share of the pages of its host is boilerplate,
-RATIO = 0.02
-#: if it is on at least so many pages: a small site repeats nothing by having one page.
-MIN_PAGES = 5
+RATIO = 0.1
+#: if more than one holds it: a site of one page repeats nothing. No other count matters.
+MIN_PAGES = 2
 
 # What ends a line in a page, and what is no text; one pattern each for Spark and DuckDB.
 HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(?:script|style|head|template|noscript)\b[^>]*>.*?(?:</(?:script|style|head|template|noscript)\s*>|\z)"
@@ -39,8 +39,9 @@ def site_lines(
     empty pages have no lines and count in the host's total. Repeated rows are pages of their
     own. Other columns are not read.
 
-    Pages per line are combined per task before the shuffle; only lines that go, at most
-    1 / ``ratio`` times the lines of a mean page per host, meet the occurrences again.
+    Pages per line are combined per task before the shuffle, in which SHA-256 digests stand
+    for lines; only lines that go, at most 1 / ``ratio`` times the lines of a mean page per
+    host, meet the occurrences again.
     """
     rows = stored(
         pages.select(
@@ -51,15 +52,16 @@ def site_lines(
         "page-lines",
     )
     hosts = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
-    held = rows.select("host", F.explode(F.array_distinct("lines")).alias("line"))
-    counted = held.groupBy("host", "line").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
+    key = F.unhex(F.sha2("line", 256)).alias("key")
+    held = rows.select("host", F.explode(F.array_distinct("lines")).alias("line")).select("host", key)
+    counted = held.groupBy("host", "key").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
     boilerplate = stored(
-        counted.join(hosts, "host").filter(F.col("pages") > F.col("host_pages") * ratio).select("host", "line"), "boilerplate"
+        counted.join(hosts, "host").filter(F.col("pages") > F.col("host_pages") * ratio).select("host", "key"), "boilerplate"
     )
     digest = F.xxhash64("lines")
     spots = rows.select(
         "page_id", "host", digest.alias("digest"), F.posexplode("lines").alias("spot", "line")
-    ).join(boilerplate, ["host", "line"])
+    ).select("page_id", "host", "digest", "spot", key).join(boilerplate, ["host", "key"])
     gone = spots.groupBy("page_id", "host", "digest").agg(F.collect_set("spot").alias("gone"))
     keyed = rows.withColumn("digest", digest)
     same = (

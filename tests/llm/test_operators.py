@@ -467,6 +467,17 @@ def test_site_lines(spark):
     assert line_dedup.site_lines(table.limit(0)).collect() == []
 
 
+def test_site_lines_goes_by_the_share_alone(spark):
+    site = lambda host, n, often: [(host, f"<p>own {i}</p>" + "<p>Line</p>" * (i < often)) for i in range(n)]
+    sites = {"one": (1, 1, False), "two": (2, 2, True), "small": (15, 3, True), "middle": (30, 3, False), "large": (200, 5, False), "larger": (200, 21, True)}
+    pages = [page for host, (n, often, _) in sites.items() for page in site(host, n, often)]
+    table = spark.createDataFrame([(i, f"http://{h}/", html) for i, (h, html) in enumerate(pages)], "page_id long, url string, html string")
+    dropped = Counter()
+    for r in line_dedup.site_lines(table).collect():
+        dropped[r.host] += r.n_dropped
+    assert dropped == Counter({host: often if gone else 0 for host, (_, often, gone) in sites.items()})
+
+
 def test_site_lines_and_mix_are_native(spark, capsys):
     docs = documents(spark, sample(1))
     pages = spark.createDataFrame([(1, "http://a/", "<p>x</p>")], "page_id long, url string, html string")
