@@ -103,12 +103,12 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept.
 
-    Vectors link if their cosine is at least ``cosine``. Vectors that are null, empty, zero
-    or hold null or non-finite components, rows without id, and vectors of other lengths than
-    the commonest (the longest of equally common ones) link with nothing. Copies of one
-    vector are compared once and counted by their number; copies link with each other. Rows
-    that share an id are one node of the components. component_id is the smallest vec_id
-    reachable, itself included; a row without id has none and is kept.
+    Vectors of one length link if their cosine is at least ``cosine``; between lengths there
+    are no links, and each length has directions and tiles of its own. Vectors that are null,
+    empty, zero or hold null or non-finite components, and rows without id, link with nothing.
+    Copies of one vector are compared once and counted by their number; copies link with each
+    other. Rows that share an id are one node of the components. component_id is the smallest
+    vec_id reachable, itself included; a row without id has none and is kept.
     """
     vector = F.col(vector_col).cast("array<double>")
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -118,21 +118,17 @@ def near_duplicates(
     usable = usable & (square > 0) & (square < F.lit(float("inf")))
     named = rows.select(F.col(id_col).alias("vec_id"), F.when(F.coalesce(usable, F.lit(False)), F.col(vector_col)).alias("v"))
     named = stored(named, "vectors")
-    lengths = named.filter("v IS NOT NULL").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
-    commonest = lengths.orderBy(F.col("n").desc(), F.col("d").desc()).first()
-    dimensions = commonest["d"] if commonest else 0
-    named = named.withColumn("v", F.when(F.size("v") == dimensions, F.col("v")))
     groups = stored(
         named.filter("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "distinct-vectors"
     )
-    found = _links(groups, dimensions, cosine, tile) if dimensions else None
-    if found is None:
-        return named.select(
-            "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
-        )
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    lengths = groups.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()
+    found = rows.sparkSession.createDataFrame([], "rep long, links long, root long, d int")
+    for d in [row["d"] for row in lengths if row["n"] > 1]:
+        found = found.unionByName(_links(groups.filter(F.size("v") == d), d, cosine, tile).withColumn("d", F.lit(d)))
+    counts = found.groupBy(F.col("rep").alias("of"), "d").agg(F.sum("links").alias("links"))
     roots = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    classes = groups.join(counts, "rep", "left").join(roots, groups["rep"] == roots["node"], "left").select(
+    linked = (groups["rep"] == counts["of"]) & (F.size(groups["v"]) == counts["d"])
+    classes = groups.join(counts, linked, "left").join(roots, groups["rep"] == roots["node"], "left").select(
         "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "rep").alias("root")
     )
     classes = stored(classes, "vector-classes")

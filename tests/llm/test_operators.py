@@ -380,6 +380,21 @@ def test_embeddings_against_all_pairs(spark):
     assert embeddings.near_duplicates(table.limit(0)).collect() == []
 
 
+def test_embeddings_of_every_length_link(spark):
+    rng = np.random.default_rng(4)
+    vectors = [(i, rng.normal(size=12).tolist()) for i in range(40)]
+    small = rng.normal(size=5)
+    # Near ones and copies of a length that is not the commonest, an id that has both lengths, copies alone.
+    vectors += [(50 + k, (small + 0.01 * k).tolist()) for k in range(4)] + [(60, small.tolist()), (3, (small + 0.05).tolist())]
+    vectors += [(70, vectors[0][1]), (80, [1.0, 2.0]), (81, [1.0, 2.0])]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    found = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(table, tile=16).collect())
+    expected = Counter((i, 0, i, True) for i in range(1, 40))
+    expected.update([(0, 1, 0, True), (70, 1, 0, False), (80, 1, 80, True), (81, 1, 80, False), (3, 5, 3, True)])
+    expected.update((i, 5, 3, False) for i in (50, 51, 52, 53, 60))
+    assert found == expected
+
+
 def test_suffix_tree(spark, rows):
     found = suffix_tree.score(documents(spark, rows)).collect()
     tokens = lambda t: [*WORDS.findall((t or "").lower()), "\n"]
