@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seatpool.llm import (
-    embeddings, exact_dedup, html_text, line_dedup, mixing, packing, quality, simhash, suffix_tree, toxicity,
+    embeddings, exact_dedup, html_text, line_dedup, mixing, packing, phrases, quality, quality_rules, simhash, suffix_tree,
+    toxicity, vector_codes,
 )
 from seatpool.llm.common import table, workers_find_package
 
@@ -56,6 +57,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +79,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_pattern_packing, op2_simhash_dedup, op3_kneser_ney_quality, op4_site_line_dedup, op5_mix_sources,
-        op6_toxic_segments, op7_embedding_dedup, op8_suffix_tree_scores, op9_main_text, op10_exact_dedup, pipeline,
+        op6_toxic_segments, op7_embedding_dedup, op8_suffix_tree_scores, op9_main_text, op10_exact_dedup,
+        op11_vector_codes, op12_quality_rules, op13_phrases, pipeline,
     )
 }
 
@@ -82,6 +96,26 @@ def registered() -> dict[str, Query]:
     return {name: ready(query) for name, query in QUERIES.items()}
 
 
+# Assignment of all parts to codebook k, and a round of means after it.
+_ASSIGN = """
+, far{k} AS (
+  SELECT vec_id, parts.p, parts.part, entry,
+    list_sum(list_transform(list_zip(parts.part, book{k}.part), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS far
+  FROM parts JOIN book{k} USING (p)
+), near{k} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(part) AS part, min(far) AS far, arg_min(entry, far * 64 + entry) AS entry
+  FROM far{k} GROUP BY vec_id, p
+)"""
+_ROUND = _ASSIGN.replace("{k}", "{old}") + """
+, sums{new} AS (
+  SELECT p, entry, i, CAST(floor(sum(part[i]) / count(*)) AS BIGINT) AS mean
+  FROM (SELECT p, entry, part, unnest(range(1, len(part) + 1)) AS i FROM near{old}) GROUP BY p, entry, i
+), means{new} AS (
+  SELECT p, entry, list(mean ORDER BY i) AS part FROM sums{new} GROUP BY p, entry
+), book{new} AS MATERIALIZED (
+  SELECT p, entry, coalesce(m.part, b.part) AS part FROM book{old} b LEFT JOIN means{new} m USING (p, entry)
+)"""
+
 _SPACE = "[ \\t\\n\\x0b\\f\\r]+"
 
 SQL = {
@@ -118,5 +152,63 @@ SELECT page_id, host, host_pages, len(lines) AS n_lines,
   len(lines) - len(list_filter(lines, lambda line: NOT list_contains(coalesce(gone, []), line))) AS n_dropped,
   array_to_string(list_filter(lines, lambda line: NOT list_contains(coalesce(gone, []), line)), chr(10)) AS text
 FROM page_lines JOIN hosts USING (host) LEFT JOIN boilerplate USING (host)
+""",
+    "op11_vector_codes": """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(embedding) % 16 = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS part FROM kept CROSS JOIN range(16) AS t(p)
+), book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS entry, part FROM parts
+  QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 64
+)""" + _ROUND.format(old=0, new=1) + _ROUND.format(old=1, new=2) + _ASSIGN.format(k=2) + """
+, digest AS (
+  SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY p, entry)) AS codebooks_sha256 FROM book2
+), codes AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error
+  FROM near2 GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM codes JOIN kept USING (vec_id) CROSS JOIN digest
+""",
+    "op13_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0b\f\r]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), pieced AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS words FROM pieces
+), grams AS (
+  SELECT lang, unnest(list_transform(range(1, len(words) - k + 2), lambda i: words[i : i + k - 1])) AS words
+  FROM pieced CROSS JOIN range(1, 6) AS t(k) WHERE len(words) >= k
+), counts AS MATERIALIZED (
+  SELECT lang, words, count(*) AS f FROM grams GROUP BY lang, words
+), sizes AS (
+  SELECT lang, sum(f) AS n FROM counts WHERE len(words) = 1 GROUP BY lang
+), candidates AS MATERIALIZED (
+  SELECT * FROM counts WHERE len(words) > 1 AND f >= 100
+), inner_words AS (
+  SELECT lang, f, unnest(flatten(list_transform(range(2, len(words)), lambda k:
+    list_transform(range(1, len(words) - k + 2), lambda i: words[i : i + k - 1])))) AS words
+  FROM candidates
+), covered AS (
+  SELECT lang, words, max(f) AS cover FROM inner_words GROUP BY lang, words
+), cuts AS (
+  SELECT c.lang, c.words, c.f AS a, n, k, c.words[1 : k] AS lead, c.words[k + 1 :] AS rest
+  FROM candidates c JOIN sizes USING (lang) LEFT JOIN covered o ON c.lang = o.lang AND c.words = o.words
+  CROSS JOIN range(1, 5) AS t(k)
+  WHERE k < len(c.words) AND (cover IS NULL OR 100 * cover < 100 * c.f)
+), scored AS (
+  SELECT cuts.lang, cuts.words, a, CAST(n AS BIGINT) AS n, x.f AS l, y.f AS r, k,
+    CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts JOIN counts x ON x.lang = cuts.lang AND x.words = lead JOIN counts y ON y.lang = cuts.lang AND y.words = rest
+  QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.words ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank,
+  array_to_string(words, ' ') AS phrase, a, l, r, n, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) <= 2000
 """,
 }
