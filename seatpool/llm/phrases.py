@@ -31,12 +31,14 @@ TOP = 2000
 KNOWN = 200_000
 #: Suffixes of one leading word or phrase above which it routes by one word more; or this share
 #: of all words, if that is more, so that no more than 1 / HOT_SHARE phrases of a length are hot.
-HOT = 250_000
+HOT = 150_000
 HOT_SHARE = 1e-6
 #: So many routed suffixes a bucket, about; a bucket is sorted in one task's memory.
-BUCKET = 500_000
+BUCKET = 250_000
 #: Pointers sorted at a time before the shuffle, and words in one stored row, about.
-CHUNK = 400_000
+CHUNK = 150_000
+#: Distinct words a task counts before it hands them on.
+COUNTED = 100_000
 UND = "und"
 _HASHED = 1 << 62
 
@@ -57,20 +59,26 @@ def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def words(texts: DataFrame) -> DataFrame:
-    """(lang, word, n) over all texts, combined per batch before the shuffle."""
+    """(lang, word, n) over all texts, combined before the shuffle."""
+
+    def row(lang: str, counted: Counter) -> pa.RecordBatch:
+        counted.pop(_END, None)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(counted), pa.string()), pa.array(list(counted), pa.binary()).cast(pa.string()),
+             pa.array(list(counted.values()), pa.int64())],
+            ["lang", "word", "n"],
+        )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                found.setdefault(lang, Counter()).update(tokens(text.as_py()))
-            for lang, counted in found.items():
-                counted.pop(_END, None)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(counted), pa.string()), pa.array(list(counted), pa.binary()).cast(pa.string()),
-                     pa.array(list(counted.values()), pa.int64())],
-                    ["lang", "word", "n"],
-                )
+                own = found.setdefault(lang, Counter())
+                own.update(tokens(text.as_py()))
+                if len(own) >= COUNTED:
+                    yield row(lang, found.pop(lang))
+            for lang, own in found.items():
+                yield row(lang, own)
 
     return texts.mapInArrow(work, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -113,16 +121,16 @@ def _known(counted: DataFrame, least: int, known: int) -> tuple[DataFrame, dict[
     return named.withColumn("id", F.coalesce("id", _hashed(F.col("word")))), numbers, False
 
 
-class _Numbers(dict):
-    """Numbers of one language's words; a word without one ends a piece, or goes by its hash."""
-
-    def __init__(self, known: dict[bytes, int], complete: bool) -> None:
-        super().__init__(known)
-        self[_END] = 0
-        self.complete = complete
-
-    def __missing__(self, word: bytes) -> int:
-        return 0 if self.complete else _python_hashed(word)
+def _coded(words: list[bytes], known: dict[bytes, int], complete: bool) -> np.ndarray:
+    """Numbers of words and ends; a word without one ends a piece too, or goes by its hash."""
+    get = known.get
+    if complete:
+        ids = [get(w, 0) for w in words]
+    else:
+        ids = [0 if w == _END else n if (n := get(w)) else _python_hashed(w) for w in words]
+    found = np.array(ids, np.int64)
+    # one end between pieces is enough
+    return found[(found != 0) | (np.concatenate([found[1:], [1]]) != 0)]
 
 
 def encoded(texts: DataFrame, numbers: dict[str, dict[bytes, int]], complete: bool, folder: str) -> DataFrame:
@@ -134,18 +142,12 @@ def encoded(texts: DataFrame, numbers: dict[str, dict[bytes, int]], complete: bo
         return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([np.concatenate(held).tobytes()], pa.binary())], ["lang", "ids"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[str, _Numbers] = {}
+        known = shared.value
         for batch in batches:
             held: dict[str, list[np.ndarray]] = {}
             sizes: Counter = Counter()
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                if lang not in own:
-                    own[lang] = _Numbers(shared.value.get(lang, {}), complete)
-                found = tokens(text.as_py())
-                found.append(_END)
-                ids = np.fromiter(map(own[lang].__getitem__, found), np.int64, len(found))
-                # one end between pieces is enough
-                ids = ids[(ids != 0) | (np.concatenate([ids[1:], [1]]) != 0)]
+                ids = _coded([*tokens(text.as_py()), _END], known.get(lang, {}), complete)
                 held.setdefault(lang, []).append(ids)
                 sizes[lang] += len(ids)
                 if sizes[lang] >= CHUNK:
