@@ -34,7 +34,7 @@ KNOWN = 200_000
 HOT = 150_000
 HOT_SHARE = 1e-6
 #: So many routed suffixes a bucket, about; a bucket is sorted in one task's memory.
-BUCKET = 250_000
+BUCKET = 500_000
 #: Pointers sorted at a time before the shuffle, and words in one stored row, about.
 CHUNK = 150_000
 #: Distinct words a task counts before it hands them on.
@@ -133,13 +133,34 @@ def _coded(words: list[bytes], known: dict[bytes, int], complete: bool) -> np.nd
     return found[(found != 0) | (np.concatenate([found[1:], [1]]) != 0)]
 
 
+def _packed(numbers: np.ndarray) -> tuple[int, int, bytes]:
+    """Bytes a number, how many there are, and all of them compressed."""
+    narrow = numbers.astype(np.int32) if numbers.max(initial=0) < 2**31 else np.ascontiguousarray(numbers)
+    return narrow.itemsize, narrow.size, pa.compress(narrow.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(width: int, size: int, data: bytes) -> np.ndarray:
+    raw = pa.decompress(data, size * width, "zstd")
+    return np.frombuffer(raw, np.int32 if width == 4 else np.int64)
+
+
+def _unpacked_rows(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
+    for i in range(batch.num_rows):
+        width, size, data = (batch.column(c)[i].as_py() for c in ("width", "size", "ids"))
+        yield batch.column("lang")[i].as_py(), _unpacked(width, size, data).astype(np.int64)
+
+
 def encoded(texts: DataFrame, numbers: dict[str, dict[bytes, int]], complete: bool, folder: str) -> DataFrame:
-    """(lang, ids): the words of many texts as 64-bit numbers, 0 at the end of each piece;
-    written once."""
+    """(lang, width, size, ids): the words of many texts as numbers, 0 at the end of each piece,
+    compressed; written once."""
     shared = texts.sparkSession.sparkContext.broadcast(numbers)
 
     def row(lang: str, held: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([np.concatenate(held).tobytes()], pa.binary())], ["lang", "ids"])
+        width, size, data = _packed(np.concatenate(held))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang]), pa.array([width], pa.int32()), pa.array([size], pa.int64()), pa.array([data], pa.binary())],
+            ["lang", "width", "size", "ids"],
+        )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -156,7 +177,7 @@ def encoded(texts: DataFrame, numbers: dict[str, dict[bytes, int]], complete: bo
             for lang, arrays in held.items():
                 yield row(lang, arrays)
 
-    found = stored_in(texts.mapInArrow(work, "lang string, ids binary"), folder)
+    found = stored_in(texts.mapInArrow(work, "lang string, width int, size long, ids binary"), folder)
     shared.destroy()
     return found
 
@@ -174,14 +195,25 @@ def suffixes(ids: np.ndarray, depth: int) -> Iterator[np.ndarray]:
         yield np.where(alive, rows, 0)
 
 
+def _packed_words(rows: np.ndarray) -> np.ndarray:
+    """The words of each row, three to a number where all are small; sorts like the rows."""
+    if rows.max(initial=0) >= 1 << 21:
+        return rows
+    return np.stack([
+        sum(rows[:, i] << 21 * (min(3, rows.shape[1] - k) - 1 - i + k) for i in range(k, min(k + 3, rows.shape[1])))
+        for k in range(0, rows.shape[1], 3)
+    ], axis=1)
+
+
 def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows in order, and how often each occurs."""
     if not len(rows):
         return rows, np.empty(0, np.int64)
-    rows = rows[np.lexsort(rows.T[::-1])]
-    first = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
-    starts = np.flatnonzero(first)
-    return rows[starts], np.diff(np.append(starts, len(rows)))
+    keys = _packed_words(rows)
+    order = np.lexsort(keys.T[::-1])
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+    return rows[order[starts]], np.diff(np.append(starts, len(rows)))
 
 
 def routing_depth(rows: np.ndarray, hot: list[pd.DataFrame]) -> np.ndarray:
@@ -228,10 +260,8 @@ def _longer(rows: DataFrame, hot: dict[str, list[pd.DataFrame]], k: int, depth:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, blob in zip(batch.column("lang").to_pylist(), batch.column("ids")):
-                if lang not in hot:
-                    continue
-                for found in suffixes(np.frombuffer(blob.as_py(), np.int64), depth):
+            for lang, ids in _unpacked_rows(batch):
+                for found in suffixes(ids, depth) if lang in hot else ():
                     found = found[(routing_depth(found, hot[lang]) >= k) & (found[:, k - 1] != 0)]
                     phrases, n = _distinct(np.ascontiguousarray(found[:, :k]))
                     yield _counted(lang, phrases, n)
@@ -256,34 +286,32 @@ def _mixed(rows: np.ndarray, depth: np.ndarray) -> np.ndarray:
 
 
 def routed(rows: DataFrame, hot: dict[str, list[pd.DataFrame]], buckets: int, depth: int) -> DataFrame:
-    """(lang, bucket, width, block): the distinct suffixes of each chunk by bucket, in order, with
+    """(lang, bucket, width, size, block): the distinct suffixes of each chunk by bucket, in order, with
     their numbers of occurrences; compressed, a column of words after the other."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, blob in zip(batch.column("lang").to_pylist(), batch.column("ids")):
-                for found in suffixes(np.frombuffer(blob.as_py(), np.int64), depth):
+            for lang, ids in _unpacked_rows(batch):
+                for found in suffixes(ids, depth):
                     found, n = _distinct(found)
                     by = routing_depth(found, hot.get(lang, []))
                     # Suffixes that end before the words that route them only begin hot phrases,
                     # which are counted already.
                     whole = found[np.arange(len(found)), by - 1] != 0
-                    found, n, by = found[whole], n[whole], by[whole]
                     bucket = (_mixed(found, by) % np.uint64(buckets)).astype(np.int64)
                     order = np.argsort(bucket, kind="stable")
+                    order = order[whole[order]]
                     numbers, starts = np.unique(bucket[order], return_index=True)
-                    blocks = []
-                    for part in np.split(order, starts[1:]) if len(starts) else []:
-                        columns = np.concatenate([found[part].T, [n[part]], [by[part]]])
-                        kind = np.int32 if columns.max() < 2**31 else np.int64
-                        blocks.append((columns.astype(kind).itemsize, pa.compress(columns.astype(kind).tobytes(), "zstd", asbytes=True), len(part)))
+                    columns = np.concatenate([found.T, [n], [by]])[:, order]
+                    edges = [*starts.tolist(), len(order)]
+                    blocks = [_packed(columns[:, i:j]) for i, j in zip(edges, edges[1:])]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(blocks), pa.string()), pa.array(numbers), pa.array([b[0] for b in blocks], pa.int32()),
-                         pa.array([b[2] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.binary())],
+                         pa.array([b[1] for b in blocks], pa.int64()), pa.array([b[2] for b in blocks], pa.binary())],
                         ["lang", "bucket", "width", "size", "block"],
                     )
 
-    return rows.mapInArrow(work, "lang string, bucket long, width int, size int, block binary")
+    return rows.mapInArrow(work, "lang string, bucket long, width int, size long, block binary")
 
 
 def multikey_counts(keys: np.ndarray, weights: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -328,13 +356,9 @@ def multikey_counts(keys: np.ndarray, weights: np.ndarray, least: int) -> tuple[
 def _bucket_phrases(blocks: list[tuple[int, int, bytes]], depth: int, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Phrases of a bucket's suffixes and their counts, by length. The words that route a suffix
     are its first key, so that what it shares with others in other buckets is not counted here."""
-    parts = []
-    for width, size, block in blocks:
-        kind = np.int32 if width == 4 else np.int64
-        data = pa.decompress(block, size * (depth + 2) * width, "zstd")
-        parts.append(np.frombuffer(data, kind).reshape(depth + 2, size).astype(np.int64))
-    table = np.concatenate(parts, axis=1)
+    table = np.concatenate([_unpacked(*block).reshape(depth + 2, -1) for block in blocks], axis=1)
     rows, weights, by = np.ascontiguousarray(table[:depth].T), table[depth], table[depth + 1]
+    by = by.astype(np.int64)
     keys = np.zeros_like(rows)
     for k in np.unique(by).tolist():
         own = np.flatnonzero(by == k)
