@@ -271,7 +271,7 @@ def _longer(rows: DataFrame, hot: dict[str, list[pd.DataFrame]], k: int, depth:
 
 def _counted(lang: str, phrases: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     width = phrases.shape[1]
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(phrases) + 1, dtype=np.int32) * width), pa.array(phrases.ravel()))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(phrases) + 1, dtype=np.int32) * width), pa.array(phrases.ravel().astype(np.int64)))
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), lists, pa.array(n.astype(np.int64))], ["lang", "ids", "n"])
 
 
