@@ -43,6 +43,8 @@ BUCKET = 500_000
 CHUNK = 150_000
 #: Distinct words a task counts before it hands them on.
 COUNTED = 100_000
+#: Distinct phrases of a language that a task adds up before it hands them on.
+HELD = 300_000
 UND = "und"
 _HASHED = 1 << 62
 
@@ -209,15 +211,16 @@ def _packed_words(rows: np.ndarray) -> np.ndarray:
     ], axis=1)
 
 
-def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows in order, and how often each occurs."""
+def _distinct(rows: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in order, and how often each occurs; ``n`` times for each if given."""
     if not len(rows):
         return rows, np.empty(0, np.int64)
     keys = _packed_words(rows)
     order = np.lexsort(keys.T[::-1])
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
-    return rows[order[starts]], np.diff(np.append(starts, len(rows)))
+    sizes = np.diff(np.append(starts, len(rows))) if n is None else np.add.reduceat(n[order], starts)
+    return rows[order[starts]], sizes
 
 
 def routing_depth(rows: np.ndarray, hot: list[pd.DataFrame]) -> np.ndarray:
@@ -263,12 +266,20 @@ def _longer(rows: DataFrame, hot: dict[str, list[pd.DataFrame]], k: int, depth:
     """(lang, ids, n) of the phrases of ``k`` words whose first k - 1 words are hot."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for lang, ids in _unpacked_rows(batch):
                 for found in suffixes(ids, depth) if lang in hot else ():
                     found = found[(routing_depth(found, hot[lang]) >= k) & (found[:, k - 1] != 0)]
-                    phrases, n = _distinct(np.ascontiguousarray(found[:, :k]))
-                    yield _counted(lang, phrases, n)
+                    own = _distinct(np.ascontiguousarray(found[:, :k]))
+                    if lang in held:
+                        own = _distinct(*map(np.concatenate, zip(held.pop(lang), own)))
+                    if len(own[0]) >= HELD:
+                        yield _counted(lang, *own)
+                    else:
+                        held[lang] = own
+        for lang, own in held.items():
+            yield _counted(lang, *own)
 
     return rows.mapInArrow(work, "lang string, ids array<long>, n long").groupBy("lang", "ids").agg(F.sum("n").alias("n"))
 
