@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -36,7 +37,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterato
     def closed(rows: list[tuple]) -> pa.RecordBatch:
         n = len(rows)
         found = dict(zip(("run", "keep", "size", "edge_text"), map(list, zip(*rows)) if rows else [[]] * 4))
-        found |= {"part": [part] * n, "lead": [None] * n, "sha": [None] * n, "doc": [None] * n}
+        found |= {"part": [part] * n, "lead": [None] * n, "sha": [None] * n, "text": [None] * n, "doc": [None] * n}
         return pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) for f in schema], schema=schema)
 
     for batch in batches:
@@ -52,12 +53,16 @@ def _neighbours(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterato
             runs.append(run)
             leads.append(not same)
         n = len(ids)
+        lead = pa.array(leads, pa.bool_())
         found = {
             "part": pa.array([part] * n, pa.int32()), "run": pa.array(runs, pa.int64()),
-            "lead": pa.array(leads, pa.bool_()), "keep": pa.array(ids, schema.field("keep").type),
+            "lead": lead, "keep": pa.array(ids, schema.field("keep").type),
             "size": pa.nulls(n, pa.int64()), "sha": pa.array(shas, pa.string()),
-            "edge_text": pa.nulls(n, pa.string()), "doc": batch.column("doc"),
+            "edge_text": pa.nulls(n, pa.string()),
         }
+        if "doc" in schema.names:
+            # only the first row of a run is ever asked for its columns
+            found |= {c: pc.if_else(lead, batch.column(c), pa.scalar(None, batch.column(c).type)) for c in ("text", "doc")}
         yield pa.RecordBatch.from_arrays([found[f.name].cast(f.type) for f in schema], schema=schema)
         yield closed(ended)
     if run >= 0:
@@ -66,8 +71,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterato
         yield closed(last)
 
 
-def sorted_runs(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
-    """Rows of ``docs`` in content order, with runs of equal texts; written once.
+def sorted_runs(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
+    """Rows of ``docs`` in content order, with runs of equal texts; written once. The first row of
+    a run has its text, and the columns ``carry``, if they are asked for.
 
     Ranges are cut by sampled splitters over (first characters, digest, id). The id in the
     splitters lets one large group of copies span many tasks.
@@ -78,7 +84,7 @@ def sorted_runs(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -
         F.col(text_col).alias("text"),
         F.substring(norm, 1, HEAD).alias("head"),
         F.sha2(norm, 256).alias("sha"),
-        F.struct(*[F.col(c) for c in carry]).alias("doc") if carry else F.struct(F.lit(0).alias("none")).alias("doc"),
+        *([F.struct(F.lit(0).alias("none"), *[F.col(c) for c in carry]).alias("doc")] if carry is not None else []),
     )
     order = ["head", "sha", F.col("doc_id").asc_nulls_last()]
     ordered = rows.repartitionByRange(tasks(docs.sparkSession), *order).sortWithinPartitions(*order)
@@ -87,8 +93,10 @@ def sorted_runs(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -
         T.StructField("part", T.IntegerType()), T.StructField("run", T.LongType()),
         T.StructField("lead", T.BooleanType()), T.StructField("keep", kind),
         T.StructField("size", T.LongType()), T.StructField("sha", T.StringType()),
-        T.StructField("edge_text", T.StringType()), T.StructField("doc", _nullable(rows.schema["doc"].dataType)),
+        T.StructField("edge_text", T.StringType()),
     ])
+    if carry is not None:
+        result = result.add("text", T.StringType()).add("doc", _nullable(rows.schema["doc"].dataType))
 
     def work(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -121,7 +129,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     without id stay only where their whole group has none. An empty table gives no rows;
     other columns are not read.
     """
-    runs = sorted_runs(docs, id_col, text_col, [])
+    runs = sorted_runs(docs, id_col, text_col)
     rows = runs.filter("size IS NULL").select("part", "run", F.col("keep").alias("doc_id"), "lead", "sha")
     groups = runs.filter("size IS NOT NULL").select("part", "run", "keep", "size")
     joined = rows.join(groups, ["part", "run"]).join(F.broadcast(_spans(runs)), ["part", "run"], "left")
@@ -136,9 +144,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; rules as in ``exact_dedup``."""
-    runs = sorted_runs(docs, id_col, text_col, docs.columns)
+    # The text is there once: for the comparison, and as the column it came from.
+    runs = sorted_runs(docs, id_col, text_col, [c for c in docs.columns if c != text_col])
     leads = runs.filter("size IS NULL AND lead")
     kept = leads.join(F.broadcast(_spans(runs)), ["part", "run"], "left").filter(
         F.coalesce(F.col("part") == F.col("first_part"), F.lit(True))
     )
-    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+    column = lambda c: F.col("text") if c == text_col else F.col("doc").getField(c)
+    return kept.select(*[column(c).alias(c) for c in docs.columns])

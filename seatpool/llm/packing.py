@@ -23,8 +23,8 @@ END_ID = 0
 #: that counts per pattern stay well above one.
 STEP = 32
 ROUNDS = 200
-#: Words whose ids a worker remembers, at most.
-REMEMBERED = 400_000
+#: Words whose ids a task remembers, at most.
+REMEMBERED = 100_000
 
 # Below this code point the two libraries split texts alike (tests compare them); texts
 # with others go through `tokenizers` itself.
@@ -52,8 +52,8 @@ def encoder(path: str):
     """A function from a text to its ids as bytes, for the byte-level vocabulary at ``path``.
 
     Ids are those of ``tokenizers`` without special tokens. `tiktoken` with the same
-    vocabulary gives the same ids several times faster, and each word, with the space before
-    it, is encoded once per worker.
+    vocabulary gives the same ids several times faster, and each frequent word, with the space
+    before it, is encoded once per task. The second function forgets those words.
     """
     import public_tokenizers
     import tiktoken
@@ -74,7 +74,7 @@ def encoder(path: str):
         first, *words = text.split(" ")
         return np.array(fast.encode_ordinary(first), dtype="<u4").tobytes() + b"".join(map(known.__getitem__, words))
 
-    return encode
+    return encode, known.clear
 
 
 def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, size: int) ->
     end = END_ID.to_bytes(4, "little")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode, forget = encoder(path)
         for batch in batches:
             found = {"row": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
             for row, text in enumerate(batch.column("text")):
@@ -106,6 +106,7 @@ def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, size: int) ->
                 [ids, pa.array(found["piece"], pa.int32()), *[pa.array(found[c], pa.int64()) for c in ("start", "length", "ids_crc32")]],
                 schema.names,
             )
+        forget()
 
     return stored(rows.mapInArrow(work, schema), "pieces")
 

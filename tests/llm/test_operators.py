@@ -226,7 +226,7 @@ def test_encoder_gives_the_ids_of_tokenizers():
 
     tokenizer = Tokenizer.from_file(PATH)
     tokenizer.encode_special_tokens = True
-    encode = packing.encoder(PATH)
+    encode, _ = packing.encoder(PATH)
     rng = random.Random(9)
     points = [c for c in range(0x2B0) if c]
     texts = ["".join(map(chr, points)), *(f"a{chr(c)}b {chr(c)} {chr(c)}c  {chr(c)}" for c in points)]
