@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seatpool.functions.columns import format_hour, hours_after
 from seatpool.functions.ordered import numbered, sized
+from seatpool.operators.metrics import expected_rows
 
 
 def expand_bids(
@@ -47,6 +48,25 @@ def expand_bids(
     return lines.select("user_id", "title_id", "timeslot", "venue_id", "total_bid")
 
 
+def expand_to_size(
+    users: DataFrame,
+    titles: DataFrame,
+    venues: DataFrame,
+    first_day: str,
+    interest_multiplier: float,
+    slot_multiplier_per_day: float,
+    days: int = 14,
+) -> DataFrame:
+    """X2 over X1: as many bids and timeslots per user as the multipliers stand for, given how many
+    users and titles there are."""
+    total_users, total_titles = users.count(), titles.count()
+    rows = expected_rows(total_users, total_titles, interest_multiplier, slot_multiplier_per_day, days)
+    bids, slots = (n // max(total_users, 1) for n in rows.values())
+    if not bids or not slots:
+        return expand_bids(users, titles, venues, first_day, 1, 1, 1, days).limit(0)
+    return expand_bids(users, titles, venues, first_day, bids, slots, 1, days)
+
+
 def _round_robin(lines: DataFrame, choices: DataFrame, name: str, line: str) -> DataFrame:
     choices, count = numbered(choices.select(name), [name])
     turn = F.pmod(F.col(line), F.lit(max(count, 1))) == F.col("position")

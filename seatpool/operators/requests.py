@@ -20,7 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from seatpool import schemas as S
 from seatpool.functions import columns as C
-from seatpool.functions.ordered import BLOCK, in_blocks, latest, running
+from seatpool.functions.ordered import BLOCK, in_blocks, latest, running, sized
+from seatpool.session import stored
+
+# Days of a stretch by which periods of validity and requests meet.
+VERSION_DAYS = 32
 
 _TRANSITION = T.StructType(
     [
@@ -46,6 +50,41 @@ def title_valid(now) -> Column:
     return moment.between(F.col("title_from").cast("timestamp"), F.col("title_to").cast("timestamp"))
 
 
+def at_their_time(requests: DataFrame, versions: DataFrame, days: int = VERSION_DAYS) -> DataFrame:
+    """P7 for requests that carry the moment they were made, ``at``: adds ``title_known`` and
+    ``title_valid``.
+
+    ``versions`` has a row per period (title_id, from, to) in which a title is on offer, ends
+    included; periods may overlap or leave gaps. Periods are cut at stretches of ``days`` days,
+    and a request looks only at those of its title in its own stretch, so the join is one on
+    equal values, and exact bounds are checked on what it finds.
+    """
+    micros = lambda moment: F.unix_micros(F.col(moment).cast("timestamp"))
+    stretch = lambda moment: F.expr(f"unix_date(to_date(`{moment}`)) DIV {days}").cast("int")
+    titles = versions.select("title_id").distinct()
+    periods = (
+        versions.where(F.col("to") >= F.col("from"))
+        .select("title_id", "from", "to", F.explode(F.sequence(stretch("from"), stretch("to"))).alias("stretch"))
+        .groupBy("title_id", "stretch")
+        .agg(
+            F.collect_set(F.struct(micros("from").alias("first"), micros("to").alias("last"))).alias("periods")
+        )
+    )
+    cut, known = stored(periods, "periods"), stored(titles, "titles")
+    known = sized(known.select("title_id", F.lit(True).alias("title_known")), known.count())
+    inside = F.exists("periods", lambda p: micros("at").between(p["first"], p["last"]))
+    return (
+        requests.withColumn("stretch", stretch("at"))
+        .join(sized(cut, cut.count()), ["title_id", "stretch"], "left")
+        .join(known, "title_id", "left")
+        .withColumns({
+            "title_known": F.coalesce("title_known", F.lit(False)),
+            "title_valid": F.coalesce(inside, F.lit(False)),
+        })
+        .drop("stretch", "periods")
+    )
+
+
 def day_reason(now, day: Column | None = None, zone: str = S.USER_ZONE) -> Column:
     """Why a day cannot be declared free, or null."""
     day = F.col("day") if day is None else day
@@ -159,23 +198,30 @@ def bid_requests(
     """Requests (seq, op, user_id, title_id, status, ...) against the bid table.
 
     ``op`` is 'put' or 'cancel'. Only a put is checked against the title's
-    dates and the statuses a user may ask for.
+    dates and the statuses a user may ask for. Without ``now``, each request is judged
+    at the moment ``at`` it was made, and a title may have several periods of validity.
     """
     key = ["user_id", "title_id"]
-    dates = titles.select(
-        "title_id", F.col("from").alias("title_from"), F.col("to").alias("title_to")
-    )
+    checked = with_defaults(_cancels(in_blocks(requests, "seq", block)))
+    if now is None:
+        checked = at_their_time(checked, titles)
+        known, valid = F.col("title_known"), F.col("title_valid")
+    else:
+        dates = titles.select(
+            "title_id", F.col("from").alias("title_from"), F.col("to").alias("title_to")
+        )
+        checked = checked.join(dates, "title_id", "left")
+        known, valid = F.col("title_from").isNotNull(), title_valid(now)
     refusal = C.first_reason(
         [
-            (F.col("title_from").isNotNull(), S.NO_SUCH_TITLE),
-            (title_valid(now), S.TITLE_EXPIRED),
+            (known, S.NO_SUCH_TITLE),
+            (valid, S.TITLE_EXPIRED),
             (F.col("status").isin(S.AVAILABLE, S.CANCELED_BY_USER), S.BID_STATUS_RULE),
         ]
     )
-    checked = with_defaults(_cancels(in_blocks(requests, "seq", block)))
-    checked = checked.join(dates, "title_id", "left")
-    checked = checked.withColumn("refusal", _refusal(key, refusal))
-    checked = checked.drop("title_from", "title_to")
+    needed = key if now is not None else [*key, "at"]
+    checked = checked.withColumn("refusal", _refusal(needed, refusal))
+    checked = checked.drop("title_from", "title_to", "title_known", "title_valid")
     decided = _decide(checked, bids, key, S.BID_TRANSITIONS)
     return Outcome(_results(checked, decided, key), decided.where("accepted"))
 
@@ -183,14 +229,16 @@ def bid_requests(
 def timeslot_requests(
     requests: DataFrame, slots: DataFrame, now, zone: str = S.USER_ZONE, block: int = BLOCK
 ) -> Outcome:
-    """Requests (seq, op, user_id, day, status) against the timeslot table."""
+    """Requests (seq, op, user_id, day, status) against the timeslot table. Without
+    ``now``, each request is judged at the moment ``at`` it was made."""
     key = ["user_id", "day"]
     refusal = F.coalesce(
         F.when(F.col("status") != S.AVAILABLE, S.TIMESLOT_STATUS_RULE),
-        day_reason(now, zone=zone),
+        day_reason(F.col("at") if now is None else now, zone=zone),
     )
     checked = with_defaults(_cancels(in_blocks(requests, "seq", block)))
-    checked = checked.withColumn("refusal", _refusal(key, refusal))
+    needed = key if now is not None else [*key, "at"]
+    checked = checked.withColumn("refusal", _refusal(needed, refusal))
     decided = _decide(checked, slots, key, S.TIMESLOT_TRANSITIONS)
     return Outcome(_results(checked, decided, key), decided.where("accepted"))
 

@@ -278,3 +278,46 @@ def cancel_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         _requests(spark, sf_dir).where("event_type = 'error'").select("user_id", "title_id", "day")
     )
+
+
+def table_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bids that are made or raised, days that are declared free, and cancels of both."""
+    cancel, on_bid = F.col("event_type") == "error", F.col("k") % 2 == 0
+    of_bid = (F.col("event_type") == "purchase") | (cancel & on_bid)
+    return _changes(spark, sf_dir).select(
+        "seq",
+        F.when(of_bid, "bid").otherwise("slot").alias("table"),
+        "user_id",
+        F.when(of_bid, F.col("title_id")).alias("title_id"),
+        F.when(~of_bid, F.col("day")).alias("day"),
+        F.coalesce("status", F.lit(S.AVAILABLE)).alias("status"),
+        F.when(of_bid & ~cancel, (F.col("k") % 40 * 10 + 10).cast("bigint")).alias("total_bid"),
+    )
+
+
+def title_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods in which a title is on offer: two with a gap, and for some a third that overlaps
+    both ends of the gap."""
+    number = brand_number(F.col("title_id"))
+    start = valid_from(F.col("title_id"))
+    third = F.struct(F.date_add(start, 4).alias("from"), F.date_add(start, 11).alias("to"))
+    periods = F.array(
+        F.struct(start.alias("from"), F.date_add(start, 6).alias("to")),
+        F.struct(F.date_add(start, 10).alias("from"), F.date_add(start, 20).alias("to")),
+        F.when(number % 3 == 0, third),
+    )
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("title_id")).distinct()
+    rows = brands.where(number % 8 != 7).select("title_id", F.explode(periods).alias("period"))
+    return rows.where("period IS NOT NULL").select("title_id", "period.from", "period.to")
+
+
+def with_moments(spark: SparkSession, sf_dir: str, requests: DataFrame) -> DataFrame:
+    """Requests with the moment ``at`` they were made."""
+    moments = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("ts").alias("at"))
+    return requests.join(moments, "seq")
+
+
+def dated_timeslot_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timeslot requests for a day from some days before to a year after the moment they are made."""
+    rows = with_moments(spark, sf_dir, timeslot_requests(spark, sf_dir))
+    return rows.withColumn("day", F.date_add(F.to_date("at"), (F.col("seq") % 25 * 16 - 16).cast("int")))

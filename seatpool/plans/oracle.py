@@ -80,9 +80,12 @@ VENUES = f"""venue_bids AS MATERIALIZED (
   FROM lines WHERE o_orderstatus = 'O')"""
 
 
-def greedy(minimum: int) -> str:
+TABLES = f"{LINES}, {INTEREST}, {FREE_DAYS}, {JOINED}"
+
+
+def greedy(minimum: int, tables: str = TABLES) -> str:
     """One group per step, best first; rows of kind B are booked in their step."""
-    return f"""{LINES}, {INTEREST}, {FREE_DAYS}, {JOINED}, st AS (
+    return f"""{tables}, st AS (
   SELECT 0 AS step, 'A' AS kind, u, d, t, bid FROM joined
   UNION ALL
   (WITH act AS (SELECT * FROM st WHERE kind = 'A'),
@@ -104,6 +107,29 @@ outcome AS (
   GROUP BY j.u, j.d, j.t, j.bid)"""
 
 
+CHANGED = f"""{LINES}, {INTEREST}, {FREE_DAYS}, {REQUESTS}, chg AS (
+  SELECT seq, user_id, title_id, day, event_type <> 'error' AS there, k % 40 * 10 + 10 AS bid,
+         event_type = 'purchase' OR (event_type = 'error' AND k % 2 = 0) AS of_bid
+  FROM requests WHERE event_type IN ('purchase', 'click', 'error')),
+last_bid AS (
+  SELECT * FROM chg WHERE of_bid
+  QUALIFY row_number() OVER (PARTITION BY user_id, title_id ORDER BY seq DESC) = 1),
+last_day AS (
+  SELECT * FROM chg WHERE NOT of_bid
+  QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY seq DESC) = 1),
+bids_now AS (
+  SELECT user_id, title_id, total_bid AS bid FROM interest
+  ANTI JOIN last_bid USING (user_id, title_id)
+  UNION ALL SELECT user_id, title_id, bid FROM last_bid WHERE there),
+days_now AS (
+  SELECT user_id, day FROM free_days ANTI JOIN last_day USING (user_id, day)
+  UNION ALL SELECT user_id, day FROM last_day WHERE there),
+joined AS MATERIALIZED (
+  SELECT b.user_id AS u, f.day AS d, b.title_id AS t, bid
+  FROM bids_now b JOIN days_now f ON b.user_id = f.user_id)"""
+
+GREEDY_CHANGED = f"WITH RECURSIVE {greedy(MINIMUM, CHANGED)}"
+
 GREEDY = f"WITH RECURSIVE {greedy(MINIMUM)}"
 
 SHOW_EVENTS = f"""{GREEDY}, {TITLES}, show_event AS (
@@ -321,20 +347,75 @@ VENUE_GROUPS = f"""WITH {LINES}, {VENUES}
 SELECT ts AS timeslot, t AS title_id, v AS venue_id, CAST(sum(bid) AS BIGINT) AS bids_total,
   count(*) AS num_tickets FROM venue_bids GROUP BY ts, t, v"""
 
-EXPANSION = f"""WITH {TITLES}, t AS (
+def expansion(bids: int, slots: int, venues: int) -> str:
+    return f"""WITH {TITLES}, t AS (
   SELECT title_id, row_number() OVER (ORDER BY title_id) - 1 AS n, count(*) OVER () AS c FROM titles),
 v AS (
   SELECT s_suppkey AS venue_id, row_number() OVER (ORDER BY s_suppkey) - 1 AS n,
          count(*) OVER () AS c FROM supplier),
 line AS (
-  SELECT c_custkey AS u, c_custkey * 2 + i AS a, (c_custkey * 2 + i) * 2 + j AS b,
-         ((c_custkey * 2 + i) * 2 + j) * 5 + x AS e
-  FROM customer, range(2) q(i), range(2) r(j), range(5) s(x))
+  SELECT c_custkey AS u, c_custkey * {bids} + i AS a, (c_custkey * {bids} + i) * {slots} + j AS b,
+         ((c_custkey * {bids} + i) * {slots} + j) * {venues} + x AS e
+  FROM customer, range({bids}) q(i), range({slots}) r(j), range({venues}) s(x))
 SELECT u AS user_id, title_id,
   strftime(DATE '2024-01-01' + CAST(b % 14 AS INTEGER) + to_hours(b % 7 * 2), '%Y-%m-%d %H:00') AS timeslot,
   venue_id, (10 + u % 6) * (1 + u % 4) AS total_bid
 FROM line JOIN t ON a % t.c = t.n JOIN v ON e % v.c = v.n"""
 
+EXPANSION = expansion(2, 2, 5)
+
+BID_REQUESTS_AT = f"""WITH RECURSIVE {LINES}, {USER_BIDS}, {REQUESTS}, {CHANGES},
+{_machine(S.BID_TRANSITIONS)}, brand AS (
+  SELECT DISTINCT p_brand AS title_id, {_from('p_brand')} AS f, {NUMBER.format('p_brand')} AS no FROM part
+  WHERE {NUMBER.format('p_brand')} % 8 <> 7),
+period AS (
+  SELECT title_id, f AS a, f + 6 AS b FROM brand UNION ALL SELECT title_id, f + 10, f + 20 FROM brand
+  UNION ALL SELECT title_id, f + 4, f + 11 FROM brand WHERE no % 3 = 0),
+asked AS (
+  SELECT c.seq, c.op, c.user_id, c.title_id, c.status,
+         CASE WHEN op = 'put' THEN
+           CASE WHEN c.title_id NOT IN (SELECT title_id FROM brand) THEN 'no such title'
+                WHEN NOT EXISTS (SELECT 1 FROM period p WHERE p.title_id = c.title_id AND e.ts BETWEEN p.a AND p.b)
+                THEN 'title is expired' END END AS refusal
+  FROM changes c JOIN events e ON e.event_id = c.seq), {_fold('user_id, title_id', 'user_bids')}"""
+
+SLOT_REQUESTS_AT = f"""WITH RECURSIVE {USER_TIMESLOTS}, {REQUESTS}, {CHANGES},
+{_machine(S.TIMESLOT_TRANSITIONS)}, dated AS (
+  SELECT c.seq, op, c.user_id, status, CAST(ts AS DATE) AS today,
+         CAST(ts AS DATE) + CAST(c.seq % 25 * 16 - 16 AS INTEGER) AS day
+  FROM changes c JOIN events e ON e.event_id = c.seq),
+asked AS (
+  SELECT seq, op, user_id, day, status,
+         CASE WHEN op = 'put' AND day < today THEN 'day is in the past'
+              WHEN op = 'put' AND day > today + 365 THEN 'day too far off in the future' END AS refusal
+  FROM dated), {_fold('user_id, day', 'user_timeslots')}"""
+
+# All populations step by step at once: in each step the best group of each.
+SIZE_SWEEP = f"""WITH RECURSIVE {TABLES}, member AS (
+  SELECT u, row_number() OVER (ORDER BY u) AS n
+  FROM (SELECT user_id AS u FROM interest UNION SELECT user_id FROM free_days)),
+size AS (SELECT range AS z FROM range(500, 5001, 500)),
+st AS (
+  SELECT 0 AS step, 'A' AS kind, z, u, d, t, bid FROM joined JOIN member USING (u) JOIN size ON n <= z
+  UNION ALL
+  (WITH act AS (SELECT * FROM st WHERE kind = 'A'),
+        best AS (SELECT z AS bz, d AS bd, t AS bt, sum(bid) AS s FROM act GROUP BY z, d, t
+                 HAVING sum(bid) > {MINIMUM}
+                 QUALIFY row_number() OVER (PARTITION BY z ORDER BY s DESC, bd, bt) = 1),
+        bu AS (SELECT z, u FROM act JOIN best ON z = bz AND d = bd AND t = bt)
+   SELECT step + 1, CASE WHEN d = bd AND t = bt THEN 'B' ELSE 'A' END, z, act.u, d, t, bid
+   FROM act JOIN best ON z = bz
+   WHERE (d = bd AND t = bt) OR NOT ((z, act.u) IN (SELECT (z, u) FROM bu) AND (d = bd OR t = bt)))),
+booked AS MATERIALIZED (SELECT * FROM st WHERE kind = 'B')
+SELECT z AS total_users,
+  (SELECT count(*) FROM interest JOIN member ON u = user_id WHERE n <= z) AS user_interest_rows,
+  (SELECT count(*) FROM free_days JOIN member ON u = user_id WHERE n <= z) AS user_timeslot_rows,
+  (SELECT count(DISTINCT (d, t)) FROM booked b WHERE b.z = size.z) AS result_num_group,
+  (SELECT CAST(coalesce(sum(bid), 0) AS BIGINT) FROM booked b WHERE b.z = size.z) AS result_total_money,
+  (SELECT count(*) FROM booked b WHERE b.z = size.z) AS result_total_users,
+  (SELECT count(DISTINCT u) FROM booked b WHERE b.z = size.z) AS result_unique_users
+FROM size"""
+
 SQL: dict[str, str] = {
     "available_bids": f"""WITH {LINES}
 SELECT user_id, title_id, CAST(l_linenumber AS VARCHAR) AS num_tickets,
@@ -516,4 +597,30 @@ SELECT * REPLACE (regexp_replace(reason, ' (taken|not available)$', ' not free')
 FROM (SELECT {REJECT_COLUMNS} FROM judged WHERE NOT placed)""",
     "rebooked_events": f"""{GREEDY}
 SELECT event_rank, {_iso('d')} AS day, t AS title_id, bids_total, num_tickets FROM event""",
+    "stream_group_totals": f"""WITH {CHANGED}
+SELECT {_iso('d')} AS day, t AS title_id, CAST(sum(bid) AS BIGINT) AS bids_total, count(*) AS num_tickets
+FROM joined GROUP BY d, t""",
+    "rebooked_after_changes": f"""{GREEDY_CHANGED}
+SELECT event_rank, {_iso('d')} AS day, t AS title_id, bids_total, num_tickets FROM event""",
+    "rebooked_statuses": f"""{GREEDY_CHANGED}
+SELECT u AS user_id, {_iso('d')} AS day, t AS title_id, CAST(bid AS BIGINT) AS total_bid,
+  CASE WHEN own THEN 'B' WHEN cause_rank IS NOT NULL THEN 'C' ELSE 'A' END AS status FROM outcome""",
+    "bid_requests_at_their_time": f"""{BID_REQUESTS_AT}
+SELECT seq, user_id, title_id, ok, message, {RESULT} FROM answered""",
+    "timeslot_requests_at_their_time": f"""{SLOT_REQUESTS_AT}
+SELECT seq, user_id, {_iso('day')} AS day, ok, message, {RESULT} FROM answered""",
+    "size_sweep": SIZE_SWEEP,
+    "sized_expansion": expansion(5, 2, 1),
+    "numbered_files": f"""WITH {LINES}, {VENUES}, line AS (
+  SELECT lpad(CAST(u AS VARCHAR), 12, '0') || ' ' || t || ' ' || ts || ' ' || v || ' ' || bid AS value
+  FROM venue_bids),
+placed AS (SELECT value, (row_number() OVER (ORDER BY value) - 1) // 10000 AS file_no FROM line)
+SELECT file_no, count(*) AS lines, min(value) AS first_line, max(value) AS last_line,
+  count(*) AS whole_lines FROM placed GROUP BY file_no""",
+    "users_over_runs": f"""WITH {LINES}, {INTEREST}, {FREE_DAYS}, run_user AS (
+  SELECT DISTINCT {_iso('day')} AS run, user_id FROM free_days JOIN interest USING (user_id)),
+runs AS (SELECT DISTINCT run FROM run_user)
+SELECT a.run, b.run AS other, count(DISTINCT user_id) AS users, true AS within_three_percent
+FROM runs a JOIN runs b ON a.run <= b.run JOIN run_user u ON u.run = a.run OR u.run = b.run
+GROUP BY a.run, b.run""",
 }

@@ -16,7 +16,7 @@ from seatpool.plans import domain as D
 from seatpool.session import new_folder, stored
 from seatpool.sinks import writers
 from seatpool.sources import readers
-from seatpool.streaming import jobs
+from seatpool.streaming import jobs, rebooking
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -607,3 +607,106 @@ def rebooked_events(spark, sf_dir):
         jobs.ONCE,
     ).awaitTermination()
     return spark.read.parquet(folder).drop("batch")
+
+
+def _changed(spark, sf_dir, job):
+    """A job that has seen all changes of bids and free days, in three chunks."""
+    columns = ["seq", *rebooking.CHANGE.names]
+    _feed(spark, D.table_changes(spark, sf_dir), columns, job.start)
+    return job
+
+
+def _tables(spark, sf_dir):
+    return stored(D.interest(spark, sf_dir), "tables"), stored(D.free_days(spark, sf_dir), "tables")
+
+
+@query
+def stream_group_totals(spark, sf_dir):
+    """Group totals kept up to date while bids and free days come, change and go."""
+    folder = new_folder(spark, "totals")
+    return _changed(spark, sf_dir, rebooking.GroupTotals(*_tables(spark, sf_dir), folder)).totals()
+
+
+@query
+def rebooked_after_changes(spark, sf_dir):
+    """Bookings after every chunk of changes, from the first event on that a change can reach."""
+    folder = new_folder(spark, "rebooking")
+    job = rebooking.Rebooking(*_tables(spark, sf_dir), folder, MINIMUM)
+    return _changed(spark, sf_dir, job).events()
+
+
+@query
+def rebooked_statuses(spark, sf_dir):
+    """What the bookings after one chunk of changes mean for every row."""
+    folder = new_folder(spark, "rebooking")
+    job = rebooking.Rebooking(*_tables(spark, sf_dir), folder, MINIMUM)
+    inbox = new_folder(spark, "inbox")
+    columns = ["seq", *rebooking.CHANGE.names]
+    writers.write_messages(writers.as_json(D.table_changes(spark, sf_dir), columns), inbox)
+    job.start(readers.message_stream(spark, inbox, files_per_trigger=1_000_000)).awaitTermination()
+    return job.result().statuses().drop("tickets")
+
+
+# ---------------------------------------------------------------- requests at their own time
+
+
+@query
+def bid_requests_at_their_time(spark, sf_dir):
+    requests = D.with_moments(spark, sf_dir, D.bid_requests(spark, sf_dir))
+    periods, bids = D.title_periods(spark, sf_dir), D.user_bids(spark, sf_dir)
+    return R.bid_requests(requests, periods, bids, None).results
+
+
+@query
+def timeslot_requests_at_their_time(spark, sf_dir):
+    requests = D.dated_timeslot_requests(spark, sf_dir)
+    return R.timeslot_requests(requests, D.user_timeslots(spark, sf_dir), None, zone="UTC").results
+
+
+# ---------------------------------------------------------------- sizes
+
+
+SWEEP_SIZES = range(500, 5001, 500)
+
+
+@query
+def size_sweep(spark, sf_dir):
+    """Ten populations, the first 500, 1000, ... users, booked in one set of rounds."""
+    return metrics.nested_sweep(D.interest(spark, sf_dir), D.free_days(spark, sf_dir), SWEEP_SIZES, MINIMUM)
+
+
+@query
+def sized_expansion(spark, sf_dir):
+    customers = D.table(spark, sf_dir, "customer")
+    users = customers.select(F.col("c_custkey").alias("user_id"), F.col("c_custkey").alias("user_no"))
+    venues = D.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("venue_id"))
+    return expand.expand_to_size(users, D.titles(spark, sf_dir), venues, D.FIRST_DAY, 0.2, 0.143)
+
+
+@query
+def numbered_files(spark, sf_dir):
+    """Venue bids as lines in their order, over files of 10,000; what each file holds."""
+    folder = new_folder(spark, "numbered-lines")
+    rows = D.venue_bids(spark, sf_dir)
+    line = F.concat_ws(" ", F.lpad(F.col("user_id").cast("string"), 12, "0"), "title_id", "timeslot", "venue_id", F.col("total_bid").cast("string"))
+    writers.write_numbered_lines(rows.select(line.alias("value")), ["value"], folder)
+    read = spark.read.schema("value string, file_no long").text(folder)
+    return read.groupBy("file_no").agg(
+        F.count("*").alias("lines"), F.min("value").alias("first_line"), F.max("value").alias("last_line"),
+        F.count_if(F.col("value").contains("Brand#")).alias("whole_lines"),
+    )
+
+
+# ---------------------------------------------------------------- distinct users over runs
+
+
+@query
+def users_over_runs(spark, sf_dir):
+    """A5 over any two stored runs: distinct users out of sketches, against the exact count."""
+    slots, bids = D.free_days(spark, sf_dir), D.interest(spark, sf_dir)
+    runs = bids.join(slots, "user_id").select(F.date_format("day", S.ISO_DAY).alias("run"), "user_id")
+    runs = stored(runs.distinct(), "runs")
+    found = metrics.users_of_pairs(metrics.run_sketches(runs))
+    exact = metrics.exact_users_of_pairs(runs)
+    near = F.abs(F.col("estimate") - F.col("users")) <= F.greatest(0.03 * F.col("users"), F.lit(1))
+    return exact.join(found, ["run", "other"]).select("run", "other", "users", near.alias("within_three_percent"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from seatpool import schemas as S
 from seatpool.functions.columns import format_day
-from seatpool.functions.ordered import latest
+from seatpool.functions.ordered import latest, numbered
 
 
 def as_json(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -52,6 +52,18 @@ def write_lines(lines: DataFrame, folder: str, per_file: int = 0) -> None:
     lines.write.option("maxRecordsPerFile", per_file).text(folder)
 
 
+def write_numbered_lines(
+    lines: DataFrame, order: Sequence[str], folder: str, per_file: int = S.LINES_PER_FILE
+) -> None:
+    """K5: lines (``value``) in the given order over numbered files of ``per_file`` lines each, but
+    for the last. Numbers come from a sort by range; a file's lines meet in one task and are in
+    order there."""
+    placed, _ = numbered(lines, order)
+    placed = placed.withColumn("file_no", F.expr(f"position DIV {per_file}"))
+    placed = placed.repartition("file_no").sortWithinPartitions("file_no", "position")
+    placed.select("file_no", "value").write.partitionBy("file_no").text(folder)
+
+
 def write_csv(rows: DataFrame, folder: str) -> None:
     """K7: header and rows, days with slashes."""
     days = {
