@@ -20,9 +20,11 @@ _token = re.compile(
     rf"|<(/?)([a-zA-Z][^\s/>]*)({_attributes})(?:>|\Z)|<(?:[!?/]|[a-zA-Z])[^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_named = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_attribute = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _space = re.compile(r"\s+")
-_hidden = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_unseen = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+# Their text is no text of the page; a block inside ends them, so that one left open swallows nothing.
+_CONTROLS = frozenset(("button", "label"))
 
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer "
@@ -45,21 +47,39 @@ _bad = re.compile(
     r"modal\w*|overlay|login|signup|search\w*|pagination|pager|complementary|contentinfo|toolbar|skip\w*|teaser\w*)\b", re.I
 )
 _good = re.compile(r"\b(?:article\w*|content|post|entry|story|main|maintext|body-?text|prose)\b", re.I)
+_comment = re.compile(r"\b(?:comments?|comment-?list|disqus\w*|repl(?:y|ies)|respond)\b", re.I)
+# Parts of a name that say how a page looks around an element, not what the element is.
+_around = re.compile(r"(?:^|-)(?:has|with|no|without|not|hide|show)-.*$|^.*-(?:open|opened|closed|enabled|disabled|on|off|visible|ready)$", re.I)
+_hump = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _rights = re.compile(r"©|\ball rights reserved\b|\bcopyright\b", re.I)
 
 #: Smoothness between adjacent blocks, halved for each step to their common container, and
 #: between a block and the next of the same container.
 ADJACENT = 0.8
 NEAR = 0.4
+#: Characters from which a block with few links counts as prose.
+PROSE = 60
 
 
 @dataclass(slots=True)
 class _Node:
+    """An element: what its tag and its names say by themselves, and, for all that lies in it,
+    characters of prose, characters in an article, and whether a main heading is there."""
+
     tag: str
-    cost: float
-    depth: int
     up: _Node | None
-    article: bool
+    depth: int = 0
+    article: bool = False
+    anchor: bool = False
+    by_tag: float = 0.0
+    by_name: float = 0.0
+    against: bool = False
+    comment: bool = False
+    prose: int = 0
+    anchored: int = 0
+    titled: bool = False
+    cost: float = 0.0
+    closed: bool = False
 
 
 @dataclass(slots=True)
@@ -74,10 +94,14 @@ class _Reader:
     """Cuts a page into blocks: stretches of text between starts and ends of block elements."""
 
     blocks: list[_Block] = field(default_factory=list)
+    nodes: list[_Node] = field(default_factory=lambda: [_Node("html", None)])
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     links: int = 0
-    node: _Node = field(default_factory=lambda: _Node("html", 0.0, 0, None, False))
+    control: str = ""
+
+    def __post_init__(self) -> None:
+        self.node = self.nodes[0]
 
     def flush(self) -> None:
         if self.pieces:
@@ -88,6 +112,8 @@ class _Reader:
         self.linked = 0
 
     def text(self, value: str) -> None:
+        if self.control:
+            return
         self.pieces.append(value)
         if self.links:
             self.linked += len(value)
@@ -97,8 +123,11 @@ class _Reader:
             self.links = 1
         if tag == "br" or tag == "img" or tag == "wbr":
             self.pieces.append("" if tag == "wbr" else " ")
+        if tag in _CONTROLS:
+            self.control = tag
         if tag not in _BLOCKS:
             return
+        self.control = ""
         self.flush()
         node = self.node
         if node.tag == "p":
@@ -109,25 +138,46 @@ class _Reader:
         if tag == "hr":
             self.node = node
             return
-        cost = _CONTAINERS.get(tag, 0.0)
-        article = node.article or tag in ("article", "main")
-        if tag == "header" and not article:
-            cost = _HEADER
-        if rest.strip():
-            names = " ".join(filter(None, (x for m in _named.findall(rest) for x in m))).replace("_", "-")
-            if names and tag not in ("body", "html", "article", "main") and _bad.search(names):
-                cost = min(cost, _BAD)
-            elif names and not article and tag != "body" and _good.search(names):
-                cost = max(cost, _GOOD) if cost >= 0 else cost
-            if _hidden.search(rest):
-                cost = min(cost, _BAD)
-        self.node = _Node(tag, node.cost + cost, node.depth + 1, node, article)
+        new = _Node(tag, node, node.depth + 1, node.article or tag in ("article", "main"))
+        new.by_tag = _HEADER if tag == "header" and not new.article else _CONTAINERS.get(tag, 0.0)
+        new.anchor = node.anchor or new.article
+        new.titled = tag == "h1"
+        if rest.strip() and tag not in ("body", "html"):
+            self.named(new, rest)
+        new.comment |= node.comment
+        new.against = node.against or new.comment or new.by_tag < 0 and tag != "form"
+        self.node = new
+        self.nodes.append(new)
+
+    def named(self, node: _Node, rest: str) -> None:
+        """What attributes say: an element that is not shown, or names as whole words of its own."""
+        for found in _attribute.finditer(rest):
+            name, value = found[1].lower(), found[2] or found[3] or found[4] or ""
+            if name in ("class", "id", "role"):
+                if node.tag == "main":
+                    continue
+                for word in html.unescape(value).split():
+                    word = _around.sub("", _hump.sub("-", word).replace("_", "-"))
+                    if _bad.search(word):
+                        node.by_name = _BAD
+                        node.comment |= _comment.search(word) is not None
+                    elif not node.article and _good.search(word):
+                        node.by_name = node.by_name or _GOOD
+            elif (
+                name == "hidden" and value.lower() != "until-found" or name == "aria-hidden" and value.lower() == "true"
+                or name == "style" and _unseen.search(value)
+            ):
+                node.by_tag = min(node.by_tag, _BAD)
+        node.anchor = node.anchor or node.by_name > 0
 
     def end(self, tag: str) -> None:
         if tag == "a":
             self.links = 0
+        if tag == self.control:
+            self.control = ""
         if tag not in _BLOCKS:
             return
+        self.control = ""
         self.flush()
         node = self.node
         while node is not None and node.tag != tag:
@@ -136,6 +186,33 @@ class _Reader:
             self.node = node.up
 
 
+def weigh(nodes: list[_Node], found: list[_Block]) -> None:
+    """Costs of elements, from the page down. Names do not speak against an element that holds
+    most of the page's prose and all of what lies in articles, nor does being a form if it also
+    holds a main heading or an article; comments stay comments."""
+    for block in found:
+        node, size = block.node, len(block.text)
+        if block.linked * 2 < size and not node.against:
+            node.prose += size if size >= PROSE else 0
+            node.anchored += size if node.anchor else 0
+    for node in reversed(nodes):
+        if node.up is not None:
+            node.up.prose += node.prose
+            node.up.anchored += node.anchored
+            node.up.titled |= node.titled
+    page = nodes[0]
+    for node in nodes:
+        most = node.prose * 2 > page.prose and node.anchored == page.anchored
+        named, tagged = node.by_name, node.by_tag
+        if most and not node.comment:
+            named = max(named, 0.0)
+            if node.tag == "form" and (node.titled or node.anchored):
+                tagged = 0.0
+        own = min(tagged, named) if named < 0 else tagged if tagged < 0 else max(tagged, named)
+        node.closed = own < 0
+        node.cost = (node.up.cost if node.up is not None else 0.0) + own
+
+
 def blocks(page: str) -> list[_Block]:
     reader, at = _Reader(), 0
     for found in _token.finditer(page):
@@ -152,6 +229,7 @@ def blocks(page: str) -> list[_Block]:
     if at < len(page):
         reader.text(page[at:])
     reader.flush()
+    weigh(reader.nodes, reader.blocks)
     return reader.blocks
 
 
@@ -175,24 +253,31 @@ def evidence(block: _Block) -> float:
     return value
 
 
+def _holder(block: _Block) -> _Node:
+    node = block.node
+    return node if node.closed or node.up is None else node.up
+
+
 def smoothness(found: list[_Block]) -> list[tuple[int, int, float]]:
-    """Edges between adjacent blocks, and between a block and the next in the same container."""
+    """Edges between adjacent blocks, and between a block and the next in the same container.
+    Nothing joins a block of an element that is no main text with one outside of it."""
     edges, last = [], {}
     for i, block in enumerate(found):
+        holder = _holder(block)
         if i:
-            a, b, steps = found[i - 1].node.up or found[i - 1].node, block.node.up or block.node, 0
-            while a is not b:
+            a, b, steps, parted = _holder(found[i - 1]), holder, 0, False
+            while a is not b and not parted:
                 if a.depth >= b.depth:
-                    a = a.up
+                    a, parted = a.up, a.closed
                 else:
-                    b = b.up
+                    b, parted = b.up, b.closed
                 steps += 1
-            edges.append((i - 1, i, ADJACENT / (1 << min(steps, 20))))
-        parent = id(block.node.up)
-        before = last.get(parent, i - 1)
+            if not parted:
+                edges.append((i - 1, i, ADJACENT / (1 << min(steps, 20))))
+        before = last.get(id(holder), i - 1)
         if before < i - 1:
             edges.append((before, i, NEAR))
-        last[parent] = i
+        last[id(holder)] = i
     return edges
 
 
@@ -272,7 +357,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Character references are decoded, white space in a block is one space, blocks are joined
     by two line feeds. Null and empty pages, and pages without main text, have the empty text.
-    Tags cut off at the end of a page are no text. Repeated rows are repeated in the result.
+    Tags cut off at the end of a page are no text, nor is what buttons and labels say. Pages of
+    any length are read whole, in time linear in their length up to the cut; an empty table
+    gives an empty one. Repeated rows are repeated in the result.
     Other columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
