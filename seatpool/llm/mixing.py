@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from seatpool.functions.ordered import sized
@@ -11,12 +13,12 @@ from seatpool.session import stored
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-#: Words of a block. Sources miss their targets by a few blocks.
+#: Words of a block. Sources miss their targets by half a block at most.
 BLOCK_WORDS = 64
-BUCKETS = 1024
 _CELLS = 1024
 _SLOTS_IN_CHUNK = 65_536
-_GOLDEN, _PERIOD = 1_327_217_885, 1 << 31  # golden ratio of the period, odd: visits every point once
+_GOLDEN = 0.6180339887498949
+_LONGEST = 3_000_000_000  # products of two numbers below it fit a long
 _SEED = 7
 
 
@@ -54,31 +56,49 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
 
 
+def needed(aims: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``aims`` with ``blocks`` of a source and ``slots`` it needs, by the words that blocks hold.
+
+    Whole epochs first, then as many blocks as come nearest to the rest of the target; the last
+    block of a source may hold fewer words than others.
+    """
+    size = F.col("source_size")
+    blocks = F.ceil(size / block_words)
+    epochs = F.floor(F.col("target") / size)
+    rest = F.col("target") - epochs * size
+    few = F.floor(rest / block_words)
+    more = rest - few * block_words > F.least((few + 1) * block_words, size) - rest
+    return aims.filter("target > 0").select(
+        "source_no", blocks.alias("blocks"), (epochs * blocks + few + more.cast("int")).cast("long").alias("slots")
+    )
+
+
 def schedule(aims: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The order of the mix: slot, source_no, epoch, block.
 
-    Slot i looks at point frac(i * golden ratio) of the cumulative targets. Slots of a source
-    are numbered in their order; the n-th takes the n-th block of the source's shuffled words,
-    and begins again after the last, at most twice. Numbers are counted per chunk of slots and
+    Slot i of n looks at point frac(i * g / n) of the cumulative slots of the sources, where g/n
+    is next to the golden ratio and g has no factor in common with n. So every one of the n
+    points comes once, each source gets just the slots it needs, and its slots lie evenly. Slots
+    of a source are numbered in their order; the n-th takes the n-th block of the source's
+    shuffled words, and begins again after the last. Numbers are counted per chunk of slots and
     carried on, so no source is one task.
     """
     spark = aims.sparkSession
-    rows = aims.filter("target > 0")
-    total, sources = rows.agg(F.sum("target"), F.count("*")).first()
-    upto = Window.orderBy("source_no")
-    low = F.coalesce(F.sum("target").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) / F.lit(total or 1.0)
-    rows = rows.withColumn("low", low).withColumn("high", F.coalesce(F.lead("low").over(upto), F.lit(2.0)))
-    cells = rows.select(
-        "source_no", "low", "high",
-        F.ceil(F.col("source_size") / block_words).alias("blocks"),
-        F.explode(F.sequence(
-            F.floor(F.col("low") * _CELLS), F.least(F.lit(_CELLS - 1).cast("long"), F.floor(F.col("high") * _CELLS))
-        )).alias("cell"),
-    )
-    slots = spark.range(int(-(-(total or 0) // block_words))).select(
-        F.col("id").alias("slot"), (((F.col("id") + 1) % _PERIOD * _GOLDEN % _PERIOD) / F.lit(float(_PERIOD))).alias("point")
-    )
-    slots = slots.withColumn("cell", F.floor(F.col("point") * _CELLS))
+    rows = needed(aims, block_words).filter("slots > 0")
+    total, sources = rows.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.count("*")).first()
+    step = max(1, round(total * _GOLDEN))
+    while gcd(step, total) > 1:
+        step += 1
+    width = max(1, -(-total // _CELLS))
+    low = F.coalesce(F.sum("slots").over(Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = rows.withColumn("low", low).withColumn("high", F.col("low") + F.col("slots")).select(
+        "source_no", "low", "high", "blocks",
+        F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))).alias("cell"),
+    )
+    number = F.col("id") if total < _LONGEST else F.col("id").cast("decimal(19,0)")
+    factor = F.lit(step) if total < _LONGEST else F.lit(step).cast("decimal(19,0)")
+    slots = spark.range(total).select(F.col("id").alias("slot"), (number * factor % F.lit(max(1, total))).cast("long").alias("point"))
+    slots = slots.withColumn("cell", F.floor(F.col("point") / width))
     drawn = slots.join(sized(cells, _CELLS + 2 * sources), "cell").filter("point >= low AND point < high")
     drawn = drawn.select("slot", "source_no", "blocks", F.floor(F.col("slot") / _SLOTS_IN_CHUNK).alias("chunk"))
     counts = drawn.groupBy("source_no", "chunk").agg(F.count("*").alias("n"))
@@ -89,7 +109,6 @@ def schedule(aims: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return (
         drawn.withColumn("own", own).join(carried, ["source_no", "chunk"])
         .select("slot", "source_no", F.floor(rank / F.col("blocks")).alias("epoch"), (rank % F.col("blocks")).alias("block"))
-        .filter(F.col("epoch") < MOST)
     )
 
 
@@ -98,14 +117,16 @@ def mix(
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, copies, part,
-    source, text_hash.
+    slots, source, text_hash.
 
     The words of a source, its documents shuffled by a hash of the id, are one line cut into
     blocks of equal size; the schedule says how often each block is taken. ``taken`` counts
     the words of a document in taken blocks, repeats included: ``copies`` whole times and,
-    where the last epoch ends within a document, its first ``part`` words. A null text has
+    where the last epoch ends within a document, its first ``part`` words. ``slots`` are the
+    places in the mix of the block with its first word, at most two. A null text has
     size 0; documents of size 0 are never taken. A null source is a source of its own.
-    Repeated rows are documents of their own. Other columns are not read.
+    Repeated rows are documents of their own; equal places go by id and text. Texts of any
+    length are counted whole; an empty table gives an empty mix. Other columns are not read.
     """
     spark = docs.sparkSession
     sizes = stored(
@@ -118,7 +139,9 @@ def mix(
         "sizes",
     )
     aims = stored(targets(sizes).coalesce(1), "targets")
-    takes = schedule(aims, block_words).groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    takes = schedule(aims, block_words).groupBy("source_no", "block").agg(
+        F.count("*").alias("times"), F.sort_array(F.collect_list("slot")).alias("slots")
+    )
 
     sources = aims.count()
     place = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(_SEED))
@@ -154,17 +177,22 @@ def mix(
         .agg(
             F.coalesce(F.sum(words * times), F.lit(0)).cast("long").alias("taken"),
             F.min(F.when(F.col("block").isNotNull(), times).otherwise(0)).cast("long").alias("copies"),
+            F.coalesce(F.min(F.when(F.col("times") > 0, F.struct("block", "slots")))["slots"], F.array().cast("array<bigint>")).alias("slots"),
         )
         .select(
             "doc_id", "size", "source_size", "target", "taken", "copies",
-            (F.col("taken") - F.col("copies") * F.col("size")).alias("part"), "source", "text_hash",
+            (F.col("taken") - F.col("copies") * F.col("size")).alias("part"), "slots", "source", "text_hash",
         )
     )
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` as the mix takes them, with all their columns: a row per whole copy, and a row
-    with the first words, white space as it is, where a document is taken in part."""
+    """``docs`` as the mix takes them, with all their columns, in the order of the mix.
+
+    A row per copy, at the slot of the block with its first word; no document is cut. The one
+    document of a source within which its last epoch ends counts as a whole copy if at least half
+    of it is taken, so a source's words differ from those of ``mix`` by half a document at most.
+    """
     rows = docs.select(
         F.struct("*").alias("doc"), F.col(id_col).alias("a_id"), F.col(source_col).alias("a_source"),
         text_hash(text_col).alias("a_hash"),
@@ -172,24 +200,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     # Rows alike in id, source and text are told apart by a number.
     alike = Window.partitionBy("a_id", "a_source", "a_hash").orderBy("a_hash")
     rows = rows.withColumn("a_no", F.row_number().over(alike))
-    taken = mix(docs, id_col, text_col, source_col).filter("taken > 0")
+    copies = F.col("copies") + (F.col("part") * 2 >= F.col("size")).cast("int")
+    taken = mix(docs, id_col, text_col, source_col).filter("taken > 0").withColumn("copies", copies)
     own = Window.partitionBy("doc_id", "source", "text_hash").orderBy(F.col("taken").desc())
-    taken = taken.withColumn("b_no", F.row_number().over(own)).select(
-        F.col("doc_id").alias("b_id"), F.col("source").alias("b_source"), F.col("text_hash").alias("b_hash"), "b_no", "copies", "part"
+    taken = taken.withColumn("b_no", F.row_number().over(own)).filter("copies > 0").select(
+        F.col("doc_id").alias("b_id"), F.col("source").alias("b_source"), F.col("text_hash").alias("b_hash"), "b_no",
+        F.slice("slots", 1, F.col("copies").cast("int")).alias("slots"),
     )
     match = (
         rows["a_id"].eqNullSafe(taken["b_id"]) & rows["a_source"].eqNullSafe(taken["b_source"])
         & (rows["a_hash"] == taken["b_hash"]) & (rows["a_no"] == taken["b_no"])
     )
-    pieces = rows.join(taken, match).select(
-        "doc", F.explode(F.concat(
-            F.array_repeat(F.lit(0).cast("long"), F.col("copies").cast("int")),
-            F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")),
-        )).alias("first"),
-    )
-    text = F.col("doc").getField(text_col)
-    start = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.greatest(F.lit(1), F.col("first").cast("int"))), "")
-    return pieces.select(*[
-        (F.when(F.col("first") > 0, start).otherwise(text) if c == text_col else F.col("doc").getField(c)).alias(c)
-        for c in docs.columns
-    ])
+    placed = rows.join(taken, match).select("doc", F.explode("slots").alias("slot"))
+    return placed.orderBy("slot").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
