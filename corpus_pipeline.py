@@ -29,7 +29,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix takes them: repeated, left out, or cut where an epoch ends."""
+    """Documents as the mix takes them, in its order: repeated or left out, never cut."""
     return mixing.mixed(docs)
 
 
