@@ -19,10 +19,14 @@ from seatpool.session import stored
 
 SEQUENCE = 2048
 END_ID = 0
-#: Step between the middle lengths of three-document patterns: keeps patterns few enough
-#: that counts per pattern stay well above one.
-STEP = 32
-ROUNDS = 200
+#: Tokens that patterns may leave free, fitted one after another: what fills best goes first.
+SLACK = (0, 8, 32, 128, 512)
+#: Three-document patterns of one fit, about: counts per pattern must stay well above one.
+LISTED = 16_384
+#: Fits with one slack, each with other patterns where not all are listed.
+PHASES = 4
+#: A fit ends when this many rounds lower the residual by less than this share of it.
+PATIENCE, TOLERANCE = 20, 1e-3
 #: Words whose ids a task remembers, at most.
 REMEMBERED = 100_000
 
@@ -114,23 +118,38 @@ def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, size: int) ->
 # The plan works on the histogram alone: at most ``size`` lengths, whatever the corpus.
 
 
-def patterns(present: np.ndarray, size: int, step: int = STEP) -> np.ndarray:
-    """Patterns of one to three lengths that fill a sequence, as rows padded with 0."""
-    there = np.zeros(size + 1, dtype=bool)
-    there[present] = True
-    found = [np.array([[size, 0, 0]])]
-    short = np.arange(1, size // 2 + 1)
-    found.append(np.stack([short, size - short, 0 * short], axis=1))
-    for a in range(1, size // 3 + 1):
-        b = np.arange(a, (size - a) // 2 + 1, step)
-        found.append(np.stack([np.full(len(b), a), b, size - a - b], axis=1))
-    rows = np.concatenate(found)
-    return rows[(there[rows] | (rows == 0)).all(axis=1)]
+def patterns(present: np.ndarray, size: int, slack: int = 0, phase: int = 0, listed: int = LISTED) -> np.ndarray:
+    """Patterns of one to three of the present lengths that leave at most ``slack`` of a
+    sequence free, as rows padded with 0. The last length is the longest that fits.
 
-
-def least_squares(rows: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    If there are more than ``listed`` pairs of first lengths, every so many of them are listed,
+    beginning at ``phase``; all phases together list them all.
+    """
+    present = np.sort(present)
+    single = present[:, None]
+
+    def filled(rows: np.ndarray) -> np.ndarray:
+        room = size - rows.sum(axis=1)
+        at = np.searchsorted(present, room, side="right") - 1
+        last = np.where(at >= 0, present[np.maximum(at, 0)], 0)
+        fits = (last >= rows[:, -1]) & (room - last <= slack)
+        return np.pad(np.column_stack([rows, last])[fits], ((0, 0), (0, 2 - rows.shape[1])))
+
+    found = [np.pad(single[present >= size - slack], ((0, 0), (0, 2))), filled(single)]
+    ends = np.searchsorted(present, (size - present) // 2, side="right")
+    many = np.maximum(ends - np.arange(len(present)), 0)
+    step = max(1, -(-int(many.sum()) // listed))
+    for i, count in enumerate(many):
+        second = present[i + (i + phase) % step : i + count : step]
+        if len(second):
+            found.append(filled(np.column_stack([np.full(len(second), present[i]), second])))
+    return np.concatenate(found)
+
+
+def least_squares(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Repeats x >= 0 of the patterns that fit the histogram: |A x - counts| least, by
-    multiplicative updates, which stay non-negative and need no step size."""
+    multiplicative updates, which stay non-negative and need no step size. They go on until the
+    residual of those lengths that patterns hold falls no more."""
     used = rows > 0
 
     def spread(values: np.ndarray) -> np.ndarray:  # A' v
@@ -139,10 +158,18 @@ def least_squares(rows: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) ->
     def fill(x: np.ndarray) -> np.ndarray:  # A x
         return np.bincount(rows[used], weights=np.broadcast_to(x[:, None], rows.shape)[used], minlength=len(counts))
 
+    held = np.zeros(len(counts), dtype=bool)
+    held[rows[used]] = True
     aim = spread(counts.astype(float))
-    x = np.ones(len(rows))
-    for _ in range(rounds if len(rows) else 0):
-        x *= aim / np.maximum(spread(fill(x)), 1e-12)
+    x = aim / np.maximum(spread(fill(np.ones(len(rows)))), 1e-12)
+    best = np.inf
+    while len(rows):
+        for _ in range(PATIENCE):
+            x *= aim / np.maximum(spread(fill(x)), 1e-12)
+        residual = float(np.square((fill(x) - counts)[held]).sum())
+        if residual < 0.25 * held.sum() or residual > best * (1 - TOLERANCE):
+            break
+        best = residual
     return x
 
 
@@ -162,25 +189,33 @@ _RANKS = 1 << 48
 def plan(histogram: dict[int, int], size: int = SEQUENCE) -> Plan:
     """Repeat counts of patterns for all pieces of the histogram.
 
-    Fitted counts are rounded to whole numbers, the best fitted first, as far as pieces are
-    left. What is over is packed best-fit: the longest piece left, then again and again the
-    longest that fits, as often as the pattern can be repeated.
+    Patterns that fill a sequence are fitted first, then such as leave a little free, to what is
+    left. Fitted counts are rounded to whole numbers, the best fitted first, as far as pieces are
+    left; a fit is repeated with other patterns while it places something. What is over is packed
+    best-fit: the longest piece left, then again and again the longest that fits, as often as the
+    pattern can be repeated.
     """
     left = np.zeros(size + 1, dtype=np.int64)
     for length, count in histogram.items():
         left[length] = count
     chosen: list[tuple[list[tuple[int, int]], int]] = []
-    rows = patterns(np.flatnonzero(left), size)
-    fitted = least_squares(rows, left)
-    for i in np.argsort(-fitted, kind="stable"):
-        often = int(round(fitted[i]))
-        if often < 1:
-            break
-        lengths, uses = np.unique(rows[i][rows[i] > 0], return_counts=True)
-        often = min(often, int((left[lengths] // uses).min()))
-        if often:
-            left[lengths] -= often * uses
-            chosen.append((list(zip(lengths.tolist(), uses.tolist())), often))
+    for slack in SLACK:
+        for phase in range(PHASES):
+            rows = patterns(np.flatnonzero(left), size, min(slack, size // 4), phase)
+            fitted = least_squares(rows, left)
+            placed = 0
+            for i in np.argsort(-fitted, kind="stable"):
+                often = int(round(fitted[i]))
+                if often < 1:
+                    break
+                lengths, uses = np.unique(rows[i][rows[i] > 0], return_counts=True)
+                often = min(often, int((left[lengths] // uses).min()))
+                if often:
+                    left[lengths] -= often * uses
+                    placed += often
+                    chosen.append((list(zip(lengths.tolist(), uses.tolist())), often))
+            if not placed:
+                break
     remaining = [int(v) for v in np.flatnonzero(left)]
     while remaining:
         room, pattern, at = size, [], len(remaining)

@@ -264,6 +264,35 @@ def test_plan_fills_sequences_and_places_every_piece():
     assert max(used.values()) <= 2048 and len(used) == plan.sequences
 
 
+@pytest.mark.parametrize(
+    ("histogram", "fewest"),
+    [
+        ({500: 12_000, 700: 12_000, 848: 12_000}, 12_000),
+        ({900: 12_000, 600: 12_000, 540: 12_000}, 12_000),
+        ({512: 5_000, 1024: 3_000, 1536: 4_000}, 5_750),
+        ({700: 9_000, 300: 1_000, 1000: 500}, 4_750),
+        ({1500: 3_000, 500: 3_000, 30: 3_000}, 3_000),
+        ({1300: 1_000}, 1_000),
+        ({2048: 7, 1: 2_048}, 8),
+        ({}, 0),
+    ],
+)
+def test_plan_of_few_lengths_comes_near_the_fewest_sequences(histogram, fewest):
+    plan = packing.plan(histogram)
+    assert fewest <= plan.sequences <= 1.01 * fewest
+
+
+def test_patterns_are_all_that_fill_and_hold_every_length():
+    present = np.array([3, 4, 5, 7, 9, 12])
+    rows = {tuple(r) for r in packing.patterns(present, 16, 2).tolist()}
+    for i, j, k in itertools.combinations_with_replacement(present.tolist(), 3):
+        longest = max((v for v in present if v <= 16 - i - j), default=0)
+        assert ((i, j, k) in rows) == (k == longest and i + j + k >= 14)
+    assert all(14 <= sum(r) <= 16 for r in rows)
+    several = [{tuple(r) for r in packing.patterns(present, 16, 2, phase, 4).tolist()} for phase in range(6)]
+    assert set.union(*several) == rows
+
+
 def test_encoder_gives_the_ids_of_tokenizers():
     from tokenizers import Tokenizer
 
