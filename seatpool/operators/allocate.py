@@ -34,12 +34,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from seatpool import schemas
 from seatpool.functions import ordered
 from seatpool.functions.ordered import numbered, sized
-from seatpool.operators.joins import interest_by_slot
 from seatpool.session import discard, new_folder, stored
 
 # Options of one user kept in one nested row. Users above it are split.
@@ -195,6 +194,29 @@ def _calendar(shape: Shape, titles: DataFrame, count: int, days: int) -> Layout:
     )
 
 
+def _calendar_with_periods(shape: Shape, titles: DataFrame, count: int, days: int) -> Layout:
+    """As ``_calendar``, but each entry of ``bids`` is open on the days of a period alone.
+    Periods of one title do not overlap, so a user has one row per day and title."""
+    plain = _calendar(shape, titles, count, days)
+    rows = f"""
+        SELECT *, a1 * {count}L + a2 AS gid
+        FROM {{state}} LATERAL VIEW OUTER explode(days) AS a1
+                       LATERAL VIEW OUTER inline(filter(bids, b -> a1 BETWEEN b.first_no AND b.last_no))
+                                          AS a2, value, tickets, first_no, last_no
+        WHERE a1 IS NOT NULL AND a2 IS NOT NULL"""
+
+    def hits(winners: Sequence[int]) -> str:
+        wanted = ", ".join(f"{w}L" for w in winners)
+        named = ", ".join(f"{t}L" for t in sorted({w % count for w in winners}))
+        number = f"d * {count}L + b.title_no"
+        return f"""flatten(transform(filter(bids, b -> b.title_no IN ({named})), b -> transform(
+            filter(days, d -> d BETWEEN b.first_no AND b.last_no AND {number} IN ({wanted})),
+            d -> struct({number} AS gid, d AS a1, b.title_no AS a2, b.value, b.tickets))))"""
+
+    is_open = "exists(bids, b -> exists(days, d -> d BETWEEN b.first_no AND b.last_no))"
+    return plain._replace(rows=rows, hits=hits, is_open=is_open)
+
+
 def _listed(shape: Shape, groups: DataFrame, count: int) -> Layout:
     """Rows are listed one by one; nothing is assumed about their combinations."""
 
@@ -281,9 +303,10 @@ def _nested(
 def _nest_calendar(
     bids: DataFrame, slots: DataFrame, users: DataFrame | None, files: int
 ) -> DataFrame:
-    """Bids (user_id, title_no, value, live) and slots (user_id, day_no), one row per user and
-    part."""
-    bids = _nested(bids, users, "title_no", "bids", F.struct("title_no", "value"), files)
+    """Bids (user_id, title_no, value, live), with periods or without, and slots (user_id,
+    day_no), one row per user and part."""
+    row = F.struct(*[name for name in bids.columns if name not in ("user_id", "live")])
+    bids = _nested(bids, users, "title_no", "bids", row, files)
     # a user's days are bounded by the calendar, so they fit in one array
     days = F.collect_set("day_no").alias("days")
     if users is None:
@@ -584,6 +607,36 @@ def _bookable(rows: DataFrame, needed: Sequence[str], value: str, sequential: bo
     return rows if sequential else rows.where(F.col(value) >= 0)
 
 
+def _day_no(day: Column) -> Column:
+    return F.datediff(day, F.expr(FIRST_OF_CALENDAR)).cast("bigint")
+
+
+def periods(bids: DataFrame) -> DataFrame:
+    """Bids (user_id, title_id, total_bid, from, to) as periods that do not overlap: user_id,
+    title_id, total_bid, tickets, first_no, last_no.
+
+    Bids of one user for one title add up on the days they share. A bid counts on days d with
+    from <= d <= to, where a day is its first moment; bids without from or to, and those that end
+    before they begin, count on none. Each bid leaves its value at its first day and takes it back
+    after its last; running sums over those days, of which a calendar has few, are the periods.
+    """
+    first, last = F.to_date("from"), F.to_date("to")
+    first = F.when(first.cast("timestamp") < F.col("from").cast("timestamp"), F.date_add(first, 1)).otherwise(first)
+    rows = bids.select("user_id", "title_id", "total_bid", _day_no(first).alias("first_no"), _day_no(last).alias("last_no"))
+    rows = rows.where("first_no <= last_no")
+    steps = rows.selectExpr(
+        "user_id", "title_id",
+        "inline(array(struct(first_no AS at, total_bid AS value, 1L AS n), struct(last_no + 1 AS at, -total_bid AS value, -1L AS n)))",
+    )
+    steps = steps.groupBy("user_id", "title_id", "at").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
+    order = Window.partitionBy("user_id", "title_id").orderBy("at")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return steps.select(
+        "user_id", "title_id", F.sum("value").over(upto).alias("total_bid"), F.sum("n").over(upto).alias("tickets"),
+        F.col("at").alias("first_no"), (F.lead("at").over(order) - 1).alias("last_no"),
+    ).where("tickets > 0")
+
+
 def _live(value: str, minimum, strict: bool, sequential: bool) -> Column:
     """Whether the rows of a group can ever be booked. Totals do not rise unless bids are
     negative, which only the sequential form takes."""
@@ -605,17 +658,18 @@ def book(
     Bids of one user for one title add up to one. Bids without user, title or amount and
     negative bids, which no contract allows, are left out; ``unbookable`` lists them.
     ``sequential`` books one group per round and takes negative bids too, since totals may
-    rise then. ``respect_validity`` keeps only days between the bid's from and to.
+    rise then. ``respect_validity`` books a bid only on days between its from and to, which the
+    state keeps as ``periods`` next to the days; their product is formed inside a task alone.
     """
     shape = Shape(("day", "title_id"), ("day", "title_id"), "total_bid")
-    if respect_validity:
-        rows = interest_by_slot(bids, slots, keep=("from", "to"))
-        rows = rows.where(F.col("day").between(F.col("from"), F.col("to")))
-        return allocate(rows, shape, minimum, strict, sequential, per_row, rounds_per_write)
     # read several times below, and possibly the result of a long plan
-    bids = bids.select("user_id", "title_id", "total_bid")
+    kept = ["from", "to"] if respect_validity else []
+    bids = bids.select("user_id", "title_id", "total_bid", *kept)
     bids = _bookable(bids, ["user_id", "title_id"], "total_bid", sequential)
-    bids = bids.groupBy("user_id", "title_id").agg(F.sum("total_bid").alias("total_bid"))
+    if respect_validity:
+        bids = periods(bids)
+    else:
+        bids = bids.groupBy("user_id", "title_id").agg(F.sum("total_bid").alias("total_bid"))
     bids = stored(bids, "bids")
     sizes = _sizes(bids, "total_bid", per_row)
     # no day of a title has more than all its bids
@@ -623,12 +677,13 @@ def book(
     titles, count = numbered(bids.groupBy("title_id").agg(live.alias("live")), ["title_id"])
     titles = sized(titles, count)
     days = slots.select("day").distinct().count()
-    layout = _calendar(shape, titles.drop("live"), max(count, 1), days)
+    layout = _calendar_with_periods if respect_validity else _calendar
+    layout = layout(shape, titles.drop("live"), max(count, 1), days)
+    period = ["tickets", "first_no", "last_no"] if respect_validity else []
     bids = bids.join(titles, "title_id").selectExpr(
-        "user_id", "position AS title_no", "total_bid AS value", "live"
+        "user_id", "position AS title_no", "total_bid AS value", "live", *period
     )
-    day_no = F.datediff("day", F.expr(FIRST_OF_CALENDAR)).cast("bigint")
-    slots = slots.select("user_id", day_no.alias("day_no")).where("day_no IS NOT NULL")
+    slots = slots.select("user_id", _day_no(F.col("day")).alias("day_no")).where("day_no IS NOT NULL")
     users = _split(bids, per_row, sizes.split_users) if sizes.split_users else None
     nested = _nest_calendar(bids, slots, users, sizes.files)
     return _run(nested, layout, sizes, minimum, strict, sequential, rounds_per_write)

@@ -56,6 +56,19 @@ def interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bids_with_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AVAILABLE bids, one row per order line, each with days of its own between which it holds;
+    those of a user for a title overlap, meet or lie apart."""
+    first = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("l_orderkey") % 12).cast("int"))
+    return _lines(spark, sf_dir).where("o_orderstatus = 'O'").select(
+        F.col("o_custkey").alias("user_id"),
+        F.col("p_brand").alias("title_id"),
+        F.col("l_quantity").cast("bigint").alias("total_bid"),
+        first.alias("from"),
+        F.date_add(first, F.col("l_linenumber").cast("int") - 1).alias("to"),
+    )
+
+
 def free_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AVAILABLE timeslots, one row per user and day."""
     return (

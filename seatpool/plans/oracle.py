@@ -7,7 +7,7 @@ running values, the SQL here goes one group and one request at a time.
 from __future__ import annotations
 
 from seatpool import schemas as S
-from seatpool.plans.queries import MINIMUM, SWEEP_MINIMUM, VENUE_MINIMUM
+from seatpool.plans.queries import MINIMUM, SWEEP_MINIMUM, VALID_MINIMUM, VENUE_MINIMUM
 
 DAY = "(DATE '2024-01-01' + CAST(dayofyear({}) % 14 AS INTEGER))"
 ISO = "strftime({}, '%Y-%m-%d')"
@@ -132,6 +132,17 @@ GREEDY_CHANGED = f"WITH RECURSIVE {greedy(MINIMUM, CHANGED)}"
 
 GREEDY = f"WITH RECURSIVE {greedy(MINIMUM)}"
 
+JOINED_VALID = f"""{LINES}, {FREE_DAYS}, held AS (
+  SELECT user_id, title_id, CAST(l_quantity AS BIGINT) AS bid, l_linenumber AS n,
+         DATE '2024-01-01' + CAST(l_orderkey % 12 AS INTEGER) AS since
+  FROM lines WHERE o_orderstatus = 'O'),
+joined AS MATERIALIZED (
+  SELECT h.user_id AS u, f.day AS d, h.title_id AS t, bid
+  FROM held h JOIN free_days f ON h.user_id = f.user_id
+   AND f.day BETWEEN since AND since + CAST(n - 1 AS INTEGER))"""
+
+GREEDY_VALID = f"WITH RECURSIVE {greedy(VALID_MINIMUM, JOINED_VALID)}"
+
 SHOW_EVENTS = f"""{GREEDY}, {TITLES}, show_event AS (
   SELECT t || '_' || {_iso('d')} AS title_id_day, t AS title_id, title_name, valid_from, valid_to,
          coalesce(CAST(year AS VARCHAR), '') AS year, d AS day,
@@ -442,6 +453,8 @@ WHERE user_id NOT IN (SELECT user_id FROM free_days)""",
     + f" HAVING sum(bid) >= {VENUE_MINIMUM}"
     + " ORDER BY bids_total DESC, timeslot, title_id, venue_id LIMIT 1",
     "booking_events": f"""{GREEDY}
+SELECT event_rank, {_iso('d')} AS day, t AS title_id, bids_total, num_tickets FROM event""",
+    "booking_events_valid": f"""{GREEDY_VALID}
 SELECT event_rank, {_iso('d')} AS day, t AS title_id, bids_total, num_tickets FROM event""",
     "booked_rows": f"""{GREEDY}
 SELECT u AS user_id, {_iso('d')} AS day, t AS title_id, bid AS total_bid, event_rank FROM booked""",

@@ -23,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 MINIMUM = 1000
 VENUE_MINIMUM = 150
 SWEEP_MINIMUM = 300
+VALID_MINIMUM = 60
 GROUP = ("day", "title_id")
 VENUE_GROUP = ("timeslot", "title_id", "venue_id")
 
@@ -122,6 +123,13 @@ def booking_events(spark, sf_dir):
     return booking(spark, sf_dir).events
 
 
+@query
+def booking_events_valid(spark, sf_dir):
+    """Bids count on the days of their own period alone."""
+    bids, slots = D.bids_with_periods(spark, sf_dir), D.free_days(spark, sf_dir)
+    return A.book(bids, slots, VALID_MINIMUM, respect_validity=True).events
+
+
 @query
 def booked_rows(spark, sf_dir):
     return booking(spark, sf_dir).booked.drop("tickets")

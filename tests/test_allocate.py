@@ -211,6 +211,70 @@ def test_validity_of_the_bid(spark):
     assert events_of(A.book(bids, slots, 5, respect_validity=True)) == [(1, day(3), "t", 10, 2)]
 
 
+def valid_rows(interest, free):
+    """One row per user, day and title: the sum of the bids that hold on the day."""
+    sums = {}
+    for u, t, v, since, until in interest:
+        for w, d in free:
+            if u == w and since is not None and until is not None and since <= d <= until:
+                n = sums.setdefault((u, d, t), [0, 0])
+                n[0] += v
+                n[1] += 1
+    return [{"user_id": u, "day": d, "title_id": t, "value": v, "n": n} for (u, d, t), (v, n) in sums.items()]
+
+
+@pytest.mark.parametrize(
+    "options", [{}, {"per_row": 2}, {"sequential": True, "cases": 4}, {"many": True}],
+    ids=["rounds", "split users", "sequential", "winners as a table"],
+)
+def test_bids_with_periods_equal_the_sequential_rule(spark, monkeypatch, options):
+    options = dict(options)
+    rng = random.Random(19)
+    plain, free = many_cases(19, options.pop("cases", 30))
+    if options.pop("many", False):
+        monkeypatch.setattr(A, "WINNERS_IN_SCAN", 3)
+    interest = []
+    for u, t, v in plain:
+        for k in range(rng.choice((1, 1, 2, 3))):
+            since = day(int(u[1:4]) * 5 + rng.randint(-1, 4))
+            until = since + timedelta(days=rng.randint(-1, 4))
+            interest.append((u, t, v + k, since if rng.random() > 0.05 else None, until if rng.random() > 0.05 else None))
+    bids = spark.createDataFrame(interest, "user_id string, title_id string, total_bid bigint, `from` date, `to` date")
+    slots = spark.createDataFrame(free, "user_id string, day date")
+    result = A.book(bids, slots, 2, respect_validity=True, **options)
+    rows = valid_rows(interest, free)
+    events, status, cause = greedy(rows, ("day", "title_id"), ("day", "title_id"), 2)
+    tickets = {}
+    for i, row in enumerate(rows):
+        if status[i] == "B":
+            tickets[cause[i]] = tickets.get(cause[i], 0) + row["n"]
+    assert events_of(result) == [(*e[:-1], tickets[e[0]]) for e in events]
+    found = sorted((r["user_id"], r["day"], r["title_id"], r["total_bid"], r["tickets"], r["status"], r["cause_rank"] or 0) for r in result.outcome.collect())
+    assert found == sorted((r["user_id"], r["day"], r["title_id"], r["value"], r["n"], status[i], cause.get(i, 0)) for i, r in enumerate(rows))
+
+
+def test_periods_add_up_where_bids_overlap(spark):
+    at = "2020-02-0{} {}:00:00".format
+    bids = spark.createDataFrame(
+        [("u", "t", 5, at(1, "00"), at(4, "00")), ("u", "t", 2, at(2, "06"), at(3, "23")), ("u", "t", 1, at(5, "00"), at(5, "00")),
+         ("u", "s", 9, at(3, "01"), at(3, "09")), ("u", "s", 9, None, at(3, "00")), ("u", "s", 9, at(4, "00"), at(2, "00"))],
+        "user_id string, title_id string, total_bid bigint, a string, b string",
+    ).selectExpr("user_id", "title_id", "total_bid", "CAST(a AS TIMESTAMP) AS `from`", "CAST(b AS TIMESTAMP) AS `to`")
+    base = (day(1) - date(1, 1, 1)).days
+    found = sorted((r["title_id"], r["first_no"] - base + 1, r["last_no"] - base + 1, r["total_bid"], r["tickets"]) for r in A.periods(bids).collect())
+    assert found == [("t", 1, 2, 5, 1), ("t", 3, 3, 7, 2), ("t", 4, 4, 5, 1), ("t", 5, 5, 1, 1)]
+
+
+def test_periods_are_stored_instead_of_their_days(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(A, "stored", lambda rows, purpose: written.append((purpose, rows.columns, rows.count())) or rows)
+    bids = spark.createDataFrame([("u", "t", 5, day(1), day(28)), ("v", "t", 5, day(1), day(28))], "user_id string, title_id string, total_bid bigint, `from` date, `to` date")
+    slots = spark.createDataFrame([(u, day(d)) for u in "uv" for d in range(1, 29)], "user_id string, day date")
+    assert events_of(A.book(bids, slots, 5, respect_validity=True)) == [(1, day(1), "t", 10, 2)]
+    assert ("bids", ["user_id", "title_id", "total_bid", "tickets", "first_no", "last_no"], 2) in written
+    assert all("day" not in columns for _, columns, _ in written)
+
+
 @pytest.mark.parametrize("per_row", [A.OPTIONS_PER_ROW, 2])
 def test_venues_equal_the_sequential_rule(spark, per_row):
     rng = random.Random(23)
