@@ -30,10 +30,10 @@ TOP = 2000
 #: others go by a hash, and the few that share one get a number too: counts stay exact.
 KNOWN = 200_000
 #: Suffixes that share their leading words and are sorted in one task's memory, at most: above it
-#: they route by one word more. Below it they do so if they are more than WIDE of all words and
-#: than a bucket, so that no task has much more than others.
+#: they route by one word more. Below it they do so if they are more than WIDE of all words, in
+#: tables of any size, so that no task has more than one part in 200.
 HOT = 1_000_000
-WIDE = 0.01
+WIDE = 0.005
 #: In very large tables phrases are hot above this share of all words instead, so that no more
 #: than 1 / HOT_SHARE of a length are known to the driver.
 HOT_SHARE = 1e-6
@@ -430,7 +430,7 @@ def phrases(
     named, numbers, complete = _known(counted, least, known)
     named = stored_in(named.select("lang", "word", "n", "id"), f"{folder}/numbered")
     rows = encoded(texts, numbers, complete, f"{folder}/encoded")
-    hottest, hot_rows = _hot(rows, named, depth, int(max(min(hot, max(bucket, total * WIDE)), total * HOT_SHARE)))
+    hottest, hot_rows = _hot(rows, named, depth, int(max(min(hot, total * WIDE), total * HOT_SHARE)))
     buckets = max(tasks(spark), total // bucket + 1)
     found = counted_phrases(routed(rows, hottest, buckets, depth), depth, least)
     known_rows = [(r["lang"], r["ids"], r["n"]) for r in hot_rows if len(r["ids"]) > 1 and r["n"] >= least]
