@@ -636,4 +636,21 @@ runs AS (SELECT DISTINCT run FROM run_user)
 SELECT a.run, b.run AS other, count(DISTINCT user_id) AS users, true AS within_three_percent
 FROM runs a JOIN runs b ON a.run <= b.run JOIN run_user u ON u.run = a.run OR u.run = b.run
 GROUP BY a.run, b.run""",
+    "indexed_active_bids": f"""{APPLIED}
+SELECT b.user_id, user_id_title_id, b.user_id || '_AVAILABLE' AS user_id_status, b.title_id, num_tickets,
+  ticket_bid, {_iso('valid_from')} AS "from", b.status, is_preapp
+FROM user_bids b LEFT JOIN (SELECT * FROM judged WHERE won) j
+  ON j.user_id = b.user_id AND j.title_id = b.title_id
+WHERE b.status = 'AVAILABLE' AND j.seq IS NULL
+  AND b.user_id IN (SELECT user_id FROM events WHERE event_type = 'signup')""",
+    "indexed_timeslots": f"""{APPLIED}
+SELECT s.user_id || '_' || {_iso('s.day')} AS user_id_day, s.user_id, {_iso('s.day')} AS day,
+  CASE WHEN j.seq IS NOT NULL THEN 'BOOKED' ELSE s.status END AS status, is_preapp
+FROM user_timeslots s LEFT JOIN (SELECT * FROM judged WHERE placed) j
+  ON j.user_id = s.user_id AND j.day = s.day
+WHERE (j.seq IS NOT NULL OR s.status <> 'EXPIRED')
+  AND s.user_id IN (SELECT user_id FROM events WHERE event_type = 'signup')""",
+    "indexed_events": f"""{SHOW_EVENTS}
+SELECT title_id_day, status, title_name, {_iso('day')} AS day, ticket_price, num_tickets_available
+FROM show_event WHERE status IN ('AVAILABLE', 'FULL')""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from seatpool import schemas as S
 from seatpool.functions.columns import composite_key
 from seatpool.functions.ordered import first_by
-from seatpool.operators import allocate as A, applying, expand, joins, listings, metrics
+from seatpool.operators import allocate as A, applying, expand, indexes, joins, listings, metrics
 from seatpool.operators import requests as R
 from seatpool.operators.upsert import change_status
 from seatpool.plans import domain as D
@@ -718,3 +718,40 @@ def users_over_runs(spark, sf_dir):
     exact = metrics.exact_users_of_pairs(runs)
     near = F.abs(F.col("estimate") - F.col("users")) <= F.greatest(0.03 * F.col("users"), F.lit(1))
     return exact.join(found, ["run", "other"]).select("run", "other", "users", near.alias("within_three_percent"))
+
+
+# ---------------------------------------------------------------- indexes
+
+
+def _askers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users who signed up."""
+    return D.table(spark, sf_dir, "events").where("event_type = 'signup'").select("user_id").distinct()
+
+
+@query
+def indexed_active_bids(spark, sf_dir):
+    """R7 by index: bids still open after the bookings, of the users who signed up."""
+    folder = new_folder(spark, "indexed-bids")
+    after = applying.bids_after(D.user_bids(spark, sf_dir), _applied(spark, sf_dir))
+    indexes.write_indexed(after, folder, 1, [indexes.BIDS_BY_USER_AND_STATUS])
+    keys = indexes.keys_of(_askers(spark, sf_dir))
+    return listings.active_bids(indexes.under(spark, folder, indexes.BIDS_BY_USER_AND_STATUS, keys))
+
+
+@query
+def indexed_timeslots(spark, sf_dir):
+    """R8 by index: timeslots of the users who signed up, after the bookings."""
+    folder = new_folder(spark, "indexed-timeslots")
+    after = applying.slots_after(D.user_timeslots(spark, sf_dir), _applied(spark, sf_dir))
+    indexes.write_indexed(after, folder, 1, [indexes.TIMESLOTS_BY_USER, indexes.TIMESLOTS_BY_STATUS])
+    return listings.timeslots(indexes.under(spark, folder, indexes.TIMESLOTS_BY_USER, _askers(spark, sf_dir)))
+
+
+@query
+def indexed_events(spark, sf_dir):
+    """R10 by index: events with seats left, and full ones."""
+    folder = new_folder(spark, "indexed-events")
+    indexes.write_indexed(show_events(spark, sf_dir), folder, 1, [indexes.EVENTS_BY_STATUS])
+    keys = indexes.statuses(spark, S.AVAILABLE, S.FULL)
+    found = indexes.under(spark, folder, indexes.EVENTS_BY_STATUS, keys)
+    return listings.available_events(found, statuses=[S.AVAILABLE, S.FULL])
