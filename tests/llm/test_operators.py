@@ -484,21 +484,92 @@ def test_suffix_tree(spark, rows):
     assert all(r.score <= 0 for r in found)
 
 
-def test_suffix_tree_distributions_sum_to_one_and_learn_contexts(spark, monkeypatch):
-    texts = ["new york is big", "new york is old", "new car is big", "old york is new"] * 30
-    rows = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
-    words = suffix_tree.word_counts(rows.select("text"))
-    total = words.agg(F.sum("c"), F.count("*")).first()
-    tree = suffix_tree.grow(rows.select("text"), words, total[0], total[1])
-    assert tree.contexts[1].size and tree.contexts[2].size
-    names = [None, *tree.words]
-    for context in (["new"], ["york", "is"], ["new", "york"], ["big"]):
-        numbers = [tree.words[w] for w in context]
-        before = suffix_tree.log_probability(np.array(numbers), tree)
-        p = [10 ** (suffix_tree.log_probability(np.array([*numbers, k]), tree) - before) for k in range(1, len(names))]
-        unseen = 10 ** (suffix_tree.log_probability(np.array([*numbers, 0]), tree) - before)
-        base = 0.1 / (total[0] + 0.1 * (total[1] + 1))
-        assert sum(p) + unseen * base == pytest.approx(1.0, abs=1e-6)
+def plain_tree(texts, minimum, words):
+    """Token counts, and per context that is a state: total, left weight, probabilities stored."""
+    counts = Counter(w for text in texts for w in text)
+    n, v = sum(counts.values()), len(counts)
+    base = lambda w: (counts[w] + 0.1) / (n + 0.1 * (v + 1))
+    ranked = sorted((w for w in counts if counts[w] >= minimum), key=lambda w: (-counts[w], w))
+    symbols, tree = set(ranked[:words]), {}
+
+    def probability(context, w):
+        if not context:
+            return base(w)
+        if context not in tree:
+            return probability(context[1:], w)
+        left, stored_here = tree[context]
+        return stored_here.get(w) or left * probability(context[1:], w)
+
+    for depth in (1, 2):
+        behind = {}
+        for text in texts:
+            for i in range(depth, len(text)):
+                gram = tuple(text[i - depth : i + 1])
+                if set(gram) <= symbols:
+                    behind.setdefault(gram[:-1], Counter())[gram[-1]] += 1
+        total = Counter(tuple(text[i : i + depth]) for text in texts for i in range(len(text)) if i + depth <= len(text))
+        found = {}
+        for context, follow in behind.items():
+            follow = {w: c for w, c in follow.items() if c >= minimum}
+            if not follow:
+                continue
+            t = total[context]
+            left = (5 + t - sum(follow.values())) / (t + 5)
+            q = {w: probability(context[1:], w) for w in follow}
+            p = {w: c / (t + 5) + left * q[w] for w, c in follow.items()}
+            rest_p, rest_q = max(1 - sum(p.values()), 1e-12), max(1 - sum(q.values()), 1e-12)
+            gain = sum(c * math.log(p[w] / q[w]) for w, c in follow.items()) + t * rest_p * math.log(rest_p / rest_q)
+            if gain > 0.5 * math.log(max(t, 2)) * len(follow):
+                found[context] = (left, p)
+        tree.update(found)
+    return tree, probability
+
+
+def chained(seed, n=150):
+    """Texts in which words depend on the two before, with copies, rare words and empty ones."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        words = ["a", "b"]
+        for _ in range(rng.choice([3, 20, 60])):
+            likely = "abcdefgh"[(ord(words[-1][0]) * 3 + ord(words[-2][0]) * 5) % 8]
+            words.append(likely if rng.random() < 0.7 else rng.choice([*"abcdefgh", f"rare{rng.randrange(60)}"]))
+        rows.append((i, " ".join(words).upper() if i % 9 == 0 else "\n".join(words), "en", "a"))
+    return [*rows, (500, None, None, None), (501, "", "en", "a"), (None, "a b c", "en", "a"), *[(600 + k, rows[1][1], "en", "b") for k in range(30)]]
+
+
+@pytest.mark.parametrize("minimum, words, in_tasks", [(5, 1000, 10**6), (5, 1000, 0), (5, 1000, 25), (8, 6, 10), (10**6, 5, 5)])
+def test_suffix_tree_scores_against_dictionaries(spark, minimum, words, in_tasks):
+    rows = chained(3)
+    tokens = lambda t: [*WORDS.findall((t or "").lower()), "\n"]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    tree, probability = plain_tree([tokens(t) for i, t, *_ in rows if not held(i)], minimum, words)
+    if minimum < 10**6:
+        assert {len(context) for context in tree} == {1, 2}
+    expected = Counter()
+    for i, t, *_ in rows:
+        text = tokens(t)
+        total = sum(math.log10(probability(tuple(text[max(0, k - 2) : k]), text[k])) for k in range(len(text)))
+        expected[i, round(total, 5)] += 1
+    found = suffix_tree.score(documents(spark, rows), minimum=minimum, words=words, in_tasks=in_tasks).collect()
+    assert Counter((r.doc_id, round(r.score, 5)) for r in found) == expected
+
+
+def test_suffix_tree_distributions_sum_to_one(spark):
+    texts = [[*"abcab"], [*"abd"], [*"cab"]] * 20
+    tree, probability = plain_tree([[*t, "\n"] for t in texts], 5, 100)
+    base = 0.1 / (sum(len(t) + 1 for t in texts) + 0.1 * 6)
+    for context in ((), ("a",), ("a", "b"), ("c", "a"), ("d",)):
+        assert sum(probability(context, w) for w in [*"abcd", "\n"]) + probability(context, "unseen") == pytest.approx(1, abs=1e-6)
+    assert base == pytest.approx(probability((), "unseen"))
+
+
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """Contexts seen often enough stay however large a share of the corpus others are."""
+    rare = [(i, "rare pair here again", "en", "a") for i in range(40)]
+    common = [(1000 + i, "some quite common words " * 200, "en", "a") for i in range(60)]
+    found = {r.doc_id: r for r in suffix_tree.score(documents(spark, rare + common)).collect()}
+    assert all(found[i].score > found[i].base_score + 5 for i in range(40))
 
 
 def plain_cut(costs, edges):
