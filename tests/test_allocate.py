@@ -342,3 +342,22 @@ def test_split_negative_bids_do_not_hide_in_a_sum(spark):
     for sequential, total in ((False, 30), (True, 27)):
         events = A.book(bids, slots, minimum=1, sequential=sequential).events.collect()
         assert [r["bids_total"] for r in events] == [total]
+
+
+def test_votes_meet_per_user_without_a_shuffle(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = {(f"u{rng.randrange(60)}", f"{rng.randrange(6)}", f"t{rng.randrange(5)}", f"v{rng.randrange(2)}") for _ in range(400)}
+    rows = [(u, t, s, v, rng.randrange(1, 9)) for u, s, t, v in sorted(rows)]
+    table = spark.createDataFrame(rows, "user_id string, title_id string, timeslot string, venue_id string, total_bid bigint")
+    plans, winners = [], A._winners
+
+    def watched(state, run, by_votes):
+        found = winners(state, run, by_votes)
+        if by_votes:
+            plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(A, "_winners", watched)
+    result = A.book_venues(table, 5)
+    assert result.events.count() > 5
+    assert plans and not any("hashpartitioning(user_id" in plan for plan in plans)
