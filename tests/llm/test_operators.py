@@ -653,3 +653,16 @@ def test_main_text_past_elements_that_look_like_hidden_ones():
     assert icon == f"A{said}\n\nB{said}\n\nC{said}"
     script = html_text.main_text(f'<article><p>A{said}</p><script data-a="x>y">var a = "<p>no</p>"</script><p>B{said}</p>')
     assert script == f"A{said}\n\nB{said}"
+
+
+def test_mixed_shuffles_texts_once_before_their_order(spark):
+    docs = documents(spark, sample(4)).repartition(3).localCheckpoint()
+    lines = mixing.mixed(docs)._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [re.search("[A-Za-z]", line).start() if re.search("[A-Za-z]", line) else 0 for line in lines]
+    at = next(i for i, line in enumerate(lines) if "named_struct(doc_id" in line or "struct(doc_id" in line and "AS doc" in line)
+    above, upto = [], depth[at]
+    for i in range(at, -1, -1):
+        if depth[i] < upto:
+            upto = depth[i]
+            above.append(lines[i])
+    assert sum("Exchange" in line for line in above) == 2
