@@ -8,12 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from seatpool.functions.ordered import sized
 from seatpool.llm.common import text_hash, without
 from seatpool.session import stored
 
 ORDER = 5
-#: Characters of trusted text per language to train on, about: bounds the model's size.
-TRAIN_CHARS = 3_000_000
 #: Symbols per language: 0 starts a text, 255 is any other character.
 SYMBOLS = 256
 _START, _OTHER = 0, 255
@@ -42,9 +41,15 @@ def _grams(symbols: np.ndarray, order: int, before: np.ndarray | None = None) ->
     return found
 
 
+def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(lang, text) of all trusted rows with text."""
+    texts = docs.select("doc_id", F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text").filter(F.length("text") > 0)
+    return stored(texts.join(sized(trusted, trusted.count()), "doc_id", "left_semi").select("lang", "text"), "trusted-texts")
+
+
 def trusted_sample(docs: DataFrame, trusted: DataFrame, chars: int) -> DataFrame:
-    """(lang, text) of trusted rows, chosen by hash so that each language gives about
-    ``chars`` characters, and the same rows once more under the pooled name."""
+    """The same of rows chosen by hash so that each language gives about ``chars`` characters,
+    for callers that ask for so many."""
     sizes = docs.select("doc_id", F.coalesce("lang", F.lit(POOLED)).alias("lang"), F.length("text").alias("size"))
     sizes = stored(sizes.filter("size > 0").join(trusted, "doc_id", "left_semi"), "trusted-sizes")
     totals = stored(sizes.groupBy("lang").agg(F.sum("size").alias("total")), "trusted-characters")
@@ -198,7 +203,7 @@ class Scorer:
 
 
 def _collected(rows: DataFrame) -> dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """The model as arrays. Its size is bounded by TRAIN_CHARS per language and order."""
+    """The model as arrays: the distinct grams of all trusted text, per language and order."""
     table = rows.toArrow()
     langs, lengths = np.array(table["lang"].to_pylist()), table["k"].to_numpy()
     grams, values = table["gram"].to_numpy().view(np.uint64), table["value"].to_numpy()
@@ -211,13 +216,14 @@ def _collected(rows: DataFrame) -> dict[str, dict[int, tuple[np.ndarray, np.ndar
     return found
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, train_chars: int = TRAIN_CHARS, order: int = ORDER) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, train_chars: int | None = None, order: int = ORDER) -> DataFrame:
     """(doc_id, text_hash, lang, model, n_symbols, log10_sum) of every whole text; written once.
 
     ``trusted`` has one column doc_id. ``model`` names the language model used; it is null if
-    there is no trusted text at all, and so is the sum.
+    there is no trusted text at all, and so is the sum. Models are of all trusted rows, unless
+    ``train_chars`` asks for about so many characters per language.
     """
-    sample = trusted_sample(docs, trusted, train_chars)
+    sample = trusted_texts(docs, trusted) if train_chars is None else trusted_sample(docs, trusted, train_chars)
     pooled = sample.filter(F.col("lang") != POOLED).withColumn("lang", F.lit(POOLED))
     sample = sample.unionByName(pooled)
     tables = _tables(alphabet(sample))
@@ -254,7 +260,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, train_chars: int = TRAIN_C
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, train_chars: int = TRAIN_CHARS, keep: float = KEEP, order: int = ORDER
+    docs: DataFrame, labels: DataFrame, train_chars: int | None = None, keep: float = KEEP, order: int = ORDER
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang): doc_id, lang, n_symbols, perplexity,
     threshold, kept, text_hash.

@@ -666,3 +666,10 @@ def test_mixed_shuffles_texts_once_before_their_order(spark):
             upto = depth[i]
             above.append(lines[i])
     assert sum("Exchange" in line for line in above) == 2
+
+
+def test_quality_is_trained_on_all_trusted_text(spark):
+    rows = [(i, f"{chr(0x430 + i)}bcd " * 120_000, "en", "a") for i in range(8)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    found = quality.classify(documents(spark, rows), labels).collect()
+    assert len(found) == 8 and all(r.perplexity < 2 for r in found)
