@@ -361,3 +361,23 @@ def test_votes_meet_per_user_without_a_shuffle(spark, monkeypatch):
     result = A.book_venues(table, 5)
     assert result.events.count() > 5
     assert plans and not any("hashpartitioning(user_id" in plan for plan in plans)
+
+
+@pytest.mark.parametrize("on_driver", [True, False], ids=["few groups", "many groups"])
+def test_rounds_take_every_closed_row_from_the_totals_once(spark, monkeypatch, on_driver):
+    """Work of all rounds together goes by rows, not by rounds times rows."""
+    interest, free = many_cases(21, 12)
+    taken, closed = [], A._closed_totals
+    if not on_driver:
+        monkeypatch.setattr(A, "WINNERS_IN_SCAN", 0)
+
+    def watched(run, hits):
+        found = closed(run, hits)
+        taken.append(sum(r["members"] for r in found.collect()))
+        return found
+
+    monkeypatch.setattr(A, "_closed_totals", watched)
+    result = A.book(*frames(spark, interest, free), 1)
+    same_as_brute(result, interest, free, 1)
+    assert len(taken) > 1 and all(taken)
+    assert sum(taken) == result.outcome.where("status <> 'A'").count()
