@@ -41,6 +41,24 @@ def _grams(symbols: np.ndarray, order: int, before: np.ndarray | None = None) ->
     return found
 
 
+def _runs(texts: pa.Array, rows: list[int]) -> Iterator[list[tuple[np.ndarray, bool]]]:
+    """Code points of the texts in these rows in runs of at most _PART, so that a task works on as
+    many at a time however long its texts are. A run has pieces, and whether a text begins there."""
+    run: list[tuple[np.ndarray, bool]] = []
+    size = 0
+    for i in rows:
+        points = _points(texts[i].as_py())
+        for at in range(0, len(points), _PART):
+            piece = points[at : at + _PART]
+            if run and size + len(piece) > _PART:
+                yield run
+                run, size = [], 0
+            run.append((piece, at == 0))
+            size += len(piece)
+    if run:
+        yield run
+
+
 def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(lang, text) of all trusted rows with text."""
     texts = docs.select("doc_id", F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text").filter(F.length("text") > 0)
@@ -69,11 +87,14 @@ def alphabet(sample: DataFrame) -> DataFrame:
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist())
             for lang in set(langs.tolist()):
-                texts = "".join(batch.column("text").take(pa.array(np.flatnonzero(langs == lang))).to_pylist())
-                points, counts = np.unique(_points(texts), return_counts=True)
+                counts = np.zeros(0x110000, dtype=np.int64)
+                for run in _runs(batch.column("text"), np.flatnonzero(langs == lang).tolist()):
+                    for piece, _ in run:
+                        points, n = np.unique(piece, return_counts=True)
+                        counts[points] += n
+                points = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(points), pa.string()), pa.array(points.astype(np.int64)), pa.array(counts)],
-                    ["lang", "point", "n"],
+                    [pa.array([lang] * len(points), pa.string()), pa.array(points), pa.array(counts[points])], ["lang", "point", "n"]
                 )
 
     counted = sample.mapInArrow(work, "lang string, point long, n long").groupBy("lang", "point").agg(F.sum("n").alias("n"))
@@ -99,21 +120,26 @@ def _lookup(tables: dict[str, dict[int, int]]) -> dict[str, np.ndarray]:
 
 
 def counts(sample: DataFrame, tables: dict[str, dict[int, int]], order: int) -> DataFrame:
-    """(lang, gram, n) of the longest order, combined per batch before the shuffle."""
+    """(lang, gram, n) of the longest order, combined per run of a batch before the shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = _lookup(tables)
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for lang in set(langs) & set(lookup):
-                grams = [
-                    _grams(lookup[lang][_points(batch.column("text")[i].as_py())], order)
-                    for i, own in enumerate(langs) if own == lang
-                ]
-                found, n = np.unique(np.concatenate(grams), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n)], ["lang", "gram", "n"]
-                )
+                before = None
+                for run in _runs(batch.column("text"), [i for i, own in enumerate(langs) if own == lang]):
+                    grams = []
+                    for piece, begins in run:
+                        symbols = lookup[lang][piece]
+                        start = np.full(order - 1, _START, dtype=np.uint8) if begins else before
+                        grams.append(_grams(symbols, order, start))
+                        carried = np.concatenate([start, symbols[-order:]])
+                        before = carried[len(carried) - (order - 1) :]
+                    found, n = np.unique(np.concatenate(grams), return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n)], ["lang", "gram", "n"]
+                    )
 
     return sample.mapInArrow(work, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -127,14 +153,16 @@ def model(longest: DataFrame, order: int) -> DataFrame:
     the sums of their contexts and with the probabilities one symbol shorter, sharded by
     language and gram.
     """
-    by_length = {order: longest}
+    # each is written before the next is made of it, so that texts are counted once
+    by_length = {order: stored(longest, f"grams-{order}")}
     for k in range(order - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
-        by_length[k] = by_length[k + 1].groupBy("lang", suffix.alias("gram")).agg(F.count("*").alias("n"))
+        shorter = by_length[k + 1].groupBy("lang", suffix.alias("gram")).agg(F.count("*").alias("n"))
+        by_length[k] = stored(shorter, f"grams-{k}")
     parts = []
     lower = None
     for k in range(1, order + 1):
-        rows = stored(by_length[k], f"grams-{k}")
+        rows = by_length[k]
         of = [F.sum(F.when(F.col("n") == i, 1).otherwise(0)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
         y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
         d = [

@@ -673,3 +673,27 @@ def test_quality_is_trained_on_all_trusted_text(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id long, quality int, toxic int")
     found = quality.classify(documents(spark, rows), labels).collect()
     assert len(found) == 8 and all(r.perplexity < 2 for r in found)
+
+
+def test_quality_counts_long_texts_in_pieces_and_reads_texts_once(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcé", k=k)) for k in (1_200_000, 3, 40, 1)]
+    tables = {"en": {ord(c): i + 1 for i, c in enumerate("abc")}}
+    expected = Counter()
+    for text in texts:
+        symbols = np.array([tables["en"].get(ord(c), 255) for c in text], dtype=np.uint8)
+        expected.update(quality._grams(symbols, 3).tolist())
+    reads = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    sample = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").mapInArrow(counting, "lang string, text string")
+    assert {r.gram: r.n for r in quality.counts(sample, tables, 3).collect()} == expected
+    before = reads.value
+    assert quality.model(quality.counts(sample, tables, 3), 3).count() > 0
+    assert reads.value - before == len(texts)
+    points = {r.point: r.symbol for r in quality.alphabet(sample).collect()}
+    assert set(points) == set(map(ord, "abcé")) and set(points.values()) == {1, 2, 3, 4}
