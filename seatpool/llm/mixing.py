@@ -193,19 +193,19 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     document of a source within which its last epoch ends counts as a whole copy if at least half
     of it is taken, so a source's words differ from those of ``mix`` by half a document at most.
     """
-    # One key of whole values, so that the window, the join and the choices lie by the same column
-    # and texts are shuffled once before they are put in order.
-    rows = docs.select(
-        F.struct("*").alias("doc"),
-        F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_hash(text_col).alias("hash")).alias("key"),
-    )
-    # Rows alike in id, source and text are told apart by a number.
-    rows = rows.withColumn("a_no", F.row_number().over(Window.partitionBy("key").orderBy("key")))
     copies = F.col("copies") + (F.col("part") * 2 >= F.col("size")).cast("int")
     taken = mix(docs, id_col, text_col, source_col).filter("taken > 0").select(
         F.struct(F.col("doc_id").alias("id"), "source", F.col("text_hash").alias("hash")).alias("key"),
         F.struct((-F.col("taken")).alias("less"), F.slice("slots", 1, copies.cast("int")).alias("slots")).alias("choice"),
     )
-    choices = taken.groupBy("key").agg(F.sort_array(F.collect_list("choice")).alias("choices"))
+    # Written by itself, so that the shuffles of the mix are gone before texts are shuffled.
+    choices = stored(taken.groupBy("key").agg(F.sort_array(F.collect_list("choice")).alias("choices")), "choices")
+    # One key of whole values and of one type on both sides, down to which fields may be null, so that
+    # the window, the join and the choices lie by the same column and texts are shuffled once before
+    # they are put in order.
+    key = F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_hash(text_col).alias("hash"))
+    rows = docs.select(F.struct("*").alias("doc"), key.cast(choices.schema["key"].dataType).alias("key"))
+    # Rows alike in id, source and text are told apart by a number.
+    rows = rows.withColumn("a_no", F.row_number().over(Window.partitionBy("key").orderBy("key")))
     placed = rows.join(choices, "key").select("doc", F.explode(F.get("choices", F.col("a_no") - 1)["slots"]).alias("slot"))
     return placed.orderBy("slot").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

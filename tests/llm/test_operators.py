@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -20,6 +21,7 @@ import public_tokenizers
 from seatpool.llm import (
     embeddings, exact_dedup, html_text, line_dedup, mixing, packing, quality, simhash, suffix_tree, toxicity,
 )
+from seatpool.session import stored
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -668,6 +670,39 @@ def test_mixed_shuffles_texts_once_before_their_order(spark):
     assert sum("Exchange" in line for line in above) == 2
 
 
+def test_mixed_shuffles_texts_once_before_their_order_in_shuffled_joins(spark):
+    docs = documents(spark, sample(4)).repartition(3).localCheckpoint()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = mixing.mixed(docs)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # by key for the numbers and for the choices, and by slot
+    assert any("SortMergeJoin" in line or "ShuffledHashJoin" in line for line in lines)
+    assert sum("Exchange" in line for line in lines) == 3
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().collect()
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    place = spark._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles() -> set[str]:
+        files = place.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    known = shuffles()
+    found = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):
+        if shuffles() <= known:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= known
+    assert sorted(r["count"] for r in found.collect()) == [142, 143, 143, 143, 143, 143, 143]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == before
+
+
 def test_quality_is_trained_on_all_trusted_text(spark):
     rows = [(i, f"{chr(0x430 + i)}bcd " * 120_000, "en", "a") for i in range(8)]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id long, quality int, toxic int")
