@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from seatpool.functions.ordered import numbered
 from seatpool.llm.common import remainder
 from seatpool.session import stored
 
@@ -22,17 +23,18 @@ END = b"\n"
 ADD = 0.1
 #: Contexts seen so often may be states, and symbols seen so often behind one are stored.
 MINIMUM = 20
-#: Symbols of the tree: the most frequent words, as far as numbers of 20 bits go. Other words are
-#: one symbol to the tree; their base probabilities come from a join with all words.
-WORDS = (1 << 20) - 1
+#: Words that tasks know by a dictionary, the most frequent ones. Other words that are seen MINIMUM
+#: times get their numbers by a join, and what hangs on them is joined too. Rarer ones are one symbol
+#: to the tree; their base probabilities come from a join with all words.
+WORDS_IN_TASKS = (1 << 20) - 1
 #: Entries and states that tasks hold, the most frequent ones; texts join the others by shuffle.
 IN_TASKS = 2_000_000
 #: Weight of the shorter context, in tokens.
 SMOOTH = 5.0
 #: Bits of the filter of word pairs that are seen MINIMUM times: it passes all of them, and others.
 FILTER_BITS = 25
-_SHIFT = 20  # bits of a word number
-_PAIR = (1 << 2 * _SHIFT) - 1
+_SHIFT = 31  # bits of a word number: two fit a long, and numbers an int
+_WORD = (1 << _SHIFT) - 1
 _FLUSH = 300_000
 _CHUNK = 500_000  # tokens worked on at a time
 _NEXT, _STATE, _NEXT2 = 1, 2, 3  # entries behind one word, states of two words, entries behind these
@@ -66,12 +68,14 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(work, "word string, c long").filter("c > 0").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def numbered_texts(rows: DataFrame, words: dict[bytes, int]) -> DataFrame:
-    """Rows (doc_id, held_out, text) as (row, doc_id, held_out, n_tokens, numbers, rare): the
-    numbers of the tokens, 32 bits each, 0 for words without number; those are counted in rare."""
+def numbered_texts(rows: DataFrame, words: dict[bytes, int], others: DataFrame | None = None) -> DataFrame:
+    """Rows (doc_id, held_out, text) as (row, doc_id, held_out, n_tokens, numbers, rare): the numbers
+    of the tokens, 32 bits each, 0 for words without number. Words that are not in the dictionary are
+    counted in rare; ``others`` (word, number), any number of them, get their numbers by a join."""
     shared = rows.sparkSession.sparkContext.broadcast(words)
-    rare = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("k", T.LongType())]))
-    kind = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
+    rare = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("k", T.LongType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
+    kind = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64()), ("at", pa.list_(pa.int32()))]))
+    placed = others is not None
     schema = T.StructType([
         T.StructField("row", T.LongType()), rows.schema["doc_id"], rows.schema["held_out"],
         T.StructField("n_tokens", T.LongType()), T.StructField("numbers", T.BinaryType()), T.StructField("rare", rare),
@@ -80,24 +84,49 @@ def numbered_texts(rows: DataFrame, words: dict[bytes, int]) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, row = shared.value.get, TaskContext.get().partitionId() << 40
         for batch in batches:
-            lengths, numbers, others = [], [], []
+            lengths, numbers, rare_ones = [], [], []
             for text in batch.column("text"):
                 tokens = _tokens(text.as_py())
                 tokens.append(END)
                 found = np.fromiter(map(get, tokens, repeat(0)), np.int32, len(tokens))
                 lengths.append(len(tokens))
                 numbers.append(found.tobytes())
-                counts = Counter([tokens[i] for i in np.flatnonzero(found == 0)])
-                others.append([{"word": w.decode(), "k": k} for w, k in counts.items()])
+                at: dict[bytes, list[int]] = {}
+                for i in np.flatnonzero(found == 0).tolist():
+                    at.setdefault(tokens[i], []).append(i)
+                rare_ones.append([{"word": w.decode(), "k": len(x), "at": x if placed else None} for w, x in at.items()])
             places = pa.array(range(row, row + len(lengths)), pa.int64())
             row += len(lengths)
             columns = [places, batch.column("doc_id"), batch.column("held_out"), pa.array(lengths, pa.int64()),
-                       pa.array(numbers, pa.binary()), pa.array(others, kind)]
+                       pa.array(numbers, pa.binary()), pa.array(rare_ones, kind)]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     done = stored(rows.mapInArrow(work, schema), "numbered-texts")
     shared.destroy()
-    return done
+    return done if others is None else _with_others(done, others)
+
+
+def _with_others(texts: DataFrame, others: DataFrame) -> DataFrame:
+    """Numbered texts with the numbers of ``others`` (word, number) put in their places."""
+    asked = texts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.at")
+    found = asked.join(others, "word").groupBy("row").agg(F.collect_list(F.struct("number", "at")).alias("found"))
+    names = texts.columns
+    place = names.index("numbers")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = []
+            for old, found in zip(batch.column("numbers"), batch.column("found")):
+                new = np.frombuffer(old.as_py(), np.int32).copy()
+                for entry in found.as_py() or []:
+                    new[entry["at"]] = entry["number"]
+                numbers.append(new.tobytes())
+            columns = batch.columns[:-1]
+            columns[place] = pa.array(numbers, pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    joined = texts.join(found, "row", "left").select(*names, "found")
+    return stored(joined.mapInArrow(work, texts.schema), "numbered-texts")
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -150,40 +179,62 @@ def pair_filter(pairs: DataFrame) -> np.ndarray:
     return bits
 
 
-def gram_counts(texts: DataFrame, shared: Broadcast | None = None) -> DataFrame:
-    """(code, c) of pairs of numbered words; given the filter of frequent pairs, of triples both of
-    whose pairs pass it, as those of all frequent triples do. Counted in tasks before the shuffle."""
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """(code, c) of pairs of numbered words, counted in tasks before the shuffle."""
+
+    def codes(two: np.ndarray, one: np.ndarray, numbers: np.ndarray) -> list[np.ndarray]:
+        return [((one << _SHIFT) | numbers)[(one > 0) & (numbers > 0)]]
+
+    def counted(codes: np.ndarray) -> list[np.ndarray]:
+        return [*np.unique(codes, return_counts=True)]
+
+    return _gram_counts(texts, ["code"], codes, counted)
+
+
+def triple_counts(texts: DataFrame, shared: Broadcast) -> DataFrame:
+    """(context, word, c) of triples of numbered words, the context as the code of a pair, both of
+    whose pairs pass the filter of frequent pairs, as those of all frequent triples do."""
+
+    def codes(two: np.ndarray, one: np.ndarray, numbers: np.ndarray) -> list[np.ndarray]:
+        whole = (two > 0) & (one > 0) & (numbers > 0)
+        context, pair = ((two << _SHIFT) | one)[whole], ((one << _SHIFT) | numbers)[whole]
+        passed = _passes(shared.value, context)
+        passed[passed] = _passes(shared.value, pair[passed])
+        return [context[passed], pair[passed] & _WORD]
+
+    def counted(context: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
+        contexts, places = np.unique(context, return_inverse=True)
+        found, c = np.unique((places << _SHIFT) | word, return_counts=True)
+        return [contexts[found >> _SHIFT], found & _WORD, c]
+
+    return _gram_counts(texts, ["context", "word"], codes, counted)
+
+
+def _gram_counts(texts: DataFrame, names: list[str], codes: Callable, counted: Callable) -> DataFrame:
+    """Grams as columns of whole numbers, and how often they come, in runs of bounded length per task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, waiting, size = shared.value if shared else None, [], 0
+        waiting: list[list[np.ndarray]] = []
 
         def flushed() -> pa.RecordBatch:
-            codes, c = np.unique(np.concatenate(waiting) if waiting else np.empty(0, np.int64), return_counts=True)
+            columns = counted(*[np.concatenate(parts) for parts in zip(*waiting)])
             waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(c.astype(np.int64))], ["code", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], [*names, "c"])
 
         for batch in batches:
             for _, numbers, starts in _chunks(batch):
-                two, one = _before(numbers, starts)
-                codes = ((one << _SHIFT) | numbers)[(one > 0) & (numbers > 0)]
-                if bits is not None:
-                    whole = (two > 0) & (one > 0) & (numbers > 0)
-                    codes = ((two << 2 * _SHIFT) | (one << _SHIFT) | numbers)[whole]
-                    codes = codes[_passes(bits, codes >> _SHIFT)]
-                    codes = codes[_passes(bits, codes & _PAIR)]
-                waiting.append(codes)
-                size += len(codes)
-                if size > 10 * _FLUSH:
+                waiting.append(codes(*_before(numbers, starts), numbers))
+                if sum(len(parts[0]) for parts in waiting) > 10 * _FLUSH:
                     yield flushed()
-                    size = 0
-        yield flushed()
+        if waiting:
+            yield flushed()
 
-    counted = texts.select("n_tokens", "numbers").mapInArrow(work, "code long, c long")
-    return counted.groupBy("code").agg(F.sum("c").alias("c"))
+    schema = ", ".join(f"{name} long" for name in [*names, "c"])
+    return texts.select("n_tokens", "numbers").mapInArrow(work, schema).groupBy(*names).agg(F.sum("c").alias("c"))
 
 
 def _judged(entries: DataFrame) -> DataFrame:
-    """Entries (context, code, c, total, q) with p, weight and whether the context is a state.
+    """Entries (context, word, c, total, q) with p, weight and whether the context is a state.
 
     ``p`` is the smoothed probability behind the context and ``weight`` what it leaves to the
     shorter one, whose probability is ``q``. A context is a state if its next-symbol distribution
@@ -191,7 +242,7 @@ def _judged(entries: DataFrame) -> DataFrame:
     against half a log of the count per entry; symbols that are not stored are one symbol. A
     context has an entry per numbered word at most.
     """
-    whole = Window.partitionBy("context").orderBy("code").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = Window.partitionBy("context").orderBy("word").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     def rest(column: str) -> Column:
         return F.greatest(1 - F.sum(column).over(whole), F.lit(1e-12))
@@ -204,7 +255,8 @@ def _judged(entries: DataFrame) -> DataFrame:
 
 
 def grow(texts: DataFrame, numbers: DataFrame, end: int, minimum: int) -> tuple[DataFrame, np.ndarray]:
-    """The tree as a table (kind, code, c, value) and the filter of its word pairs.
+    """The tree as a table (kind, code, word, c, value) and the filter of its word pairs; entries
+    behind two words have the code of these, and the word by itself.
 
     ``texts`` are numbered, ``numbers`` has (number, c, base). Contexts of one and two words, and
     words behind them, are those seen ``minimum`` times; there is no other bound on their number,
@@ -212,40 +264,43 @@ def grow(texts: DataFrame, numbers: DataFrame, end: int, minimum: int) -> tuple[
     """
     behind = numbers.select(F.col("number").alias("word"), F.col("base").alias("q"))
     before = numbers.select(F.col("number").alias("context"), F.col("c").alias("total"))
-    pairs = gram_counts(texts).filter(F.col("c") >= minimum)
-    pairs = pairs.withColumns({"context": F.shiftright("code", _SHIFT), "word": F.col("code").bitwiseAND((1 << _SHIFT) - 1)})
+    pairs = pair_counts(texts).filter(F.col("c") >= minimum)
+    pairs = pairs.withColumns({"context": F.shiftright("code", _SHIFT), "word": F.col("code").bitwiseAND(_WORD)})
     pairs = stored(_judged(pairs.join(before, "context").join(behind, "word")), "suffix-tree-1")
     bits = pair_filter(pairs)
     shorter = pairs.select(F.col("code").alias("pair"), F.when(F.col("kept"), F.col("p")).otherwise(F.col("q")).alias("q"))
     contexts = pairs.filter(F.col("word") != end).select(F.col("code").alias("context"), F.col("c").alias("total"))
     shared = texts.sparkSession.sparkContext.broadcast(bits)
-    triples = gram_counts(texts, shared).filter(F.col("c") >= minimum)
-    triples = triples.withColumns({"context": F.shiftright("code", _SHIFT), "pair": F.col("code").bitwiseAND(_PAIR)})
+    triples = triple_counts(texts, shared).filter(F.col("c") >= minimum)
+    triples = triples.withColumn("pair", F.shiftleft(F.col("context").bitwiseAND(_WORD), _SHIFT).bitwiseOR(F.col("word")))
     triples = stored(_judged(triples.join(contexts, "context").join(shorter, "pair")), "suffix-tree-2")
     shared.destroy()
 
-    def entries(table: DataFrame, kind: int) -> DataFrame:
-        return table.filter("kept").select(F.lit(kind).alias("kind"), "code", "c", F.log10("p").alias("value"))
+    def entries(table: DataFrame, kind: int, code: str, word: Column) -> DataFrame:
+        return table.filter("kept").select(F.lit(kind).alias("kind"), F.col(code).alias("code"), word.alias("word"), "c", F.log10("p").alias("value"))
 
     def states(table: DataFrame, kind: int) -> DataFrame:
         state = table.filter("kept").groupBy("context").agg(F.max("total").alias("c"), F.max("weight").alias("weight"))
-        return state.select(F.lit(kind).alias("kind"), F.col("context").alias("code"), "c", F.log10("weight").alias("value"))
+        return state.select(F.lit(kind).alias("kind"), F.col("context").alias("code"), none.alias("word"), "c", F.log10("weight").alias("value"))
 
     # States of one word have kind 0; their number is that of numbered words at most.
-    parts = [states(pairs, 0), entries(pairs, _NEXT), states(triples, _STATE), entries(triples, _NEXT2)]
+    none = F.lit(0).cast("long")
+    parts = [states(pairs, 0), entries(pairs, _NEXT, "code", none), states(triples, _STATE), entries(triples, _NEXT2, "context", F.col("word"))]
     model = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     return stored(model, "suffix-tree"), bits
 
 
 @dataclass
 class Tree:
-    """What tasks hold. ``base`` and ``weight`` are by word number (0: any other word), the latter
-    with ``state``, whether the word alone is a state; ``codes`` and ``values`` by kind, sorted.
-    ``bits`` tells which word pairs the rest of the tree may know, None if there is no rest."""
+    """What tasks hold. ``base`` and ``weight`` are by word number (0: any other word) for the words
+    of the dictionary, the latter with ``state``, whether the word alone is a state; ``codes`` and
+    ``values`` by kind, sorted; behind two words, codes are the place of these in ``contexts`` and the
+    word. ``bits`` tells which word pairs the rest of the tree may know, None if there is no rest."""
 
     base: np.ndarray
     state: np.ndarray
     weight: np.ndarray
+    contexts: np.ndarray
     codes: dict[int, np.ndarray]
     values: dict[int, np.ndarray]
     bits: np.ndarray | None
@@ -265,18 +320,21 @@ def frequent_part(model: DataFrame, bits: np.ndarray, base: np.ndarray, in_tasks
             break
         least, kept = band, kept + n
     some = rows.filter(_band() >= least) if least is not None else rows.filter("false")
-    found = some.select("kind", "code", "value").toArrow()
-    kind, code, value = (found[name].to_numpy() for name in ("kind", "code", "value"))
+    found = some.select("kind", "code", "word", "value").toArrow()
+    kind, code, word, value = (found[name].to_numpy() for name in ("kind", "code", "word", "value"))
+    code, behind = code.copy(), kind == _NEXT2
+    contexts, places = np.unique(code[behind], return_inverse=True)
+    code[behind] = (places << _SHIFT) | word[behind]
     codes, values = {}, {}
     for k in (_NEXT, _STATE, _NEXT2):
         own = np.flatnonzero(kind == k)
         own = own[np.argsort(code[own])]
         codes[k], values[k] = code[own], value[own]
-    ones = model.filter("kind = 0").select("code", "value").toArrow()
+    ones = model.filter((F.col("kind") == 0) & (F.col("code") < len(base))).select("code", "value").toArrow()
     state, weight = np.zeros(len(base), dtype=bool), np.zeros(len(base))
     state[ones["code"].to_numpy()] = True
     weight[ones["code"].to_numpy()] = ones["value"].to_numpy()
-    tree = Tree(base, state, weight, codes, values, bits if others else None)
+    tree = Tree(base, state, weight, contexts, codes, values, bits if others else None)
     if not others:
         return tree, None
     return tree, rows if least is None else rows.filter(_band() < least)
@@ -298,12 +356,14 @@ def _found(tree: Tree, kind: int, wanted: np.ndarray, where: np.ndarray) -> tupl
 @dataclass
 class Scored:
     """log10 probabilities of tokens by the longest state that tasks hold. ``open`` tokens depend on
-    the rest of the tree: they are given by triple, with the weight of the state of two words (NaN:
-    not known), the value behind it (NaN: not known) and the value if no entry is found."""
+    the rest of the tree or on words that are not in the dictionary: they are given by context and
+    word, with the weight of the state of two words (NaN: not known), the value behind it (NaN: not
+    known) and what tasks know of the value if no entry is found."""
 
     value: np.ndarray
     open: np.ndarray
-    triple: np.ndarray
+    context: np.ndarray
+    word: np.ndarray
     weight: np.ndarray
     shorter: np.ndarray
     least: np.ndarray
@@ -312,37 +372,42 @@ class Scored:
 def scored_tokens(numbers: np.ndarray, starts: np.ndarray, tree: Tree) -> Scored:
     two, one = _before(numbers, starts)
     known = numbers > 0
+    held, held_one = np.where(numbers < len(tree.base), numbers, 0), np.where(one < len(tree.base), one, 0)
+    far_one = held_one < one
+    far = far_one | (held < numbers)
     pair, context = (one << _SHIFT) | numbers, (two << _SHIFT) | one
-    triple = (two << 2 * _SHIFT) | pair
-    after_state = tree.state[one] & known
+    after_state = (tree.state[held_one] | far_one) & known
     entry, value = _found(tree, _NEXT, pair, after_state)
-    least = tree.weight[one] + tree.base[numbers]
+    least = tree.weight[held_one] + tree.base[held]
     shorter = np.where(entry, value, least)
     whole = (two > 0) & (one > 0)
     state, weight = _found(tree, _STATE, context, whole)
-    entry2, value2 = _found(tree, _NEXT2, triple, state & known)
+    entry2, value2 = np.zeros(len(numbers), dtype=bool), np.zeros(len(numbers))
+    if len(tree.contexts):
+        place = np.minimum(np.searchsorted(tree.contexts, context), len(tree.contexts) - 1)
+        entry2, value2 = _found(tree, _NEXT2, (place << _SHIFT) | numbers, state & known & (tree.contexts[place] == context))
     result = np.where(entry2, value2, weight + shorter)
-    unsettled = np.zeros(len(numbers), dtype=bool)
+    unsettled = far & ~entry
     if tree.bits is not None:
         may_follow = known & _passes(tree.bits, pair)
-        unsettled = whole & ~state & _passes(tree.bits, context)
+        unsettled |= whole & ~state & _passes(tree.bits, context)
         unsettled |= may_follow & ((after_state & ~entry) | (state & ~entry2))
-        unsettled &= ~entry2
         weight = np.where(state, weight, np.where(whole, np.nan, 0.0))
-        shorter = np.where(entry | ~after_state, shorter, np.nan)
-    return Scored(result, unsettled, triple, weight, shorter, least)
+        far = far | after_state
+    unsettled &= ~entry2
+    return Scored(result, unsettled, context, numbers, weight, np.where(far & ~entry, np.nan, shorter), least)
 
 
 def scored_texts(texts: DataFrame, tree: Tree) -> DataFrame:
     """Numbered texts as (row, doc_id, held_out, n_tokens, n_known, base_score, score, rare, open):
-    sums over the tokens of each; words without number and open tokens are still to be added."""
+    sums over the tokens of each; words not in the dictionary and open tokens are still to be added."""
     shared = texts.sparkSession.sparkContext.broadcast(tree)
     fields = [texts.schema[name] for name in ("row", "doc_id", "held_out", "n_tokens", "rare")]
     sums = [T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
-    opened = [("triple", T.LongType()), ("k", T.LongType()), ("weight", T.DoubleType()), ("shorter", T.DoubleType()), ("least", T.DoubleType())]
+    opened = [("context", T.LongType()), ("word", T.LongType()), ("k", T.LongType()), ("weight", T.DoubleType()), ("shorter", T.DoubleType()), ("least", T.DoubleType())]
     opened = T.ArrayType(T.StructType([T.StructField(*field) for field in opened]))
     schema = T.StructType([*fields, *sums, T.StructField("open", opened)])
-    kind = pa.list_(pa.struct([("triple", pa.int64()), ("k", pa.int64()), ("weight", pa.float64()), ("shorter", pa.float64()), ("least", pa.float64())]))
+    kind = pa.list_(pa.struct([("context", pa.int64()), ("word", pa.int64()), ("k", pa.int64()), ("weight", pa.float64()), ("shorter", pa.float64()), ("least", pa.float64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
@@ -354,14 +419,16 @@ def scored_texts(texts: DataFrame, tree: Tree) -> DataFrame:
                 if tokens.open.any():
                     for text, (begin, end) in enumerate(zip(starts, [*starts[1:], len(numbers)])):
                         at = begin + np.flatnonzero(tokens.open[begin:end])
-                        codes, place, k = np.unique(tokens.triple[at], return_index=True, return_counts=True)
+                        contexts, places = np.unique(tokens.context[at], return_inverse=True)
+                        _, place, k = np.unique((places << _SHIFT) | tokens.word[at], return_index=True, return_counts=True)
                         at = at[place]
-                        parts = [codes.tolist(), k.tolist(), *[np.where(np.isnan(x[at]), None, x[at]).tolist() for x in (tokens.weight, tokens.shorter, tokens.least)]]
-                        opened[text] = [dict(zip(("triple", "k", "weight", "shorter", "least"), row)) for row in zip(*parts)]
+                        parts = [tokens.context[at].tolist(), tokens.word[at].tolist(), k.tolist(), *[np.where(np.isnan(x[at]), None, x[at]).tolist() for x in (tokens.weight, tokens.shorter, tokens.least)]]
+                        opened[text] = [dict(zip(("context", "word", "k", "weight", "shorter", "least"), row)) for row in zip(*parts)]
                 own = batch.slice(first, len(starts))
                 columns = [own.column(f.name) for f in fields]
-                columns += [pa.array(np.add.reduceat((numbers > 0).astype(np.int64), starts)),
-                            pa.array(np.add.reduceat(tree.base[numbers], starts)),
+                held = np.where(numbers < len(tree.base), numbers, 0)
+                columns += [pa.array(np.add.reduceat((held > 0).astype(np.int64), starts)),
+                            pa.array(np.add.reduceat(tree.base[held], starts)),
                             pa.array(np.add.reduceat(values, starts)), pa.array(opened, kind)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
@@ -370,28 +437,42 @@ def scored_texts(texts: DataFrame, tree: Tree) -> DataFrame:
     return done
 
 
-def _open_sums(scored: DataFrame, rest: DataFrame) -> DataFrame:
-    """(row, open_score): the open tokens by the rest of the tree. Parts that tasks knew are asked
-    for under codes that no entry has, so that frequent ones do not meet in one place."""
+def _open_sums(scored: DataFrame, rest: DataFrame, ones: DataFrame | None, others: DataFrame | None) -> DataFrame:
+    """(row, open_score): the open tokens by the rest of the tree, and by ``ones`` (word, weight), the
+    states of one word, and ``others`` (word, base) as far as tasks do not know them. Parts that tasks
+    knew are asked for under codes that no entry has, so that frequent ones do not meet in one place."""
     asked = scored.select("row", F.explode("open").alias("o")).select("row", "o.*")
 
     def part(kind: int, key: str, value: str) -> DataFrame:
         return rest.filter(F.col("kind") == kind).select(F.col("code").alias(key), F.col("value").alias(value))
 
-    nothing = -1 - F.col("triple")
+    nothing = -1 - F.shiftrightunsigned(F.xxhash64("context", "word"), 1)
+    one = F.col("context").bitwiseAND(_WORD)
+    open_state, open_pair = F.col("weight").isNull(), F.col("shorter").isNull()
     asked = asked.withColumns({
-        "context": F.when(F.col("weight").isNull(), F.shiftright("triple", _SHIFT)).otherwise(nothing),
-        "pair": F.when(F.col("shorter").isNull(), F.col("triple").bitwiseAND(_PAIR)).otherwise(nothing),
+        "state_code": F.when(open_state, F.col("context")).otherwise(nothing),
+        "pair_code": F.when(open_pair, F.shiftleft(one, _SHIFT).bitwiseOR(F.col("word"))).otherwise(nothing),
+        "one_code": F.when(open_pair, one).otherwise(nothing),
+        "word_code": F.when(open_pair, F.col("word")).otherwise(nothing),
     })
-    asked = asked.join(part(_NEXT2, "triple", "entry"), "triple", "left")
-    asked = asked.join(part(_STATE, "context", "state"), "context", "left").join(part(_NEXT, "pair", "behind"), "pair", "left")
-    left = F.coalesce("weight", "state", F.lit(0.0)) + F.coalesce("shorter", "behind", "least")
+    entries = rest.filter(F.col("kind") == _NEXT2).select(F.col("code").alias("context"), "word", F.col("value").alias("entry"))
+    asked = asked.join(entries, ["context", "word"], "left")
+    asked = asked.join(part(_STATE, "state_code", "state"), "state_code", "left")
+    asked = asked.join(part(_NEXT, "pair_code", "behind"), "pair_code", "left")
+    nil = F.lit(0.0)
+    least = F.col("least")
+    if others is not None:
+        asked = asked.join(ones.select(F.col("word").alias("one_code"), F.col("weight").alias("one_weight")), "one_code", "left")
+        asked = asked.join(others.select(F.col("word").alias("word_code"), F.col("base").alias("word_base")), "word_code", "left")
+        least = least + F.coalesce("one_weight", nil) + F.coalesce("word_base", nil)
+    left = F.coalesce("weight", "state", nil) + F.coalesce("shorter", "behind", least)
     return asked.groupBy("row").agg(F.sum(F.col("k") * F.coalesce("entry", left)).alias("open_score"))
 
 
 def score(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    minimum: int = MINIMUM, words: int = WORDS, in_tasks: int = IN_TASKS,
+    minimum: int = MINIMUM, words: int | None = None, in_tasks: int = IN_TASKS,
+    words_in_tasks: int = WORDS_IN_TASKS,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score.
@@ -402,10 +483,12 @@ def score(
     bounded length, one text at least. Other columns are not read.
 
     The tree holds every context of one or two words that is seen ``minimum`` times and passes the
-    divergence test, so it grows with the corpus. Symbols are the ``words`` most frequent words.
-    Tasks hold the ``in_tasks`` most frequent entries; if there are more, tokens that may depend on
-    the others are joined with these by shuffle, and scores are the same. Words without number are
-    summed per document and join the counts of the whole vocabulary.
+    divergence test, so it grows with the corpus. Symbols are all words seen ``minimum`` times, or the
+    ``words`` most frequent of them if that is given. Tasks hold the ``words_in_tasks`` most frequent
+    words and the ``in_tasks`` most frequent entries; if there are more, the others get their numbers
+    by a join, and tokens that may depend on other words or entries are joined with these by shuffle;
+    scores are the same. Words that tasks do not hold are summed per document and join the counts of
+    the whole vocabulary.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -415,30 +498,52 @@ def score(
     size = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = size["n"] or 0, size["v"]
     whole = n + ADD * (v + 1)
-    top = vocabulary.filter(F.col("c") >= minimum).orderBy(F.col("c").desc(), "word").limit(words).toArrow()
+    symbols = vocabulary.filter(F.col("c") >= minimum)
+    held = words_in_tasks if words is None else min(words, words_in_tasks)
+    top = symbols.orderBy(F.col("c").desc(), "word").limit(held).toArrow()
     names, counts = [w.encode() for w in top["word"].to_pylist()], top["c"].to_numpy().astype(np.int64)
     numbers_of = {w: i + 1 for i, w in enumerate(names)}
     probability = (counts + ADD) / whole
     table = pa.table({"number": pa.array(np.arange(1, len(names) + 1, dtype=np.int64)), "c": pa.array(counts), "base": pa.array(probability)})
     numbers = stored(spark.createDataFrame(table, "number long, c long, base double"), "word-numbers")
-    texts = numbered_texts(rows, numbers_of)
+    others = None
+    if len(names) == words_in_tasks and (words is None or words > held):
+        last = top.slice(held - 1).to_pylist()[0] if held else {"c": None, "word": None}
+        after = (F.col("c") < last["c"]) | ((F.col("c") == last["c"]) & (F.col("word") > last["word"])) if held else F.lit(True)
+        ranked, n_others = numbered(symbols.filter(after).withColumn("down", -F.col("c")), ["down", "word"])
+        if n_others:
+            others = ranked.select("word", "c", (F.col("position") + held + 1).alias("number"), ((F.col("c") + ADD) / F.lit(whole)).alias("base"))
+            others = stored(others if words is None else others.filter(F.col("number") <= words), "other-words")
+            numbers = numbers.unionByName(others.select("number", "c", "base"))
+    texts = numbered_texts(rows, numbers_of, None if others is None else others.select("word", "number"))
     model, bits = grow(texts.filter("NOT held_out"), numbers, numbers_of.get(END, 0), minimum)
     tree, rest = frequent_part(model, bits, np.concatenate([[0.0], np.log10(probability)]), in_tasks)
     scored = scored_texts(texts, tree)
     asked = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
-    # Words without number are seen no more often than the last with one.
-    upto = int(counts[-1]) if len(counts) == words else minimum - 1
-    base = F.log10((F.coalesce("c", F.lit(0)) + ADD) / F.lit(whole))
-    others = asked.join(vocabulary.filter(F.col("c") <= upto), "word", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("more_known"), F.sum(F.col("k") * base).alias("more")
+    # Words that tasks do not hold are seen no more often than the last that they hold.
+    upto = (int(counts[-1]) if held else n) if len(counts) == held else minimum - 1
+    asked = asked.join(vocabulary.filter(F.col("c") <= upto), "word", "left")
+    base = F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + ADD) / F.lit(whole))
+    single = F.lit(True)
+    if others is not None:
+        # the scores of words that are symbols come with the open tokens
+        asked = asked.join(others.select("word", "number"), "word", "left")
+        single = F.col("number").isNull()
+    missing = asked.groupBy("row").agg(
+        F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("more_known"),
+        F.sum(base).alias("more_base"), F.sum(F.when(single, base)).alias("more"),
     )
-    result = scored.drop("rare", "open").join(others, "row", "left")
-    if rest is not None:
-        result = result.join(_open_sums(scored, rest), "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    opened = F.coalesce("open_score", F.lit(0.0)) if rest is not None else F.lit(0.0)
+    result = scored.drop("rare", "open").join(missing, "row", "left")
+    opened = F.lit(0.0)
+    if rest is not None or others is not None:
+        ones = model.filter((F.col("kind") == 0) & (F.col("code") > len(names))).select(F.col("code").alias("word"), F.col("value").alias("weight"))
+        bases = None if others is None else others.select(F.col("number").alias("word"), F.log10("base").alias("base"))
+        rest = model.filter("false") if rest is None else rest
+        result = result.join(_open_sums(scored, rest, ones, bases), "row", "left")
+        opened = F.coalesce("open_score", F.lit(0.0))
+    nothing = F.lit(0.0)
     return result.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"),
-        (F.col("score") + opened + more).alias("score"),
+        F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more_base", nothing)).alias("base_score"),
+        (F.col("score") + opened + F.coalesce("more", nothing)).alias("score"),
     )

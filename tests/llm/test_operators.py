@@ -557,6 +557,28 @@ def test_suffix_tree_scores_against_dictionaries(spark, minimum, words, in_tasks
     assert Counter((r.doc_id, round(r.score, 5)) for r in found) == expected
 
 
+@pytest.mark.parametrize("words_in_tasks, in_tasks", [(4, 10**6), (4, 0), (4, 25), (0, 25)])
+def test_suffix_tree_scores_words_beyond_those_of_the_dictionary(spark, words_in_tasks, in_tasks):
+    rows = chained(5)
+    tokens = lambda t: [*WORDS.findall((t or "").lower()), "\n"]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    training = [tokens(t) for i, t, *_ in rows if not held(i)]
+    tree, probability = plain_tree(training, 5, 10**6)
+    counts = Counter(w for text in training for w in text)
+    n, v = sum(counts.values()), len(counts)
+    symbols = sorted((w for w in counts if counts[w] >= 5), key=lambda w: (-counts[w], w))
+    beyond = set(symbols[words_in_tasks:])
+    assert any(beyond & set(context) for context in tree) and any(beyond & set(p) for _, p in tree.values())
+    expected = Counter()
+    for i, t, *_ in rows:
+        text = tokens(t)
+        total = sum(math.log10(probability(tuple(text[max(0, k - 2) : k]), text[k])) for k in range(len(text)))
+        base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in text)
+        expected[i, sum(counts[w] > 0 for w in text), round(base, 5), round(total, 5)] += 1
+    found = suffix_tree.score(documents(spark, rows), minimum=5, in_tasks=in_tasks, words_in_tasks=words_in_tasks).collect()
+    assert Counter((r.doc_id, r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in found) == expected
+
+
 def test_suffix_tree_distributions_sum_to_one(spark):
     texts = [[*"abcab"], [*"abd"], [*"cab"]] * 20
     tree, probability = plain_tree([[*t, "\n"] for t in texts], 5, 100)
