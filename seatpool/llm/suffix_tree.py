@@ -384,8 +384,10 @@ def scored_tokens(numbers: np.ndarray, starts: np.ndarray, tree: Tree) -> Scored
     state, weight = _found(tree, _STATE, context, whole)
     entry2, value2 = np.zeros(len(numbers), dtype=bool), np.zeros(len(numbers))
     if len(tree.contexts):
-        place = np.minimum(np.searchsorted(tree.contexts, context), len(tree.contexts) - 1)
-        entry2, value2 = _found(tree, _NEXT2, (place << _SHIFT) | numbers, state & known & (tree.contexts[place] == context))
+        asked = np.flatnonzero(state & known)
+        place = np.minimum(np.searchsorted(tree.contexts, context[asked]), len(tree.contexts) - 1)
+        wanted = (place << _SHIFT) | numbers[asked]
+        entry2[asked], value2[asked] = _found(tree, _NEXT2, wanted, tree.contexts[place] == context[asked])
     result = np.where(entry2, value2, weight + shorter)
     unsettled = far & ~entry
     if tree.bits is not None:
