@@ -209,9 +209,8 @@ def _calendar_with_periods(shape: Shape, titles: DataFrame, count: int, days: in
     rows = f"""
         SELECT *, a1 * {count}L + a2 AS gid
         FROM {{state}} LATERAL VIEW OUTER explode(days) AS a1
-                       LATERAL VIEW OUTER inline(filter(bids, b -> a1 BETWEEN b.first_no AND b.last_no))
-                                          AS a2, value, tickets, first_no, last_no
-        WHERE a1 IS NOT NULL AND a2 IS NOT NULL"""
+                       LATERAL VIEW OUTER inline(bids) AS a2, value, tickets, first_no, last_no
+        WHERE a1 BETWEEN first_no AND last_no"""
 
     def hits(winners: Sequence[int]) -> str:
         wanted = ", ".join(f"{w}L" for w in winners)
@@ -656,19 +655,21 @@ def _bookings(nested: DataFrame, run: _Run, total_type: T.DataType) -> Bookings:
         "user_id", *shape.group, F.col("value").alias(shape.value), "tickets", "event_rank"
     )
 
-    # a user is booked once per day at most, so their bookings fit in one array
-    wins = entries.groupBy("user_id").agg(
-        F.expr("collect_list(struct(event_rank, gid, a1, a2)) AS wins")
+    # a user is booked once per day and per title at most, so their bookings fit in two maps, which
+    # compiled code looks up for each row
+    wins = entries.groupBy("user_id").agg(F.expr("collect_list(struct(event_rank, gid, a1, a2)) AS wins"))
+    wins = wins.selectExpr(
+        "user_id", "map_from_arrays(wins.a1, wins) AS wins1", "map_from_arrays(wins.a2, wins.event_rank) AS wins2"
     )
     # read from the same files as the state, so users meet their bookings on user_id alone
-    rows = _rows(ledger.first().join(wins, "user_id", "left"), layout, "wins")
+    rows = _rows(ledger.first().join(wins, "user_id", "left"), layout, "wins1", "wins2")
     rows = rows.selectExpr(
         "user_id",
         "gid",
         "value",
         "tickets",
-        "exists(wins, w -> w.gid = gid) AS own",
-        "array_min(filter(wins, w -> w.a1 = a1 OR w.a2 = a2)).event_rank AS cause_rank",
+        "coalesce(wins1[a1].gid = gid, false) AS own",
+        "least(wins1[a1].event_rank, wins2[a2]) AS cause_rank",
     )
     outcome = layout.named(rows).select(
         "user_id",

@@ -382,3 +382,24 @@ def test_rounds_take_every_closed_row_from_the_totals_once(spark, monkeypatch, o
     same_as_brute(result, interest, free, -1)
     assert len(taken) > 1 and all(taken)
     assert sum(taken) == result.outcome.where("status <> 'A'").count()
+
+
+def test_causes_are_looked_up_without_functions_of_arrays(spark):
+    result = A.book(*frames(spark, INTEREST, FREE), 0)
+    plan = result.outcome._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+
+
+def test_days_of_periods_are_found_without_functions_of_arrays(spark):
+    """The rows of open users are expanded in every round that votes."""
+    titles = spark.createDataFrame([("t", 0)], "title_id string, position bigint")
+    layout = A._calendar_with_periods(A.Shape(("day", "title_id"), ("day", "title_id"), "total_bid"), titles, 1, 2)
+    state = spark.sql(
+        """SELECT 'u' AS user_id, array(1L, 2L, 9L) AS days, array(
+             named_struct('title_no', 0L, 'value', 5L, 'tickets', 1L, 'first_no', 2L, 'last_no', 4L),
+             named_struct('title_no', 0L, 'value', 6L, 'tickets', 2L, 'first_no', 9L, 'last_no', 9L)) AS bids
+           UNION ALL SELECT 'v', array(), array() UNION ALL SELECT 'w', array(7L), array()"""
+    )
+    rows = A._rows(state, layout)
+    assert sorted(tuple(r) for r in rows.collect()) == [("u", 2, 2, 0, 5, 1), ("u", 9, 9, 0, 6, 2)]
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
