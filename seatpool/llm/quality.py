@@ -231,16 +231,18 @@ class Scorer:
 
 
 def _collected(rows: DataFrame) -> dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """The model as arrays: the distinct grams of all trusted text, per language and order."""
+    """The model as arrays: the distinct grams of all trusted text, per language and order. Languages
+    go by number, so that there is no Python object per gram."""
     table = rows.toArrow()
-    langs, lengths = np.array(table["lang"].to_pylist()), table["k"].to_numpy()
+    coded = table["lang"].dictionary_encode().combine_chunks()
+    langs, names, lengths = coded.indices.to_numpy(), coded.dictionary.to_pylist(), table["k"].to_numpy()
     grams, values = table["gram"].to_numpy().view(np.uint64), table["value"].to_numpy()
     found: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
-    for lang in sorted(set(langs.tolist())):
-        for k in sorted(set(lengths.tolist())):
-            own = (langs == lang) & (lengths == k)
-            order = np.argsort(grams[own], kind="stable")
-            found.setdefault(lang, {})[k] = (grams[own][order], values[own][order])
+    for number, lang in sorted(enumerate(names), key=lambda pair: pair[1]):
+        for k in np.unique(lengths).tolist():
+            own = np.flatnonzero((langs == number) & (lengths == k))
+            own = own[np.argsort(grams[own], kind="stable")]
+            found.setdefault(lang, {})[k] = (grams[own], values[own])
     return found
 
 

@@ -9,10 +9,12 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -754,3 +756,25 @@ def test_quality_counts_long_texts_in_pieces_and_reads_texts_once(spark):
     assert reads.value - before == len(texts)
     points = {r.point: r.symbol for r in quality.alphabet(sample).collect()}
     assert set(points) == set(map(ord, "abcé")) and set(points.values()) == {1, 2, 3, 4}
+
+
+def test_the_model_is_collected_without_an_object_per_gram():
+    n = 200_000
+    rng = np.random.default_rng(3)
+    langs, lengths = np.array(["de", "", "en"])[rng.integers(0, 3, n)], rng.integers(-2, 3, n)
+    grams, values = rng.permutation(n).astype(np.int64), rng.random(n).astype(np.float32)
+
+    class Rows:
+        def toArrow(self):
+            return pa.table({"lang": pa.array(langs, pa.string()), "k": pa.array(lengths, pa.int32()), "gram": grams, "value": values})
+
+    tracemalloc.start()
+    found = quality._collected(Rows())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(found) == ["", "de", "en"]
+    for lang, by_length in found.items():
+        for k, (keys, logs) in by_length.items():
+            own = (langs == lang) & (lengths == k)
+            assert list(zip(keys.tolist(), logs.tolist())) == sorted(zip(grams[own].tolist(), values[own].tolist()))
+    assert peak < 60 * n
