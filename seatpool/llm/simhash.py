@@ -67,7 +67,8 @@ def links(fps: DataFrame) -> DataFrame:
     at most 2 bits of the first half or at most 1 of the second. Balls of radius 1 around
     both first halves meet if these differ in up to 2 bits; a ball of radius 1 around one
     second half meets the other itself. Every match is verified over all 64 bits inside the
-    join, and taken at one of the keys by which the pair meets.
+    join, and taken at one of the keys by which the pair meets. Both sides hold many rows per
+    fingerprint, which Spark does not count when it sizes them, so they are never broadcast.
     """
     first = F.shiftrightunsigned("fp", 32)
     second = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
@@ -89,7 +90,7 @@ def links(fps: DataFrame) -> DataFrame:
         f"WHEN 2 THEN {flip.format('x')} <> 0 AND {flip.format('x')} < {flip.format('y')} ELSE false END)"
     )
     by_second = f"(key >= 4294967296L AND {differ} > 2)"
-    return asking.join(asked, "key").filter(
+    return asking.join(asked.hint("merge"), "key").filter(
         F.expr(f"x < y AND bit_count(x ^ y) <= {MAX_BITS} AND ({by_first} OR {by_second})")
     ).select("x", "y")
 

@@ -98,6 +98,13 @@ def near_rows():
     return rows
 
 
+def test_links_are_not_broadcast_however_small_the_fingerprints_look(spark):
+    fps = stored(spark.range(50).select(F.xxhash64("id").alias("fp")), "few-fingerprints")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("make", [near_rows, list])
 def test_near_duplicates(spark, make):
     rows = make()
