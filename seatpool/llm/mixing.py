@@ -202,10 +202,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     choices = stored(taken.groupBy("key").agg(F.sort_array(F.collect_list("choice")).alias("choices")), "choices")
     # One key of whole values and of one type on both sides, down to which fields may be null, so that
     # the window, the join and the choices lie by the same column and texts are shuffled once before
-    # they are put in order.
+    # they are put in order. The choices lie small in their file and are much larger in memory: they
+    # are merged, not broadcast.
     key = F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_hash(text_col).alias("hash"))
     rows = docs.select(F.struct("*").alias("doc"), key.cast(choices.schema["key"].dataType).alias("key"))
     # Rows alike in id, source and text are told apart by a number.
     rows = rows.withColumn("a_no", F.row_number().over(Window.partitionBy("key").orderBy("key")))
-    placed = rows.join(choices, "key").select("doc", F.explode(F.get("choices", F.col("a_no") - 1)["slots"]).alias("slot"))
+    placed = rows.join(choices.hint("merge"), "key").select("doc", F.explode(F.get("choices", F.col("a_no") - 1)["slots"]).alias("slot"))
     return placed.orderBy("slot").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -151,7 +151,8 @@ def model(longest: DataFrame, order: int) -> DataFrame:
     Counts of shorter grams are continuation counts: the distinct symbols before them. Three
     discounts per length come from the counts of counts. Each length joins its counts with
     the sums of their contexts and with the probabilities one symbol shorter, sharded by
-    language and gram.
+    language and gram. These joins are merges: the files, by which Spark sizes the tables, are
+    a small part of what they are in the memory of a driver that broadcasts them.
     """
     # each is written before the next is made of it, so that texts are counted once
     by_length = {order: stored(longest, f"grams-{order}")}
@@ -179,11 +180,11 @@ def model(longest: DataFrame, order: int) -> DataFrame:
         )
         contexts = stored(contexts.select("lang", "context", "total", "weight", "d1", "d2", "d3"), f"contexts-{k}")
         taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        seen = rows.withColumn("context", context).join(contexts, ["lang", "context"])
+        seen = rows.withColumn("context", context).join(contexts.hint("merge"), ["lang", "context"])
         shorter = F.lit(1.0 / SYMBOLS)
         if lower is not None:
             seen = seen.withColumn("tail", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(
-                lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("shorter")), ["lang", "tail"]
+                lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("shorter")).hint("merge"), ["lang", "tail"]
             )
             shorter = F.col("shorter")
         p = (F.greatest(F.col("n") - taken, F.lit(0.0)) / F.col("total") + F.col("weight") * shorter).alias("p")

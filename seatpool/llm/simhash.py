@@ -119,7 +119,7 @@ def near_duplicates(
         ),
         "classes",
     )
-    return rows.join(classes, "fp", "left").select(
+    return rows.join(classes.hint("merge"), "fp", "left").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),

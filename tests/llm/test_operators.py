@@ -785,3 +785,22 @@ def test_the_model_is_collected_without_an_object_per_gram():
             own = (langs == lang) & (lengths == k)
             assert list(zip(keys.tolist(), logs.tolist())) == sorted(zip(grams[own].tolist(), values[own].tolist()))
     assert peak < 60 * n
+
+
+def test_tables_that_grow_are_merged_however_small_their_files_are(spark, monkeypatch):
+    plans = {}
+
+    def watched(df, purpose):
+        plans[purpose] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, purpose)
+
+    monkeypatch.setattr(quality, "stored", watched)
+    texts = spark.createDataFrame([("en", "abc abd"), ("de", "cab")], "lang string, text string")
+    tables = {lang: {ord(c): i + 1 for i, c in enumerate("abcd ")} for lang in ("en", "de")}
+    quality.model(quality.counts(texts, tables, 3), 3)
+    for k in (2, 3):
+        assert plans[f"probabilities-{k}"].count("SortMergeJoin") == 2 and "Broadcast" not in plans[f"probabilities-{k}"]
+    docs = documents(spark, sample(4))
+    for frame in (mixing.mixed(docs), simhash.near_duplicates(docs)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
