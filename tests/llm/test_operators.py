@@ -23,7 +23,7 @@ import public_tokenizers
 from seatpool.llm import (
     embeddings, exact_dedup, html_text, line_dedup, mixing, packing, quality, simhash, suffix_tree, toxicity,
 )
-from seatpool.session import stored
+from seatpool.session import stored, stored_in
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -588,6 +588,31 @@ def test_suffix_tree_scores_words_beyond_those_of_the_dictionary(spark, words_in
     assert Counter((r.doc_id, r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in found) == expected
 
 
+def test_open_tokens_are_shuffled_once_and_packed(spark, monkeypatch):
+    """Tokens that tasks cannot settle go out as one row per part and run of texts, and come back as sums."""
+    frames, rows = {}, chained(3)
+
+    def watched(df, folder):
+        name = folder.rsplit("/", 1)[1]
+        frames[name] = df._jdf.queryExecution().executedPlan().toString()
+        done = stored_in(df, folder)
+        if name == "scored":
+            frames["open"] = done.select(F.explode("open").alias("o")).count()
+        return done
+
+    monkeypatch.setattr(suffix_tree, "stored_in", watched)
+    monkeypatch.setattr(suffix_tree, "MANY_TOKENS", 0)
+    n_tokens = sum(r.n_tokens for r in suffix_tree.score(documents(spark, rows), minimum=5, words=1000, in_tasks=0).collect())
+    plans = [frames[f"open-{turn}"] for turn in range(suffix_tree.PASSES)]
+    assert all("Join" not in plan and plan.count("Exchange hashpartitioning") == 2 for plan in plans)
+    assert 0 < frames["open"] <= suffix_tree.PARTS * 4 < n_tokens
+
+
+def test_packed_tokens_come_back(spark):
+    columns = [np.array(x, dtype=np.int32) for x in ([0, 1, 2**31 - 1], [5, 6, 7], [0, 255, 256], [0, 3, 0])]
+    assert (suffix_tree._unpacked(suffix_tree._packed(columns)) == np.stack(columns)).all()
+
+
 def test_suffix_tree_distributions_sum_to_one(spark):
     texts = [[*"abcab"], [*"abd"], [*"cab"]] * 20
     tree, probability = plain_tree([[*t, "\n"] for t in texts], 5, 100)
